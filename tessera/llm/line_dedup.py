@@ -19,6 +19,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -51,6 +53,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
         .where(F.col("__docs") >= min_docs)
         .select("__h1", "__h2", "__keeper")
     )
+    common = staged(common, "common")  # so that the join deals both sides anew, and a hot line's partition can be split
     gone = (
         lines.join(common, ["__h1", "__h2"])
         .where(F.col("__id") != F.col("__keeper"))
