@@ -51,7 +51,9 @@ def compact_windows(v: np.ndarray, offs: np.ndarray, least: int) -> tuple[np.nda
         at = np.arange(size.sum()) - np.repeat(first - start, size)
         own = v[at]
         low = np.minimum.reduceat(own, first)
-        c = at[np.flatnonzero(own == np.repeat(low, size))]  # values are distinct within a segment
+        least_at = np.flatnonzero(own == np.repeat(low, size))
+        # of equal values any may part a segment; the first of each is taken
+        c = at[least_at[np.searchsorted(least_at, first)]]
         out.append((text, start, c, end - 1))
         start, end, text = np.concatenate([start, c + 1]), np.concatenate([c, end]), np.concatenate([text, text])
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
