@@ -5,18 +5,19 @@
 2. Two sets with 100 * |x & y| >= t * |x | y| share a token among the first
    n - ceil(t * n / 100) + 1 of each (prefix filter). These go out by token.
    Sets that are equal within a run of a task's input go out once.
-3. The documents of a token make a tile, in size order: pairs whose sizes
-   differ too much are not looked at. Tiles of up to ``SMALL`` sets give all
-   their pairs, so at most a constant number a row. In larger ones a few
-   anchors are held against the others; after each round the sets that linked
-   are components, and the round is repeated, with other anchors, on tiles
-   that still have members of several components. Anchors come from the
-   smallest components first, so a group of copies costs a row a copy, and
-   no pair of different components of a tile stays unseen.
-4. Pairs are held against each other by bitmaps of about as many bits as the
-   set has elements (a bit is the parity of the elements hashed to it): the
-   bits that differ bound the overlap from above. The rest are intersected
-   exactly, as sorted arrays, from the whole texts.
+3. The documents of a token make a tile. Tiles of up to ``SMALL`` sets give
+   their pairs of like size, so at most a constant number a row. Larger ones
+   are joined by their first document (a group of near copies shares nearly
+   all its tiles) and parted into bands of sizes, a band into blocks; blocks of
+   one band and of neighbouring ones are held against each other.
+4. Sets are compared by bitmaps of at least four times as many bits as the set
+   has elements (a bit is the parity of the elements hashed to it): the bits
+   that differ bound the overlap from above. Within a pair of blocks only links
+   that would join two components go on, a spanning forest: copies cost a row
+   each, not a row a pair. First each block by itself, then all pairs of
+   blocks; where a link of a forest fails the exact test, all pairs over the
+   bound that are still of different components are tested.
+5. What passes is intersected exactly, as sorted arrays, from the whole texts.
 
 Tokens are 64-bit hashes. Defined cases: a null or empty text has an empty set
 and no links; a row without an id has no component; rows with equal ids are
@@ -25,6 +26,8 @@ one node (a link of one is a link of it), each with its own set's size.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +39,7 @@ from .textvec import each, mix
 
 WORDS, PERCENT = 4, 85
 CELLS = 1 << 16
-SMALL, ANCHORS = 8, 2
+SMALL, BLOCK, MOST_BITS = 8, 4096, 1 << 18
 RUN_BYTES = 32 << 20  # texts between which a task looks for equal sets
 _OTHER = np.uint64(0x9FB21C651E98DF25)
 
@@ -143,13 +146,9 @@ def runs(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tiles(rows: DataFrame, percent: int) -> DataFrame:
-    """kind 1: doc and the doc (other) of an equal set; 2: doc, n; 3: a pair to verify; 4: token and doc of a large tile."""
+    """kind 1: doc and the doc (other) of an equal set; 2: doc, n; 3: a pair to verify; 4: doc, n and the first doc (other) of a large tile."""
 
     def run(batches):
-        for x in batches_by_kind(batches):
-            yield x
-
-    def batches_by_kind(batches):
         tiled = []
 
         def split():
@@ -176,7 +175,7 @@ def tiles(rows: DataFrame, percent: int) -> DataFrame:
                 doc, n = doc[new], n[new]
                 m = len(doc)
                 if m > SMALL:
-                    large.append((cols["token"][i], doc, n))
+                    large.append((np.full(m, doc.min()), doc, n))
                     continue
                 for a in range(m - 1):
                     for b in range(a + 1, m):
@@ -186,8 +185,10 @@ def tiles(rows: DataFrame, percent: int) -> DataFrame:
                 both = np.unique(np.sort(np.array(pairs, np.int64), axis=1), axis=0)
                 zero = np.zeros(len(both), np.int64)
                 yield batch(kind=np.full(len(both), 3, np.int8), doc=both[:, 0], other=both[:, 1], n=zero.astype(np.int32), token=zero)
-            for token, doc, n in large:
-                yield batch(kind=np.full(len(doc), 4, np.int8), doc=doc, other=np.zeros(len(doc), np.int64), n=n, token=np.full(len(doc), token))
+            if large:
+                first, doc, n = (np.concatenate(c) for c in zip(*large, strict=True))
+                _, once = np.unique(np.stack([first, doc]), axis=1, return_index=True)
+                yield batch(kind=np.full(len(once), 4, np.int8), doc=doc[once], other=first[once], n=n[once], token=first[once])
         yield from tiled
 
     dealt = rows.repartition(partitions(rows), "token").sortWithinPartitions("token")
@@ -195,8 +196,8 @@ def tiles(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parities of the set's elements over a power of two of bits, at least as many as elements (size band)."""
-    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    """Parities of the set's elements over a power of two of bits, by the set's size."""
+    bits = min(max(64, 4 << (len(s) - 1).bit_length()), MOST_BITS) if len(s) else 64
     at = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(at.astype(bool), bitorder="little").tobytes()
 
@@ -227,16 +228,27 @@ def signatures(docs: DataFrame, ids: DataFrame, w: int) -> DataFrame:
     return staged(some.mapInArrow(run, "doc long, n int, bits binary, text string"), "signatures")
 
 
-def verified(pairs: DataFrame, sigs: DataFrame, w: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are alike."""
+def side(sigs: DataFrame, name: str, *cols: str) -> DataFrame:
+    return sigs.select(F.col("doc").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
+
+
+def bounded(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow that they are alike."""
 
-    def bounded(batches):
+    def run(batches):
         for x in batches:
             rows = zip(*(x.column(c).to_pylist() for c in ("bits_a", "n_a", "bits_b", "n_b")), strict=True)
             keep = [alike(overlap_bound(a, na, b, nb), na, nb, percent) for a, na, b, nb in rows]
             yield x.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    def exact(batches):
+    both = pairs.join(side(sigs, "a", "n", "bits"), "a").join(side(sigs, "b", "n", "bits"), "b")
+    return staged(both.mapInArrow(run, "a long, b long").distinct(), "near")
+
+
+def verified(pairs: DataFrame, sigs: DataFrame, w: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are alike, by exact intersection."""
+
+    def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 x = whole.slice(at, 256)
@@ -246,41 +258,82 @@ def verified(pairs: DataFrame, sigs: DataFrame, w: int, percent: int) -> DataFra
                     keep.append(bool(both) and alike(both, len(a), len(b), percent))
                 yield x.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    side = lambda s, *cols: sigs.select(F.col("doc").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cols])
-    near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").mapInArrow(bounded, "a long, b long")
-    near = staged(near.distinct(), "near")
-    return near.join(side("a", "text"), "a").join(side("b", "text"), "b").mapInArrow(exact, "a long, b long").distinct()
+    both = pairs.join(side(sigs, "a", "text"), "a").join(side(sigs, "b", "text"), "b")
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
+def folded(bits: list[bytes], words: int) -> np.ndarray:
+    """Bitmaps as rows of so many 64-bit words; wider ones fold by parity."""
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, words), axis=0) for b in bits])
+
+
+def forest(a, b, percent: int, spanning: bool) -> list[tuple[int, int]]:
+    """Links over the bound between two blocks (doc, n, label, bits) of different labels: a spanning forest, or all."""
+    (doc_a, n_a, lab_a, bits_a), (doc_b, n_b, lab_b, bits_b) = a, b
+    words = min(min(map(len, bits_a)), min(map(len, bits_b))) // 8
+    x, y = folded(bits_a, words), folded(bits_b, words)
+    lab_a, lab_b, out = lab_a.copy(), lab_b.copy(), []
+    for i in range(len(doc_a)):
+        js = np.flatnonzero((lab_b != lab_a[i]) & (doc_b != doc_a[i]) & (100 * np.minimum(n_b, n_a[i]) >= percent * np.maximum(n_b, n_a[i])))
+        if not len(js):
+            continue
+        both = (n_a[i] + n_b[js] - np.bitwise_count(y[js] ^ x[i]).sum(1, dtype=np.int64)) // 2
+        js = js[100 * both >= percent * (n_a[i] + n_b[js] - both)]
+        if not len(js):
+            continue
+        labels, first = np.unique(lab_b[js], return_index=True)
+        if spanning:
+            js = js[first]
+            lab_b[np.isin(lab_b, labels)] = lab_a[i]
+            lab_a[np.isin(lab_a, labels)] = lab_a[i]
+        out += [(doc_a[i], d) for d in doc_b[js]]
+    return out
 
 
-def next_round(large: DataFrame, percent: int) -> DataFrame:
-    """Of large tiles (token, doc, n, used, label): kind 3 pairs of unlike labels to verify, kind 4 members with used brought up to date."""
+def block_pairs(large: DataFrame, sigs: DataFrame, labels: DataFrame, percent: int, full: bool, spanning: bool) -> DataFrame:
+    """Pairs (a, b) of the large tiles (tile, doc, n) to test: of each block by itself, or of all pairs of blocks."""
+    width = -math.log(percent / 100)
+    banded = large.withColumn("band", F.floor(F.log("n") / width + 1e-9).cast("int"))
+    sizes = banded.groupBy("tile", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = banded.join(sizes, ["tile", "band"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    rows = rows.join(labels.toDF("doc", "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    own = ("doc", "n", "label")
+    if not full:
+        dealt = rows.select(*own, F.xxhash64("tile", "band", "block").alias("task"), F.lit(0).alias("side"))
+    else:
+        at = lambda other: F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other")
+        name = lambda band, a, b: F.xxhash64(F.col("tile"), band, a, b)
+        band, block, other = F.col("band"), F.col("block"), F.col("other")
+        within = rows.select(*own, "tile", "band", "block", at("blocks"))
+        within = within.select(*own, name(band, F.least(block, other), F.greatest(block, other)).alias("task"), F.when(block == other, 0).when(block < other, 1).otherwise(2).alias("side"))
+        # with the band above: this band's rows on side 1, that one's on side 2
+        near = lambda step: sizes.select("tile", (F.col("band") + step).alias("band"), F.col("blocks").alias("there"))
+        above = rows.join(near(-1), ["tile", "band"]).select(*own, "tile", "band", "block", at("there"))
+        below = rows.join(near(1), ["tile", "band"]).select(*own, "tile", "band", "block", at("there"))
+        across = above.select(*own, F.xxhash64(F.lit("across"), F.col("tile"), band, block, other).alias("task"), F.lit(1).alias("side"))
+        across = across.union(below.select(*own, F.xxhash64(F.lit("across"), F.col("tile"), band - 1, other, block).alias("task"), F.lit(2).alias("side")))
+        dealt = within.union(across)
+        # a task whose rows all have one label has nothing to find
+        busy = dealt.groupBy("task").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("task")
+        dealt = dealt.join(busy, "task", "left_semi")
+    dealt = dealt.join(sigs.select("doc", "bits").dropDuplicates(["doc"]), "doc")
 
     def run(batches):
-        for cols in groups(batches, "token"):
-            edge = np.flatnonzero(np.concatenate([[True], cols["token"][1:] != cols["token"][:-1], [True]]))
-            pairs, rest = [], []
+        for cols in groups(batches, "task"):
+            edge = np.flatnonzero(np.concatenate([[True], cols["task"][1:] != cols["task"][:-1], [True]]))
+            found = []
             for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                doc, n, used, label = (cols[c][i:j] for c in ("doc", "n", "used", "label"))
-                _, of, size = np.unique(label, return_inverse=True, return_counts=True)
-                free = np.flatnonzero(~used)
-                if len(np.unique(of[free])) < 2:
-                    continue  # the others of the tile have been held against all
-                anchors = free[np.lexsort((doc[free], size[of[free]]))][:ANCHORS]
-                for a in anchors.tolist():
-                    other = np.flatnonzero((of != of[a]) & ~used & (100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a])))
-                    pairs.append(np.stack([np.full(len(other), doc[a]), doc[other]], 1))
-                used = used.copy()
-                used[anchors] = True
-                rest.append((np.full(len(doc), cols["token"][i]), doc, n, used))
-            if pairs:
-                both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
-                zero = np.zeros(len(both), np.int64)
-                yield batch(kind=np.full(len(both), 3, np.int8), doc=both[:, 0], other=both[:, 1], n=zero.astype(np.int32), token=zero, used=zero.astype(bool))
-            for token, doc, n, used in rest:
-                yield batch(kind=np.full(len(doc), 4, np.int8), doc=doc, other=np.zeros(len(doc), np.int64), n=n, token=token, used=used)
+                side = cols["side"][i:j]
+                part = lambda at, i=i: tuple(cols[c][i:][at] for c in own) + (cols["bits"][i:][at].tolist(),)
+                pick = [np.flatnonzero(side == k) for k in range(3)]
+                for a, b in ((pick[0], pick[0]), (pick[1], pick[2])):
+                    if len(a) and len(b):
+                        found += forest(part(a), part(b), percent, spanning)
+            if found:
+                both = np.unique(np.sort(np.array(found, np.int64), axis=1), axis=0)
+                yield batch(a=both[:, 0], b=both[:, 1])
 
-    dealt = large.repartition(partitions(large), "token").sortWithinPartitions("token")
-    return staged(dealt.mapInArrow(run, "kind byte, doc long, other long, n int, token long, used boolean"), "round")
+    return dealt.repartition(partitions(large), "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_join(docs: DataFrame, w: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -289,20 +342,20 @@ def jaccard_join(docs: DataFrame, w: int = WORDS, percent: int = PERCENT) -> Dat
     found = staged(tiles(prefixes(docs, shingle_counts(docs, w), w, percent), percent), "tiles")
     equal = found.where("kind = 1").select(F.col("doc").alias("a"), F.col("other").alias("b"))
     pairs = found.where("kind = 3").select(F.col("doc").alias("a"), F.col("other").alias("b")).distinct()
-    large = found.where("kind = 4").select("token", "doc", "n", F.lit(False).alias("used"))
+    large = staged(found.where("kind = 4").select(F.col("other").alias("tile"), "doc", "n").distinct(), "large")
     ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(large.select("doc")).distinct()
     sigs = signatures(docs, ids, w)
-    links = staged(equal.union(verified(pairs, sigs, w, percent)), "verified")
-    labels = components(links)
-    while not large.isEmpty():
-        named = large.join(labels.toDF("doc", "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-        step = next_round(named.select("token", "doc", "n", "used", "label"), percent)
-        pairs = step.where("kind = 3").select(F.col("doc").alias("a"), F.col("other").alias("b")).distinct()
-        large = step.where("kind = 4").select("token", "doc", "n", "used")
+    links = staged(equal.union(verified(bounded(pairs, sigs, percent), sigs, w, percent)), "verified")
+    labels = staged(components(links), "labels")
+    for full, spanning in ((False, True), (True, True), (True, False)):
         if large.isEmpty():
             break
-        links = staged(links.union(verified(pairs, sigs, w, percent)), "verified")
-        labels = components(links)
+        tried = staged(block_pairs(large, sigs, labels, percent, full, spanning), "tried")
+        passed = staged(verified(tried, sigs, w, percent), "verified")
+        links = links.union(passed)
+        labels = staged(components(links), "labels")
+        if full and tried.count() == passed.count():
+            break  # no link of a forest failed, so all pairs over the bound are within components
     rows = found.where("kind = 2").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"))
     return rows.join(labels.toDF("doc_id", "__c"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("__c", "doc_id").alias("component_id"))
 
