@@ -173,7 +173,7 @@ def passages(here: np.ndarray, there: np.ndarray, w: int, min_words: int, simila
         if p[-1] - p[0] + w < min_words:
             continue
         shift = q - p
-        near = np.abs(shift - np.median(shift)) <= len(p) // 4 + w
+        near = np.abs(shift - np.sort(shift)[len(shift) // 2]) <= len(p) // 4 + w
         p2, q2 = p[near], q[near]
         lo, hi, lo2, hi2 = p2[0], p2[-1] + 1, q2.min(), q2.max() + 1
         a, b = np.unique(here[lo:hi]), np.unique(there[lo2:hi2])
