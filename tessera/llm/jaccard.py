@@ -6,12 +6,13 @@
    n - ceil(t * n / 100) + 1 of each (prefix filter). These go out by token.
    Sets that are equal within a run of a task's input go out once.
 3. The documents of a token make a tile. Tiles of up to ``SMALL`` sets give
-   their pairs of like size, so at most a constant number a row. Larger ones
-   are joined by their first document (a group of near copies shares nearly
-   all its tiles) and parted into bands of sizes, a band into blocks; blocks of
+   their pairs of like size, so at most a constant number a row; a pair goes on
+   if it shares enough of its prefixes for the overlap it needs. Larger tiles
+   are joined by their first document (a group of near copies shares most of
+   its tiles) and parted into bands of sizes, a band into blocks; blocks of
    one band and of neighbouring ones are held against each other.
-4. Sets are compared by bitmaps of at least four times as many bits as the set
-   has elements (a bit is the parity of the elements hashed to it): the bits
+4. Sets are compared by bitmaps of at least twice as many bits as the set has
+   elements (a bit is the parity of the elements hashed to it): the bits
    that differ bound the overlap from above. Within a pair of blocks only links
    that would join two components go on, a spanning forest: copies cost a row
    each, not a row a pair. First each block by itself, then all pairs of
@@ -27,6 +28,7 @@ one node (a link of one is a link of it), each with its own set's size.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,8 @@ from .components import components
 from .textvec import each, mix
 
 WORDS, PERCENT = 4, 85
-CELLS = 1 << 16
-SMALL, BLOCK, MOST_BITS = 8, 4096, 1 << 18
+CELLS = 1 << 20
+SMALL, BLOCK_BYTES, MOST_BITS = 16, 4 << 20, 1 << 18
 RUN_BYTES = 32 << 20  # texts between which a task looks for equal sets
 _OTHER = np.uint64(0x9FB21C651E98DF25)
 
@@ -57,27 +59,23 @@ def shingle_sets(texts: pa.Array, w: int):
 
 def shingle_counts(docs: DataFrame, w: int, cells: int = CELLS) -> np.ndarray:
     """How many shingles of all documents fall to each of a fixed number of cells."""
-    shift, block = np.uint64(64 - (cells.bit_length() - 1)), 4096
+    shift, block = np.uint64(64 - (cells.bit_length() - 1)), cells // 16
 
     def count(batches):
         total = np.zeros(cells, np.int64)
         for x in batches:
             for _, _, words in each(x.column("text"), lower=True):
                 total += np.bincount((words.shingles(w)[0] >> shift).astype(np.int64), minlength=cells)
-        yield batch(cell=np.arange(cells // block, dtype=np.int32), counts=[total[i : i + block].astype("<i8").tobytes() for i in range(0, cells, block)])
+        yield batch(cell=np.arange(cells // block, dtype=np.int32), counts=[zlib.compress(total[i : i + block].astype("<i8").tobytes(), 1) for i in range(0, cells, block)])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c.as_py(), "<i8") for c in table.column("counts"))
-        return pa.table({"cell": table.column("cell")[:1], "counts": [total.tobytes()]})
-
-    def add_batches(batches):  # sums within a task first, so that a few rows a task meet
+    def add(batches):
         total: dict[int, np.ndarray] = {}
         for x in batches:
             for cell, counts in zip(x.column("cell").to_pylist(), x.column("counts"), strict=True):
-                total[cell] = total.get(cell, 0) + np.frombuffer(counts.as_py(), "<i8")
+                total[cell] = total.get(cell, 0) + np.frombuffer(zlib.decompress(counts.as_py()), "<i8")
         yield batch(cell=pa.array(list(total), pa.int32()), counts=pa.array([t.tobytes() for t in total.values()], pa.binary()))
 
-    parts = docs.mapInArrow(count, "cell int, counts binary").repartition(16, "cell").mapInArrow(add_batches, "cell int, counts binary")
+    parts = docs.mapInArrow(count, "cell int, counts binary").repartition(16, "cell").mapInArrow(add, "cell int, counts binary")
     out = np.zeros(cells, np.int64)
     for r in parts.collect():  # cells * 8 bytes, whatever the input
         out[r["cell"] * block : (r["cell"] + 1) * block] = np.frombuffer(r["counts"], "<i8")
@@ -87,7 +85,7 @@ def shingle_counts(docs: DataFrame, w: int, cells: int = CELLS) -> np.ndarray:
 def prefixes(docs: DataFrame, counts: np.ndarray, w: int, percent: int) -> DataFrame:
     """kind 0: token, doc, n, print of the prefix tokens; 1: doc and an equal set's doc (in print); 2: doc and n."""
     shift = np.uint64(64 - (len(counts).bit_length() - 1))
-    level = np.floor(4 * np.log2(counts + 1)).astype(np.uint64)
+    level = np.minimum(6 * np.log2(counts + 1), 255).astype(np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches):
@@ -108,7 +106,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, w: int, percent: int) -> DataF
                         out.append((np.ones(1, np.int8), [doc], [n], [first], mix(np.array([doc & (1 << 62) - 1], np.uint64))))
                         continue
                     k = n - -(-percent * n // 100) + 1
-                    order = np.sort(level[(s >> shift).astype(np.int64)] << np.uint64(56) | s >> np.uint64(8))[:k]
+                    order = np.sort(level[(s >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8))[:k]
                     out.append((np.zeros(k, np.int8), np.full(k, doc), np.full(k, n), np.full(k, print1.astype(np.int64)), order))
                     if size > RUN_BYTES:
                         seen, size = {}, 0
@@ -146,7 +144,7 @@ def runs(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tiles(rows: DataFrame, percent: int) -> DataFrame:
-    """kind 1: doc and the doc (other) of an equal set; 2: doc, n; 3: a pair to verify; 4: doc, n and the first doc (other) of a large tile."""
+    """kind 1: doc and the doc (other) of an equal set; 2: doc, n; 3: a pair, its sizes (n, token) and how many tokens it shared here; 4: doc, n and the first doc (other) of a large tile."""
 
     def run(batches):
         tiled = []
@@ -157,7 +155,7 @@ def tiles(rows: DataFrame, percent: int) -> DataFrame:
                 own = np.flatnonzero(kind == 0)
                 if len(own) < x.num_rows:
                     other = x.take(pa.array(np.flatnonzero(kind != 0)))
-                    tiled.append(batch(kind=other.column("kind"), doc=other.column("doc"), other=other.column("print"), n=other.column("n"), token=other.column("token")))
+                    tiled.append(batch(kind=other.column("kind"), doc=other.column("doc"), other=other.column("print"), n=other.column("n"), token=other.column("token"), shared=np.zeros(other.num_rows, np.int32)))
                 if len(own):
                     yield x.take(pa.array(own))
 
@@ -171,33 +169,34 @@ def tiles(rows: DataFrame, percent: int) -> DataFrame:
                 doc, n, prt = cols["doc"][by], cols["n"][by], cols["print"][by]
                 new = np.concatenate([[True], (prt[1:] != prt[:-1]) | (n[1:] != n[:-1])])
                 lead = doc[new][np.cumsum(new) - 1]
-                pairs += [(a, b) for a, b in zip(lead[~new].tolist(), doc[~new].tolist(), strict=True) if a != b]
+                pairs += [(min(a, b), max(a, b), k, k) for a, b, k in zip(lead[~new].tolist(), doc[~new].tolist(), n[~new].tolist(), strict=True) if a != b]
                 doc, n = doc[new], n[new]
                 m = len(doc)
                 if m > SMALL:
                     large.append((np.full(m, doc.min()), doc, n))
                     continue
+                doc, n = doc.tolist(), n.tolist()
                 for a in range(m - 1):
                     for b in range(a + 1, m):
-                        if 100 * n[a] >= percent * n[b]:
-                            pairs.append((doc[a], doc[b]))
+                        if 100 * n[a] < percent * n[b]:
+                            break
+                        pairs.append((doc[a], doc[b], n[a], n[b]) if doc[a] < doc[b] else (doc[b], doc[a], n[b], n[a]))
             if pairs:
-                both = np.unique(np.sort(np.array(pairs, np.int64), axis=1), axis=0)
-                zero = np.zeros(len(both), np.int64)
-                yield batch(kind=np.full(len(both), 3, np.int8), doc=both[:, 0], other=both[:, 1], n=zero.astype(np.int32), token=zero)
+                pairs, shared = np.unique(np.array(pairs, np.int64), axis=0, return_counts=True)
+                yield batch(kind=np.full(len(pairs), 3, np.int8), doc=pairs[:, 0], other=pairs[:, 1], n=pairs[:, 2].astype(np.int32), token=pairs[:, 3], shared=shared.astype(np.int32))
             if large:
                 first, doc, n = (np.concatenate(c) for c in zip(*large, strict=True))
                 _, once = np.unique(np.stack([first, doc]), axis=1, return_index=True)
-                yield batch(kind=np.full(len(once), 4, np.int8), doc=doc[once], other=first[once], n=n[once], token=first[once])
+                yield batch(kind=np.full(len(once), 4, np.int8), doc=doc[once], other=first[once], n=n[once], token=first[once], shared=np.zeros(len(once), np.int32))
         yield from tiled
 
     dealt = rows.repartition(partitions(rows), "token").sortWithinPartitions("token")
-    return dealt.mapInArrow(run, "kind byte, doc long, other long, n int, token long")
+    return dealt.mapInArrow(run, "kind byte, doc long, other long, n int, token long, shared int")
 
 
 def bitmap(s: np.ndarray) -> bytes:
     """Parities of the set's elements over a power of two of bits, by the set's size."""
-    bits = min(max(64, 4 << (len(s) - 1).bit_length()), MOST_BITS) if len(s) else 64
+    bits = min(max(64, 2 << (len(s) - 1).bit_length()), MOST_BITS) if len(s) else 64
     at = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(at.astype(bool), bitorder="little").tobytes()
 
@@ -267,14 +266,16 @@ def folded(bits: list[bytes], words: int) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, words), axis=0) for b in bits])
 
 
-def forest(a, b, percent: int, spanning: bool) -> list[tuple[int, int]]:
-    """Links over the bound between two blocks (doc, n, label, bits) of different labels: a spanning forest, or all."""
+def forest(a, b, percent: int, spanning: bool, same: bool) -> list[tuple[int, int]]:
+    """Links over the bound between two blocks (doc, n, label, bits), or within one, of different labels: a spanning forest, or all."""
     (doc_a, n_a, lab_a, bits_a), (doc_b, n_b, lab_b, bits_b) = a, b
     words = min(min(map(len, bits_a)), min(map(len, bits_b))) // 8
     x, y = folded(bits_a, words), folded(bits_b, words)
-    lab_a, lab_b, out = lab_a.copy(), lab_b.copy(), []
+    lab_b, out = lab_b.copy(), []
+    lab_a = lab_b if same else lab_a.copy()
     for i in range(len(doc_a)):
-        js = np.flatnonzero((lab_b != lab_a[i]) & (doc_b != doc_a[i]) & (100 * np.minimum(n_b, n_a[i]) >= percent * np.maximum(n_b, n_a[i])))
+        from_ = i + 1 if same else 0
+        js = from_ + np.flatnonzero((lab_b[from_:] != lab_a[i]) & (doc_b[from_:] != doc_a[i]) & (100 * np.minimum(n_b[from_:], n_a[i]) >= percent * np.maximum(n_b[from_:], n_a[i])))
         if not len(js):
             continue
         both = (n_a[i] + n_b[js] - np.bitwise_count(y[js] ^ x[i]).sum(1, dtype=np.int64)) // 2
@@ -285,16 +286,34 @@ def forest(a, b, percent: int, spanning: bool) -> list[tuple[int, int]]:
         if spanning:
             js = js[first]
             lab_b[np.isin(lab_b, labels)] = lab_a[i]
-            lab_a[np.isin(lab_a, labels)] = lab_a[i]
+            if same:
+                lab_a = lab_b
+            else:
+                lab_a[np.isin(lab_a, labels)] = lab_a[i]
         out += [(doc_a[i], d) for d in doc_b[js]]
     return out
 
 
+def merged(large: DataFrame) -> DataFrame:
+    """Large tiles, those of like size whose first document is in another one under that one's name.
+
+    A group of near copies has a tile for most of its tokens, each lacking some
+    copies, so their first documents differ; under one name they are compared once.
+    """
+    sizes = large.groupBy("tile").agg(F.count("*").alias("size"))
+    first = large.join(sizes.select(F.col("tile").alias("doc"), F.col("size").alias("own")), "doc").join(sizes, "tile")
+    to = first.where("own <= 2 * size and size <= 2 * own").groupBy(F.col("doc").alias("tile")).agg(F.min("tile").alias("to"))
+    for _ in range(2):
+        to = to.join(to.toDF("to", "on"), "to", "left").select("tile", F.coalesce("on", "to").alias("to"))
+    return large.join(to, "tile").select(F.col("to").alias("tile"), "doc", "n").distinct()
+
+
 def block_pairs(large: DataFrame, sigs: DataFrame, labels: DataFrame, percent: int, full: bool, spanning: bool) -> DataFrame:
     """Pairs (a, b) of the large tiles (tile, doc, n) to test: of each block by itself, or of all pairs of blocks."""
     width = -math.log(percent / 100)
     banded = large.withColumn("band", F.floor(F.log("n") / width + 1e-9).cast("int"))
-    sizes = banded.groupBy("tile", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = banded.groupBy("tile", "band").agg(F.count("*").alias("rows"), F.least(F.pow(2.0, F.ceil(F.log2(F.max("n"))) + 1) / 8, F.lit(MOST_BITS / 8)).alias("bytes"))
+    sizes = sizes.select("tile", "band", F.ceil(F.col("rows") * F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
     rows = banded.join(sizes, ["tile", "band"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     rows = rows.join(labels.toDF("doc", "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     own = ("doc", "n", "label")
@@ -328,7 +347,7 @@ def block_pairs(large: DataFrame, sigs: DataFrame, labels: DataFrame, percent: i
                 pick = [np.flatnonzero(side == k) for k in range(3)]
                 for a, b in ((pick[0], pick[0]), (pick[1], pick[2])):
                     if len(a) and len(b):
-                        found += forest(part(a), part(b), percent, spanning)
+                        found += forest(part(a), part(b), percent, spanning, a is b)
             if found:
                 both = np.unique(np.sort(np.array(found, np.int64), axis=1), axis=0)
                 yield batch(a=both[:, 0], b=both[:, 1])
@@ -341,8 +360,13 @@ def jaccard_join(docs: DataFrame, w: int = WORDS, percent: int = PERCENT) -> Dat
     docs = docs.select("doc_id", "text")
     found = staged(tiles(prefixes(docs, shingle_counts(docs, w), w, percent), percent), "tiles")
     equal = found.where("kind = 1").select(F.col("doc").alias("a"), F.col("other").alias("b"))
-    pairs = found.where("kind = 3").select(F.col("doc").alias("a"), F.col("other").alias("b")).distinct()
+    # tokens shared beyond the prefixes are at most what lies behind one of them; pairs that share a large tile's token are tried there
+    size = lambda c: F.col(c) - (F.col(c) - F.ceil(F.lit(percent) * F.col(c) / 100) + 1)
+    enough = F.col("shared") + F.greatest(size("n"), size("token")) >= F.ceil(F.lit(percent) * (F.col("n") + F.col("token")) / (100 + percent))
+    counted = found.where("kind = 3").groupBy(F.col("doc").alias("a"), F.col("other").alias("b"), "n", "token").agg(F.sum("shared").alias("shared"))
+    pairs = staged(counted.where(enough).select("a", "b").distinct(), "pairs")
     large = staged(found.where("kind = 4").select(F.col("other").alias("tile"), "doc", "n").distinct(), "large")
+    large = staged(merged(large), "merged")
     ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(large.select("doc")).distinct()
     sigs = signatures(docs, ids, w)
     links = staged(equal.union(verified(bounded(pairs, sigs, percent), sigs, w, percent)), "verified")
