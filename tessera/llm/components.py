@@ -36,3 +36,13 @@ def components(links: DataFrame) -> DataFrame:
         found = staged(found, "roots")
     least = found.groupBy("root").agg(F.min("node").alias("component"))
     return found.join(least, "root").select("node", "component")
+
+
+def join_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component) after more links: only components that these join are worked on."""
+    name = lambda end: labels.toDF(end, f"{end}_of")
+    named = links.select("a", "b").join(name("a"), "a", "left").join(name("b"), "b", "left")
+    named = named.select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")).where("a <> b")
+    more = staged(components(named), "joined")
+    old = labels.join(more.toDF("component", "__to"), "component", "left").select("node", F.coalesce("__to", "component").alias("component"))
+    return old.union(more.join(labels.select("node"), "node", "left_anti"))

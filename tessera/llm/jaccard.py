@@ -36,12 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, partitions, staged
-from .components import components
+from .components import components, join_components
 from .textvec import each, mix
 
 WORDS, PERCENT = 4, 85
 CELLS = 1 << 20
 SMALL, BLOCK_BYTES, MOST_BITS = 16, 4 << 20, 1 << 18
+MARKS = 8388593  # bits of the table of ids
 RUN_BYTES = 32 << 20  # texts between which a task looks for equal sets
 _OTHER = np.uint64(0x9FB21C651E98DF25)
 
@@ -214,17 +215,34 @@ def alike(overlap: int, na: int, nb: int, percent: int) -> bool:
 
 
 def signatures(docs: DataFrame, ids: DataFrame, w: int) -> DataFrame:
-    """doc, n, bits and text of the documents in ids (column doc)."""
+    """doc, n, bits and text of the documents in ids (column doc).
+
+    A bit table of fixed size, at the ids' remainders, spares most other texts
+    the way through the join; the join itself is exact.
+    """
+    at = F.pmod(F.col("doc"), F.lit(MARKS))
+    marks = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    table = np.zeros((MARKS // 32768 + 2, 4096), np.uint8)
+    for r in marks.collect():  # at most MARKS bits
+        table[r["bucket"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
+        marked = sent.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                x = whole.slice(at, 512)
+            doc = whole.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.mod(doc, MARKS)
+            # buckets count from 1, and each holds 32768 bits from its first byte's lowest on
+            bucket, bit = (at - 1) // 32768 + 1, (at - 1) % 32768
+            bucket, bit = np.where(at > 0, bucket, 0), np.where(at > 0, bit, 0)
+            some = whole.filter(pa.array((marked[bucket, bit >> 3] >> (bit & 7) & 1).astype(bool)))
+            for i in range(0, some.num_rows, 512):
+                x = some.slice(i, 512)
                 sets = [(len(s), bitmap(s)) for s in shingle_sets(x.column("text"), w)]
                 yield batch(doc=x.column("doc_id"), n=pa.array([n for n, _ in sets], pa.int32()), bits=pa.array([b for _, b in sets], pa.binary()), text=x.column("text"))
 
-    some = docs.select("doc_id", "text").join(ids.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
-    return staged(some.mapInArrow(run, "doc long, n int, bits binary, text string"), "signatures")
+    some = docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc long, n int, bits binary, text string")
+    return staged(some.join(ids, "doc", "left_semi"), "signatures")
 
 
 def side(sigs: DataFrame, name: str, *cols: str) -> DataFrame:
@@ -376,8 +394,7 @@ def jaccard_join(docs: DataFrame, w: int = WORDS, percent: int = PERCENT) -> Dat
             break
         tried = staged(block_pairs(large, sigs, labels, percent, full, spanning), "tried")
         passed = staged(verified(tried, sigs, w, percent), "verified")
-        links = links.union(passed)
-        labels = staged(components(links), "labels")
+        labels = staged(join_components(labels, passed), "labels")
         if full and tried.count() == passed.count():
             break  # no link of a forest failed, so all pairs over the bound are within components
     rows = found.where("kind = 2").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"))
