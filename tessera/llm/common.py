@@ -11,6 +11,8 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table's Parquet data, by whatever file system the path names."""
@@ -44,6 +46,17 @@ def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send rows with whole texts to Python in batches of at most BATCH_BYTES, so workers hold little at once.
+
+    This is the session's setting; a smaller one is left as it is.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key, None) or "")
+        if not now.isdigit() or int(now) > most:
+            spark.conf.set(key, str(most))
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, partitions, staged
+from .common import batch, partitions, small_batches, staged
 from .components import components, join_components
 from .textvec import each, mix
 
@@ -375,6 +375,7 @@ def block_pairs(large: DataFrame, sigs: DataFrame, labels: DataFrame, percent: i
 
 def jaccard_join(docs: DataFrame, w: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     found = staged(tiles(prefixes(docs, shingle_counts(docs, w), w, percent), percent), "tiles")
     equal = found.where("kind = 1").select(F.col("doc").alias("a"), F.col("other").alias("b"))

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batch, partitions, staged
+from .common import Memo, batch, partitions, small_batches, staged
 from .textvec import slices, text_buffers
 
 VOCABULARY = "word_bpe_49k.json"
@@ -93,6 +93,7 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every piece of every document."""
+    small_batches(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches):

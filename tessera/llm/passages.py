@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, partitions, staged
+from .common import batch, partitions, small_batches, staged
 from .jaccard import groups, runs
 from .textvec import Words, each, mix, stream, text_buffers
 
 WORDS, MIN_WORDS, SIMILARITY, HASHES = 5, 50, 0.8, 4
-RUN_WORDS = 4 << 20  # words between which a task looks for repeated windows
+RUN_WORDS = 1 << 20  # words between which a task looks for repeated windows
 SPAN = 0xFFFF
 
 
@@ -190,6 +190,7 @@ def passages(here: np.ndarray, there: np.ndarray, w: int, min_words: int, simila
 
 def shared_passages(docs: DataFrame, w: int = WORDS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hashes: int = HASHES, enough: int = 1) -> DataFrame:
     """doc_id, start_word, end_word and the representative's rep_doc_id, rep_start_word, rep_end_word, n_shared, similarity."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     links = linked(windows(docs, w, min_words - w + 1, hashes)).where("doc <> rep").distinct()
     per_doc = links.groupBy("doc").agg(F.collect_list(F.struct("rep", "pos", "rep_pos")).alias("links"))

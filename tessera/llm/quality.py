@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch
+from .common import batch, small_batches
 from .textvec import SPACE, each, mix
 
 MIN_REPEAT = 50
@@ -132,6 +132,7 @@ def judge_texts(texts: pa.Array, min_repeat: int, max_covered: float, max_longes
 def quality_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and what the suffix array found (in bytes)."""
 
+    small_batches(docs.sparkSession)
     def run(batches):
         for x in batches:
             yield batch(doc_id=x.column("doc_id"), **judge_texts(x.column("text"), min_repeat, max_covered, max_longest))

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import batch, small_batches
 from .textvec import PUNCT, each
 
 SAMPLE = 6000
@@ -177,6 +177,7 @@ def learnable(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from at most ``sample`` labelled rows, those with the smallest hashes of their ids."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learnable(F.col("doc_id"))).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     some = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # at most ``sample`` rows of two numbers
 
@@ -192,6 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score, threshold (of the row's language) and rejected."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
