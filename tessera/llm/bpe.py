@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from .common import Memo, batch, small_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-KEEP = 150_000  # chunks and pieces that a worker remembers, each at most twice as many
+KEEP = 300_000  # chunks and pieces that a worker remembers, each at most twice as many
 #: A space beside other white space; there the pattern may match across it.
 RUN = re.compile(r"\s | \s")
 
@@ -49,7 +49,7 @@ class Vocabulary:
         #: Every end of a token: the token that it is, if merging its bytes gives that token, else -1.
         self.ends = {t[i:]: -1 for t in self.ids for i in range(len(t))}
         self.ends |= {t: i for t, i in self.ids.items() if self.merge(t) == [i]}
-        self._follows: dict[int, bool] = {}
+        self.known: dict[int, bool] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Merges of lowest rank first: the definition, for short strings."""
@@ -65,10 +65,10 @@ class Vocabulary:
 
     def follows(self, a: int, b: int) -> bool:
         key = a << 32 | b
-        if (found := self._follows.get(key)) is None:
-            if len(self._follows) > 500_000:
-                self._follows.clear()
-            found = self._follows[key] = self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
+        if (found := self.known.get(key)) is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            found = self.known[key] = self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
         return found
 
 
@@ -84,17 +84,26 @@ class Prefixes:
         self.vocab, self.data, self.last = vocab, b"", []
         self.append(data)
 
-    def _last(self, data: bytes, end: int) -> int:
-        ends, last, start = self.vocab.ends, self.last, end - 1
-        while (token := ends[data[start:end]]) < 0 or start and not self.vocab.follows(last[start - 1], token):
-            start -= 1
-        return token
+    def _extend(self, upto: int) -> None:
+        """The last tokens of the prefixes up to so many bytes."""
+        vocab, data, last = self.vocab, self.data, self.last
+        ends, known = vocab.ends, vocab.known
+        for end in range(len(last) + 1, upto + 1):
+            start = end
+            while True:
+                start -= 1
+                token = ends[data[start:end]]
+                if token >= 0:
+                    if start == 0:
+                        break
+                    fits = known.get(last[start - 1] << 32 | token)
+                    if vocab.follows(last[start - 1], token) if fits is None else fits:
+                        break
+            last.append(token)
 
     def append(self, more: bytes) -> None:
-        before = len(self.data)
         self.data += more
-        for end in range(before + 1, len(self.data) + 1):
-            self.last.append(self._last(self.data, end))
+        self._extend(len(self.data))
 
     def edit(self, at: int, removed: int, inserted: bytes) -> int:
         """Replace bytes; gives how many prefixes were computed again.
@@ -109,7 +118,7 @@ class Prefixes:
         longest, agreed, end = self.vocab.longest, 0, at
         while end < len(self.data):
             end += 1
-            self.last.append(self._last(self.data, end))
+            self._extend(end)
             inside = end > at + len(inserted)
             agreed = agreed + 1 if inside and self.last[-1] == old[end - 1 - shift] else 0
             if agreed >= longest:
