@@ -117,7 +117,10 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     lists = int(np.clip(vectors.count() // ROWS_A_LIST, 1, min(MOST_LISTS, len(rows))))
     probed = min(lists, max(LEAST_PROBED, int(np.ceil(PROBED * lists))))
     sent = spark.sparkContext.broadcast((centres(rows, lists), rows[:BOUND], rotation(dim)))
-    values = lambda m: pa.array(list(m.astype(np.float64).tobytes()[i : i + 8 * dim] for i in range(0, m.size * 8, 8 * dim)), pa.binary())
+
+    def values(m: np.ndarray) -> pa.Array:
+        raw, step = m.astype(np.float64).tobytes(), 8 * dim
+        return pa.array([raw[i : i + step] for i in range(0, len(raw), step)], pa.binary())
 
     def assign(batches):
         c = sent.value[0]
