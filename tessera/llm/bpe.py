@@ -135,10 +135,10 @@ class Prefixes:
 
 
 class Encoder:
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
+    def __init__(self, path: str, keep: int = KEEP, pattern: str = public_tokenizers.PATTERN):
         self.vocab, self.pattern = vocabulary(path), regex.compile(pattern)
-        self.pieces = Memo(self._piece, KEEP)
-        self.first, self.spaced = Memo(self._chunk, 1000), Memo(lambda c: self._chunk(" " + c), KEEP)
+        self.pieces = Memo(self._piece, keep)
+        self.first, self.spaced = Memo(self._chunk, 1000), Memo(lambda c: self._chunk(" " + c), keep)
 
     def _piece(self, piece: str) -> list[int]:
         data = piece.encode()
@@ -166,8 +166,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, keep: int = KEEP) -> Encoder:
+    return Encoder(path, keep)
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:

@@ -32,13 +32,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, encoder
-from .common import batch, partitions, staged
+from .common import batch, partitions, small_batches, staged
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[ROLE:", "[/ROLE]")
 _CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
 _TURN = re.compile(r"(?s)<s>\[INST\] (?P<user>.*?) \[/INST\]| (?P<assistant>.*?) </s>|<s>\[ROLE:(?P<role>(?:\\.|[^\\\]])*)\] (?P<text>.*?) \[/ROLE\]")
 
 
+KEEP = 20_000  # chunks that a worker remembers
+STEP = 8  # bytes of a key that a path has for each turn; they only order and tell apart children of one node
+
+
 def escape(text: str, more: str = "") -> str:
     text = _CONTROL.sub(lambda m: m[0][0] + "\0\\" + m[0][1:], text.replace("\\", "\\\\").replace("\0", "\\0"))
     for c in more:
@@ -73,24 +77,32 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 def turn_rows(conversations: DataFrame) -> DataFrame:
     """conv_id, depth, key, path, role, text of every turn."""
+    small_batches(conversations.sparkSession)
     whole = conversations.groupBy("conv_id").agg(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("turns"))
 
+    def rows_of(out: list) -> pa.RecordBatch:
+        conv, depth, key, path, role, text = map(list, zip(*out, strict=True))
+        return batch(conv_id=pa.array(conv, pa.int64()), depth=pa.array(depth, pa.int32()), key=key, path=path, role=role, text=text)
+
     def run(batches):
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 x = big.slice(at, 256)
-                out = []
+                out, held = [], 0
                 for conv, turns in zip(x.column("conv_id").to_pylist(), x.column("turns").to_pylist(), strict=True):
                     turns.sort(key=lambda t: (t["turn"] is not None, t["turn"] or 0, t["role"], t["text"]))
                     key, path = b"", b""
                     for depth, t in enumerate(turns):
                         role, text = t["role"].encode(), t["text"].encode()
                         key = hashlib.sha256(key + len(role).to_bytes(8, "little") + role + text).digest()[:16]
-                        path += key
+                        path += key[:STEP]
                         out.append((conv, depth, key, path, t["role"], t["text"]))
+                        held += len(path) + len(text)
+                        if held > 4 << 20:  # long conversations have long paths
+                            yield rows_of(out)
+                            out, held = [], 0
                 if out:
-                    conv, depth, key, path, role, text = map(list, zip(*out, strict=True))
-                    yield batch(conv_id=pa.array(conv, pa.int64()), depth=pa.array(depth, pa.int32()), key=key, path=path, role=role, text=text)
+                    yield rows_of(out)
 
     return whole.mapInArrow(run, "conv_id long, depth int, key binary, path binary, role string, text string")
 
@@ -101,7 +113,7 @@ def prefix_tree(turns: DataFrame, vocabulary: str | None = None) -> DataFrame:
     nodes = turns.groupBy("key", "path", "depth", "role", "text").agg(F.count("*").alias("n_convs"))  # a key has one path, depth, role and text
 
     def encode(batches):
-        coder = encoder(vocabulary)
+        coder = encoder(vocabulary, KEEP)
         for x in batches:
             rows = []
             for role, text in zip(x.column("role").to_pylist(), x.column("text").to_pylist(), strict=True):
@@ -126,55 +138,62 @@ def prefix_tree(turns: DataFrame, vocabulary: str | None = None) -> DataFrame:
     placed = staged(ordered.mapInArrow(number, schema + ", part int, row long"), "ordered")
     sizes = placed.select("part", "row", "depth", "path", F.size("tokens").cast("long").alias("n"))
     total = sizes.groupBy("part").agg(F.sum("n").alias("n"))
-    last = sizes.groupBy("part").agg(F.max_by("path", "row").alias("path"), F.max("row").alias("row"))
-    before, ends, at = {}, {}, 0  # a row a partition
+    first = sizes.groupBy("part").agg(F.min_by("path", "row").alias("path"))
+    before, at = {}, 0  # a row a partition
     for r in sorted(total.collect(), key=lambda r: r["part"]):
         before[r["part"]], at = at, at + r["n"]
-    for r in last.collect():
-        ends[r["part"]] = bytes(r["path"])
-    # ancestors of a partition's first node that lie in earlier ones: on the last paths of those
-    wanted = sorted({ends[p][i : i + 16] for p in ends for i in range(0, len(ends[p]), 16)})
+    # ancestors that lie in earlier partitions are ancestors of the partition's first node
+    heads = {r["part"]: [bytes(r["path"])[i : i + STEP] for i in range(0, len(r["path"]) - STEP, STEP)] for r in first.collect()}
     spark = turns.sparkSession
-    asked = spark.createDataFrame([(bytearray(k),) for k in wanted], "key binary")
     sent = spark.sparkContext.broadcast(before)
 
     def stacked(batches):
-        at, stack, part = 0, [], None
+        """Starts; how many ancestors are in earlier partitions; the intervals of the others, joined where they touch."""
+        part = None
         for x in batches:
-            start, spans = [], []
+            start, missing, spans, positions = [], [], [], []
             for p, path, n in zip(x.column("part").to_pylist(), x.column("path").to_pylist(), x.column("n").to_pylist(), strict=True):
                 if p != part:
                     part, at, stack = p, sent.value[p], []
                 while stack and not path.startswith(stack[-1][0]):
                     stack.pop()
+                if stack:
+                    _, s, m, own, lost, seen = stack[-1]
+                    own = [*own[:-1], (own[-1][0], s + m)] if own and own[-1][1] == s else [*own, (s, s + m)]
+                    seen += m
+                else:
+                    own, lost, seen = [], len(path) // STEP - 1, 0
                 start.append(at)
-                spans.append([{"start": s[1], "end": s[1] + s[2]} for s in stack])
-                stack.append((path, at, n))
+                missing.append(lost)
+                spans.append([{"start": a, "end": b} for a, b in own])
+                positions.append(seen)
+                stack.append((path, at, n, own, lost, seen))
                 at += n
-            interval = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield batch(key=x.column("key"), path=x.column("path"), depth=x.column("depth"), n=x.column("n"), start=pa.array(start, pa.int64()), spans=pa.array(spans, interval))
-
-    one = placed.select("part", "row", "key", "path", "depth", F.size("tokens").cast("long").alias("n")).repartition(partitions(turns), "part").sortWithinPartitions("part", "row")
-    layout = staged(one.mapInArrow(stacked, "key binary, path binary, depth int, n long, start long, spans array<struct<start:long,end:long>>"), "layout")
-    # of nodes whose path began in an earlier partition, those ancestors are on some partition's last path
-    edge = layout.join(F.broadcast(asked), "key").select("key", "start", "n").collect() if wanted else []
-    known = spark.sparkContext.broadcast({bytes(r["key"]): (r["start"], r["start"] + r["n"]) for r in edge})
+            yield batch(key=x.column("key"), n=x.column("n"), part=x.column("part"), start=pa.array(start, pa.int64()), missing=pa.array(missing, pa.int32()), seen=pa.array(positions, pa.int64()), spans=pa.array(spans, interval))
+
+    interval = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    one = placed.select("part", "row", "key", "path", F.size("tokens").cast("long").alias("n")).repartition(partitions(turns), "part").sortWithinPartitions("part", "row")
+    layout = staged(one.mapInArrow(stacked, "key binary, n long, part int, start long, missing int, seen long, spans array<struct<start:long,end:long>>"), "layout")
+    asked = sorted({k for h in heads.values() for k in h})
+    found = {}
+    if asked:
+        wanted = F.broadcast(spark.createDataFrame([(bytearray(k),) for k in asked], "k binary"))  # a path a partition
+        found = {bytes(r["k"]): (r["start"], r["start"] + r["n"]) for r in layout.withColumn("k", F.substring("key", 1, STEP)).join(wanted, "k").select("k", "start", "n").collect()}
+    known = spark.sparkContext.broadcast({p: [found[k] for k in h] for p, h in heads.items()})
 
     def complete(batches):
         for x in batches:
             position, whole = [], []
-            for path, depth, spans in zip(x.column("path").to_pylist(), x.column("depth").to_pylist(), x.column("spans").to_pylist(), strict=True):
-                missing = depth - len(spans)
-                own = [known.value[path[16 * i : 16 * i + 16]] for i in range(missing)] + [(s["start"], s["end"]) for s in spans]
-                position.append(sum(b - a for a, b in own))
+            for part, missing, seen, spans in zip(*(x.column(c).to_pylist() for c in ("part", "missing", "seen", "spans")), strict=True):
+                far = known.value[part][:missing]
                 joined: list = []
-                for a, b in own:
+                for a, b in [*far, *((s["start"], s["end"]) for s in spans)]:
                     if joined and joined[-1]["end"] == a:
                         joined[-1]["end"] = b
                     else:
                         joined.append({"start": a, "end": b})
+                position.append(seen + sum(b - a for a, b in far))
                 whole.append(joined)
-            interval = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield batch(key=x.column("key"), start=x.column("start"), position=pa.array(position, pa.int64()), ancestors=pa.array(whole, interval))
 
     where = layout.mapInArrow(complete, "key binary, start long, position long, ancestors array<struct<start:long,end:long>>")
@@ -188,7 +207,7 @@ def read_back(turns: DataFrame, tree: DataFrame, vocabulary: str | None = None)
     convs = own.groupBy("conv_id").agg(F.collect_list(F.struct("depth", "tokens", "loss_start", "loss_end")).alias("nodes"))
 
     def run(batches):
-        coder = encoder(vocabulary)
+        coder = encoder(vocabulary, KEEP)
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 x = big.slice(at, 256)
