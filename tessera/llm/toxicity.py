@@ -150,7 +150,8 @@ def train(texts: list[np.ndarray], labels: np.ndarray, langs: list, seed: int =
             m.out_bias -= rate * err.sum() / np.sqrt(slow["c"])
     m._train = False
     pack = lambda ids: (np.concatenate([texts[i] for i in ids]), np.concatenate([[0], np.cumsum([len(texts[i]) for i in ids])]))
-    z = m.pooled(*pack(held))[0] @ m.out + m.out_bias
+    some = lambda ids: [ids[i : i + ROWS] for i in range(0, len(ids), ROWS)]
+    z = np.concatenate([m.pooled(*pack(ids))[0] @ m.out + m.out_bias for ids in some(held)])
     a, b, y = 1.0, 0.0, labels[held]
     for _ in range(100):  # Newton steps for the two scale parameters, with a weak pull to (1, 0)
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
@@ -159,7 +160,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, langs: list, seed: int =
         h = np.array([[(v * z * z).sum() + 0.1, (v * z).sum()], [(v * z).sum(), v.sum() + 0.1]])
         a, b = np.array([a, b]) - np.clip(np.linalg.solve(h, g), -1, 1)
     m.scale = (max(float(a), 0.05), float(b))
-    score = m.score(*pack(range(len(texts))))
+    score = np.concatenate([m.score(*pack(ids)) for ids in some(range(len(texts)))])
     for lang in sorted({x for x in langs if x is not None}):
         own = np.array([x == lang for x in langs])
         if own.sum() >= LANG_ROWS and 0 < labels[own].sum() < own.sum():
