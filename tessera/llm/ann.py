@@ -5,8 +5,8 @@ A query probes the lists of its nearest centres. Within a list, vectors are
 rotated by a fixed random rotation and held in column blocks; a partial
 distance over the first d of D rotated dimensions, scaled by D / d, estimates
 the whole one, and a candidate is abandoned as soon as a hypothesis test says
-that it is farther than the query's tenth nearest so far. The test starts from
-the tenth distance within a bounded sample of the vectors. Survivors are
+that it is farther than the query's bound. The test starts from
+the fortieth distance (4 k) within a bounded sample of the vectors. Survivors are
 measured exactly, in double precision, on the original vectors.
 
 Every vector is indexed and every query searched. Long lists are parted into
@@ -137,8 +137,8 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
                 if not len(ids):
                     continue
                 d = ((bound * bound).sum(1) - 2 * m @ bound.T) + (m * m).sum(1)[:, None]
-                # one more than k: the query may be in the sample itself
-                tau = np.partition(d, k, 1)[:, k] * (1 + 1e-9) if len(bound) > k else np.full(len(m), np.inf)
+                # far more than k of the sample are as near, also where some are in lists not probed
+                tau = np.partition(d, 4 * k, 1)[:, 4 * k] * (1 + 1e-9) if len(bound) > 4 * k else np.full(len(m), np.inf)
                 near = nearest(m, c, probed)
                 yield batch(list=near.ravel().astype(np.int32), query_id=np.repeat(ids, probed), q=values(np.repeat(m, probed, 0)), tau=np.repeat(tau, probed))
 
@@ -161,6 +161,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
                 near = scan(q[i] @ r, cols, tau * (1 + 1e-9) + 1e-12, k + 1)
                 near = near[ids[near] != query]
                 score = np.sqrt(((m[near] - q[i]) ** 2).sum(1))
+                near, score = near[score**2 <= tau + 1e-9], score[score**2 <= tau + 1e-9]  # no row beyond the bound goes on
                 best = near[np.lexsort((ids[near], score))][:k]
                 found.append((np.full(len(best), query), ids[best], np.sort(score)[:k]))
         query, ids, score = (np.concatenate(f) for f in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
