@@ -32,6 +32,7 @@ from .common import Memo, batch, small_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 KEEP = 300_000  # chunks and pieces that a worker remembers, each at most twice as many
+STEMS = (8, 6, 4)  # bytes at the beginning of a piece whose prefixes are remembered apart
 #: A space beside other white space; there the pattern may match across it.
 RUN = re.compile(r"\s | \s")
 
@@ -46,15 +47,23 @@ class Vocabulary:
         for token, i in self.ids.items():
             self.bytes[i] = token
         self.longest = max(map(len, self.ids))
+        #: Of each token that merging its bytes gives, the two parts of the last merge; none for single bytes.
+        self.halves: list[tuple[int, int] | None] = [None] * len(self.bytes)
         #: Every end of a token: the token that it is, if merging its bytes gives that token, else -1.
         self.ends = {t[i:]: -1 for t in self.ids for i in range(len(t))}
-        self.ends |= {t: i for t, i in self.ids.items() if self.merge(t) == [i]}
+        for token, i in self.ids.items():
+            parts = self.merge(token, 2)
+            if len(parts) <= 2:
+                self.ends[token] = i
+                self.halves[i] = tuple(parts) if len(parts) == 2 else None
+        #: Whether every merge ranks after those that made its parts, so that merges happen in order of rank.
+        self.ordered = all(h is None or max(h) < i for i, h in enumerate(self.halves))
         self.known: dict[int, bool] = {}
 
-    def merge(self, data: bytes) -> list[int]:
-        """Merges of lowest rank first: the definition, for short strings."""
+    def merge(self, data: bytes, until: int = 1) -> list[int]:
+        """Merges of lowest rank first, until so many parts are left: the definition, for short strings."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > until:
             ranks = [self.ids.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:], strict=False)]
             best = min(ranks)
             if best == 1 << 60:
@@ -68,9 +77,28 @@ class Vocabulary:
         if (found := self.known.get(key)) is None:
             if len(self.known) > 500_000:
                 self.known.clear()
-            found = self.known[key] = self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
+            found = self.known[key] = self.apart(a, b) if self.ordered else self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
         return found
 
+    def apart(self, a: int, b: int) -> bool:
+        """Whether no merge goes across the border of two tokens, by undoing their own merges, the latest first.
+
+        The parts at the border stay until the merge undone last takes one of
+        them; a merge across ranks before that one if it happens. Of equal
+        ranks the left one merges first.
+        """
+        joined, halves, until = self.bytes, self.halves, 1 << 60
+        while True:
+            if self.ids.get(joined[a] + joined[b], 1 << 60) < until:
+                return False
+            x, y = halves[a], halves[b]
+            if x and (a > b or not y):
+                until, a = a, x[1]
+            elif y:
+                until, b = b + 1, y[0]
+            else:
+                return True
+
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
@@ -80,9 +108,10 @@ def vocabulary(path: str) -> Vocabulary:
 class Prefixes:
     """One byte string and the last token of each of its prefixes (last[i]: of the first i + 1 bytes)."""
 
-    def __init__(self, vocab: Vocabulary, data: bytes = b""):
-        self.vocab, self.data, self.last = vocab, b"", []
-        self.append(data)
+    def __init__(self, vocab: Vocabulary, data: bytes = b"", last: list[int] | tuple = ()):
+        """last: what is known already of the first prefixes."""
+        self.vocab, self.data, self.last = vocab, data, list(last)
+        self._extend(len(data))
 
     def _extend(self, upto: int) -> None:
         """The last tokens of the prefixes up to so many bytes."""
@@ -137,13 +166,18 @@ class Prefixes:
 class Encoder:
     def __init__(self, path: str, keep: int = KEEP, pattern: str = public_tokenizers.PATTERN):
         self.vocab, self.pattern = vocabulary(path), regex.compile(pattern)
-        self.pieces = Memo(self._piece, keep)
+        self.pieces, self.stems = Memo(self._piece, keep), Memo(self._stem, keep // 4)
         self.first, self.spaced = Memo(self._chunk, 1000), Memo(lambda c: self._chunk(" " + c), keep)
 
     def _piece(self, piece: str) -> list[int]:
         data = piece.encode()
         whole = self.vocab.ids.get(data)
-        return [whole] if whole is not None else Prefixes(self.vocab, data).ids()
+        return [whole] if whole is not None else Prefixes(self.vocab, data, self.stems[data[: STEMS[0]]]).ids()
+
+    def _stem(self, data: bytes) -> list[int]:
+        """The last tokens of a piece's beginning, which many pieces share."""
+        shorter = next((n for n in STEMS if n < len(data)), 0)
+        return Prefixes(self.vocab, data, self.stems[data[:shorter]] if shorter else ()).last
 
     def plain(self, text: str) -> list[int]:
         return [i for p in self.pattern.findall(text) for i in self.pieces[p]]

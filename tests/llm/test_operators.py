@@ -131,6 +131,16 @@ def test_tree(spark):
         assert (back[c]["loss_chars"], back[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_bpe_borders():
+    """Two tokens stay apart exactly if merging their joined bytes gives them back."""
+    vocab, rng = bpe.vocabulary(public_tokenizers.path(bpe.VOCABULARY)), random.Random(5)
+    assert vocab.ordered
+    valid = [i for t, i in vocab.ids.items() if vocab.ends[t] == i]
+    for k in range(4000):
+        a, b = rng.sample(valid, 2) if k % 2 else (rng.randrange(600), rng.randrange(600))
+        assert vocab.apart(a, b) == (vocab.merge(vocab.bytes[a] + vocab.bytes[b]) == [a, b])
+
+
 def test_bpe(docs, texts):
     import tiktoken
 
