@@ -46,6 +46,7 @@ class Vocabulary:
         self.bytes = [b""] * (max(self.ids.values()) + 1)
         for token, i in self.ids.items():
             self.bytes[i] = token
+        self.decimal = [b"%d" % i for i in range(len(self.bytes))]
         self.longest = max(map(len, self.ids))
         #: Of each token that merging its bytes gives, the two parts of the last merge; none for single bytes.
         self.halves: list[tuple[int, int] | None] = [None] * len(self.bytes)
@@ -108,7 +109,7 @@ def vocabulary(path: str) -> Vocabulary:
 class Prefixes:
     """One byte string and the last token of each of its prefixes (last[i]: of the first i + 1 bytes)."""
 
-    def __init__(self, vocab: Vocabulary, data: bytes = b"", last: list[int] | tuple = ()):
+    def __init__(self, vocab: Vocabulary, data: bytes = b"", last: tuple[int, ...] = ()):
         """last: what is known already of the first prefixes."""
         self.vocab, self.data, self.last = vocab, data, list(last)
         self._extend(len(data))
@@ -166,25 +167,27 @@ class Prefixes:
 class Encoder:
     def __init__(self, path: str, keep: int = KEEP, pattern: str = public_tokenizers.PATTERN):
         self.vocab, self.pattern = vocabulary(path), regex.compile(pattern)
-        self.pieces, self.stems = Memo(self._piece, keep), Memo(self._stem, keep // 4)
+        self.pieces, self.stems = Memo(self._ids, keep), Memo(self._stem, keep // 4)
         self.first, self.spaced = Memo(self._chunk, 1000), Memo(lambda c: self._chunk(" " + c), keep)
 
-    def _piece(self, piece: str) -> list[int]:
+    def _ids(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         whole = self.vocab.ids.get(data)
-        return [whole] if whole is not None else Prefixes(self.vocab, data, self.stems[data[: STEMS[0]]]).ids()
+        return (whole,) if whole is not None else tuple(Prefixes(self.vocab, data, self.stems[data[: STEMS[0]]]).ids())
 
-    def _stem(self, data: bytes) -> list[int]:
+    def _stem(self, data: bytes) -> tuple[int, ...]:
         """The last tokens of a piece's beginning, which many pieces share."""
         shorter = next((n for n in STEMS if n < len(data)), 0)
-        return Prefixes(self.vocab, data, self.stems[data[:shorter]] if shorter else ()).last
+        return tuple(Prefixes(self.vocab, data, self.stems[data[:shorter]] if shorter else ()).last)
 
-    def plain(self, text: str) -> list[int]:
-        return [i for p in self.pattern.findall(text) for i in self.pieces[p]]
+    def plain(self, text: str) -> list[int] | tuple[int, ...]:
+        found = self.pattern.findall(text)
+        # A chunk that is one piece is remembered itself.
+        return self._ids(text) if len(found) == 1 else [i for p in found for i in self.pieces[p]]
 
     def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
         ids = self.plain(chunk)
-        return ",".join(map(str, ids)).encode(), array("I", ids).tobytes()
+        return b",".join(map(self.vocab.decimal.__getitem__, ids)), array("I", ids).tobytes()
 
     def encode(self, text: str) -> tuple[bytes, np.ndarray]:
         """The ids in decimal, joined by commas, and as an array."""
