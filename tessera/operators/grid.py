@@ -22,8 +22,12 @@ class Grid:
     def edge(self, axis: int, i: int) -> float:
         return self.bounds.lower[axis] + i * self.width(axis)
 
-    def tile(self, dims) -> Column:
-        """Row-major number of a point's tile, by the same edges as box()."""
+    def refine(self, rect: Rect) -> list[int]:
+        """Tiles are never cut."""
+        return []
+
+    def tile(self, dims, rect: Rect | None = None, done=()) -> Column:
+        """Row-major number of a point's tile, by the same edges as box(); rect and done don't matter."""
         out = F.lit(0).cast("long")
         for axis, d in enumerate(dims):
             i = F.floor((F.col(d) - self.bounds.lower[axis]) / self.width(axis))
@@ -40,7 +44,7 @@ class Grid:
         at = at[::-1]
         return Rect(tuple(self.edge(a, i) for a, i in enumerate(at)), tuple(self.bounds.upper[a] if i == self.k - 1 else self.edge(a, i + 1) for a, i in enumerate(at)))
 
-    def covering(self, rect: Rect) -> list[int]:
+    def covering(self, rect: Rect, done=()) -> list[int]:
         spans = []
         for a in range(len(rect.lower)):
             lo, hi = (min(max(int((v[a] - self.bounds.lower[a]) // self.width(a)), 0), self.k - 1) for v in (rect.lower, rect.upper))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import Rect
@@ -20,6 +20,7 @@ class Node:
     population: int
     parent: int | None = None
     children: tuple[int, int] | None = None
+    cut: tuple[int, float] | None = None  # axis and first value of the right child
 
 
 @dataclass
@@ -32,6 +33,45 @@ class Tree:
     def leaves(self, rect: Rect | None = None) -> list[int]:
         return [i for i, n in enumerate(self.nodes) if n.children is None and n.population and (rect is None or n.box.intersects(rect))]
 
+    def box(self, i: int) -> Rect:
+        return self.nodes[i].box
+
+    def covering(self, rect: Rect, done=(), at: int = 0) -> list[int]:
+        """Leaves that meet the rectangle; a node inside it that is done stands for all below it."""
+        n = self.nodes[at]
+        if not n.population or not n.box.intersects(rect):
+            return []
+        if n.children is None or at in done and rect.contains(n.box):
+            return [at]
+        return [i for c in n.children for i in self.covering(rect, done, c)]
+
+    def tile(self, dims, rect: Rect | None = None, done=(), at: int = 0) -> Column:
+        """A point's node as covering() gives it: comparisons along the tree, only where the rectangle is."""
+        n = self.nodes[at]
+        if n.children is None or rect and (not n.box.intersects(rect) or at in done and rect.contains(n.box)):
+            return F.lit(at).cast("long")
+        left, right = (self.tile(dims, rect, done, c) for c in n.children)
+        axis, value = n.cut
+        return F.when(F.col(dims[axis]) < value, left).otherwise(right)
+
+    def refine(self, rect: Rect) -> list[int]:
+        return self.crack(rect)
+
+    def build(self, most: int = 64) -> Tree:
+        """Median splits, axis by axis, of all leaves over the threshold; a row a node comes to the driver."""
+        idle = 0
+        for level in range(most):
+            axis = level % len(self.dims)
+            big = [i for i in self.leaves() if self.nodes[i].population > self.threshold]
+            if not big or idle == len(self.dims):
+                break
+            placed = self.points.withColumn("part_id", self.tile(self.dims)).where(F.col("part_id").isin(big))
+            pivots = medians(placed, self.dims[axis])
+            left = placed.join(pivots, "part_id").where(F.col(self.dims[axis]) < F.col("pivot")).groupBy("part_id", "pivot").agg(F.count("*").alias("left"))
+            made = [self.split(r["part_id"], axis, r["pivot"], r["left"]) for r in left.collect()]
+            idle = 0 if any(made) else idle + 1
+        return self
+
     def split(self, i: int, axis: int, at: float, left: int) -> tuple[int, int] | None:
         """Children below and from ``at`` on; nothing if one of them would be empty."""
         n = self.nodes[i]
@@ -39,7 +79,7 @@ class Tree:
             return None
         for box, size in zip(n.box.cut(axis, at), (left, n.population - left), strict=True):
             self.nodes.append(Node(box, size, i))
-        n.children = (len(self.nodes) - 2, len(self.nodes) - 1)
+        n.children, n.cut = (len(self.nodes) - 2, len(self.nodes) - 1), (axis, at)
         return n.children
 
     def crack(self, rect: Rect) -> list[int]:

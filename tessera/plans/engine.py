@@ -1,8 +1,10 @@
 """Answer a rectangle exactly, or to a relative error by rounds of stratified samples.
 
-Strata are grid tiles, a closed-form expression of the dimensions. Tiles that
-lie inside the rectangle are answered from summaries once they were read
-whole; the rest is sampled by rank prefixes, one DataFrame job a round, of
+Strata are grid tiles or the leaves of a KD tree, built at once or cut along
+the queries: an expression of the dimensions. Those that lie inside the
+rectangle are answered from summaries once they were read whole (also by a
+node that was cut since); rows held out as outliers are added exactly, in the
+job that counts the strata; the rest is sampled by rank prefixes, one DataFrame job a round, of
 which only a row a stratum comes to the driver.
 """
 
@@ -17,6 +19,8 @@ from ..functions.sampling import rank_hash
 from ..operators.estimate import Stratum, estimate, pilot, plan, satisfied
 from ..operators.exact import exact_scan
 from ..operators.grid import Grid
+from ..operators.kd import Tree
+from ..operators.outliers import held_out
 from ..spec import Estimate, Points, Rect, Target
 
 ROUNDS = 4
@@ -34,23 +38,31 @@ class Result:
 class Engine:
     points: DataFrame
     spec: Points
-    grid: Grid
+    grid: Grid | Tree
     persist: bool = True
+    held_share: float = 0.0
     run_id: int = 0
     rounds: int = ROUNDS
     summaries: dict = field(default_factory=dict)  # tile -> {measure: Stratum read whole}
 
+    def __post_init__(self):
+        self.held = held_out(self.points, list(self.spec.measures), self.held_share, self.spec.row_id) if self.held_share > 0 else F.lit(False)
+        self.scale = max([abs(v or 0.0) for v in self.points.agg(*[F.avg(m) for m in self.spec.measures]).first()], default=0.0)
+
     def execute(self, rect: Rect, target: Target = Target()) -> Result:
-        spec, tile = self.spec, self.grid.tile(self.spec.dims)
-        inside = {t for t in self.grid.covering(rect) if rect.contains(self.grid.box(t))}
-        rows = self.points.where(rect.predicate(list(spec.dims))).withColumn("__tile", tile)
-        counts = {r["__tile"]: r["N"] for r in rows.groupBy("__tile").agg(F.count("*").alias("N")).collect()}  # a row a tile
-        scale = max([abs(v or 0.0) for v in self.points.agg(*[F.avg(m) for m in spec.measures]).first()], default=0.0)
+        spec, scale = self.spec, self.scale
+        self.grid.refine(rect)
+        cover = self.grid.covering(rect, self.summaries)
+        inside = {t for t in cover if rect.contains(self.grid.box(t))}
+        rows = self.points.where(rect.predicate(list(spec.dims))).withColumn("__tile", self.grid.tile(spec.dims, rect, self.summaries)).withColumn("__held", self.held)
+        held = [f(F.when(F.col("__held"), F.col(m))).alias(f"{k}_{m}") for m in spec.measures for k, f in (("S", F.sum), ("n", F.count))]
+        first = rows.groupBy("__tile").agg(F.count_if(~F.col("__held")).alias("N"), F.count_if("__held").alias("__out"), *held).collect()  # a row a stratum
+        counts, out, rows = {r["__tile"]: r["N"] for r in first if r["N"]}, sum(r["__out"] for r in first), rows.where(~F.col("__held"))
         known = {t: self.summaries[t] for t in inside & set(self.summaries)}
         strata = [t for t in counts if t not in known]
-        exact = {m: (sum(s[m].S for s in known.values()), sum(s[m].n for s in known.values())) for m in spec.measures}
+        exact = {m: tuple(sum(getattr(s[m], k) for s in known.values()) + sum(r[f"{k}_{m}"] or 0 for r in first) for k in "Sn") for m in spec.measures}
         state = {m: [Stratum(counts[t]) for t in strata] for m in spec.measures}
-        read, number, total = 0, 0, sum(counts.values())
+        read, number, total = out, 0, sum(counts.values()) + out
         found = estimate(state, total, exact, scale, target.confidence)
         while strata and not satisfied(found, target) or number == 0 and strata:
             number += 1

@@ -8,8 +8,9 @@ import pytest
 
 from tessera import catalog
 from tessera.functions.quantiles import chi_squared_quantile, t_quantile
-from tessera.operators import kd
+from tessera.operators import kd, validation
 from tessera.operators.estimate import Stratum, estimate, neyman, pilot
+from tessera.plans import runner, workload
 from tessera.plans.engine import Engine
 from tessera.operators.grid import Grid
 from tessera.sources import prepare
@@ -85,3 +86,34 @@ def test_prepare(spark, tmp_path):
         prepare.prepare(out, prepare.Dataset({"z": (0, 1)}, []))
     (tmp_path / "a.csv").write_text("10,1.5\n20,2.5\n")
     assert prepare.read_csv(spark, str(tmp_path / "a.csv"), header=False).dtypes == [("col0", "int"), ("col1", "double")]
+
+
+def test_workload(spark):
+    df = spark.range(10000).selectExpr("id AS row_id", "cast(id % 100 AS double) AS x", "cast(id div 100 AS double) AS y")
+    dims, domain = Points(("x", "y"), ()), Rect((0.0, 0.0), (100.0, 100.0))
+    for spec in (workload.Workload(20, 0.1), workload.Workload(20, 0.25, "clustered", (50.0, 50.0), seed=3)):
+        rects = workload.generate(df, dims, domain, spec)
+        inside = [(lambda r: df.where(r.predicate(["x", "y"])).count() / 10000)(r) for r in rects[:4]]
+        assert all(abs(s - spec.selectivity) <= 0.2 * spec.selectivity for s in inside) and all(domain.contains(r) for r in rects)
+        assert rects == workload.generate(df, dims, domain, spec)
+    plain = workload.generate(df, dims, domain, workload.Workload(5, 0.04, calibrated=False))
+    assert all(r.upper[0] - r.lower[0] == pytest.approx(20) for r in plain)
+    assert workload.fingerprint(spec, domain) != workload.fingerprint(workload.Workload(20, 0.1), domain)
+    assert workload.as_table(spark, rects).count() == 20
+
+
+def test_methods(spark):
+    """Every method agrees with the scan, or covers it, on a table with missing and extreme values."""
+    df = spark.range(3000).selectExpr("id AS row_id", "cast(id % 60 AS double) AS x", "cast(id div 60 AS double) AS y", "cast(10 + (id * 37) % 31 + if(id % 500 = 0, 1e5, 0) AS double) AS m", "cast(if(id % 3 = 0, id % 11, null) AS double) AS k").coalesce(2).cache()
+    spec, domain = Points(("x", "y"), ("m", "k")), Rect((0.0, 0.0), (60.0, 50.0))
+    rects = [Rect((5, 5), (41, 33)), Rect((5, 5), (41, 33)), Rect((200, 200), (300, 300))]
+    methods = [m for m in runner.METHODS if m.name in ("scan", "grid_agg", "kd_agg", "akd_agg", "akd_agg_approx")]
+    got = runner.run(df, spec, domain, rects, methods, Target(0.1), k=4, threshold=200, held_share=0.002).cache()
+    rows = validation.judged(got, got.where("method = 'scan'")).cache()
+    assert rows.where("NOT exact_ok OR NOT brackets OR NOT same_query").count() == 0
+    assert rows.where("exact AND NOT covered").count() == 0 and rows.where("NOT covered").count() <= 1
+    assert validation.status_ok(got, 2).where("NOT ok").count() == 0 and validation.complete(got).first()["ok"]
+    reads = {(r["method"], r["query_ordinal"]): r["rows_read"] for r in got.collect()}
+    assert reads["akd_agg", 0] > 1000 and reads["akd_agg", 1] < 20 and reads["grid_agg", 1] < reads["grid_agg", 0] and reads["scan", 2] == 0
+    assert {r["verdict"] for r in validation.coverage(rows)} <= {"insufficient"}
+    assert validation.costs(got).where("method = 'scan'").first()["speedup"] == 1 and validation.reads_fall(got).where("NOT ok").count() == 0
