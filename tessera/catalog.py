@@ -279,3 +279,33 @@ def approx_rect_ci(spark, sf_dir):
     got = engine.execute(Rect((t0, u0 + (u1 - u0) * 0.1), (lifted(t1), u0 + (u1 - u0) * 0.8)), Target(0.05))
     rows = [(e.aggregate, e.measure, float(e.estimate), float(e.ci_low), float(e.ci_high), e.exact, got.status, got.rows_read) for e in got.estimates]
     return spark.createDataFrame(rows, "aggregate string, measure string, estimate double, ci_low double, ci_high double, exact boolean, status string, rows_read long")
+
+
+TREE_SQL = f"SELECT round(sum(p), 2) AS sum_p, count(p) AS count_p, round(avg(p), 2) AS avg_p, count(*) AS count_star FROM {ORDERS} WHERE c >= 100 AND c < 900 AND t >= 820454400 AND t < 852076800"
+
+
+def by_engine(spark, sf_dir, index: str, held_share: float = 0.0) -> DataFrame:
+    """The second of two equal rectangles, which summaries answer where they can."""
+    from .plans.runner import Method, engine
+
+    points, spec, rect = orders(spark, sf_dir), Points(("c", "t"), ("p",)), Rect((100.0, 820454400.0), (900.0, 852076800.0))
+    parts = engine(points, spec, Rect((0.0, 694224000.0), (1e5, 915148800.0)), Method(index, index, True, False), threshold=4096, held_share=held_share)
+    parts.execute(rect)
+    found = {e.aggregate: e.estimate for e in parts.execute(rect).estimates}
+    row = (round(found["SUM"], 2), int(found["COUNT"]), round(found["AVG"], 2), int(found["COUNT_STAR"]))
+    return spark.createDataFrame([row], "sum_p double, count_p long, avg_p double, count_star long")
+
+
+@query(TREE_SQL)
+def cracked_tree_rect(spark, sf_dir):
+    return by_engine(spark, sf_dir, "akd")
+
+
+@query(TREE_SQL)
+def median_tree_rect(spark, sf_dir):
+    return by_engine(spark, sf_dir, "kd")
+
+
+@query(TREE_SQL)
+def held_out_rect(spark, sf_dir):
+    return by_engine(spark, sf_dir, "grid", 0.01)
