@@ -7,10 +7,10 @@ scaled on rows kept from training. Scores see the text alone. Thresholds for
 dropping documents are set for each language on the labelled rows.
 
 The fit reads at most ``SAMPLE`` labelled rows (those with the smallest hashes
-of their ids); scoring reads all of every text and shuffles nothing.
+of their ids, and of rows with equal ids one text); scoring reads all of every text and shuffles nothing.
 
 Defined cases: null and empty texts get the score of no words; labels that are
-null or lack a document are left out; with labels of one kind only, all texts
+null or lack a document are left out; of an id's labels the largest counts; with labels of one kind only, all texts
 score that kind's smoothed share; a language too rare among the labels uses
 the common threshold.
 """
@@ -179,7 +179,7 @@ def learnable(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from at most ``sample`` labelled rows, those with the smallest hashes of their ids."""
     small_batches(docs.sparkSession)
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learnable(F.col("doc_id"))).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learnable(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     some = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # at most ``sample`` rows of two numbers
 
     def run(batches):
@@ -187,7 +187,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             rows = [word_rows(words.hash[words.woffs[d] : words.woffs[d + 1]]).tobytes() for i, j, words in each(x.column("text"), lower=True, apart=PUNCT) for d in range(j - i)]
             yield batch(doc_id=x.column("doc_id"), toxic=x.column("toxic"), lang=x.column("lang"), rows=rows)
 
-    got = docs.select("doc_id", "text", "lang").join(some, "doc_id").select("doc_id", "toxic", F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "doc_id long, toxic int, lang string, rows binary")
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    own = docs.select("doc_id", "text", lang.alias("lang")).join(some, "doc_id")
+    # of rows with one id a single text, so that what reaches the driver has at most ``sample`` rows
+    one = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text"), "text", "lang")).alias("__x"))
+    got = one.select("doc_id", "toxic", "__x.lang", "__x.text").mapInArrow(run, "doc_id long, toxic int, lang string, rows binary")
     table = sorted(got.collect(), key=lambda r: (r["doc_id"], bytes(r["rows"])))
     return train([np.frombuffer(bytes(r["rows"]), np.int32) for r in table], np.array([r["toxic"] for r in table], int), [r["lang"] for r in table])
 

@@ -213,6 +213,14 @@ def test_toxicity(spark):
     assert toxicity.digest(docs, labels.limit(0)).count() == 602
 
 
+def test_toxicity_repeated_ids(spark):
+    """An id in very many rows is learnt from once, whatever the order of its rows and labels."""
+    rows = [(i, f"calm words number {i}" + " vile" * (i % 3 == 0)) for i in range(60)] + [(7, f"text {k}") for k in range(300)] + [(7, None)]
+    marks = [(i, int(i % 3 == 0)) for i in range(60)] + [(7, 1), (7, 0)]
+    models = [toxicity.fit(spark.createDataFrame(r, "doc_id long, text string"), spark.createDataFrame(m, "doc_id long, toxic int")) for r, m in ((rows, marks), (rows[::-1], marks[::-1]))]
+    assert all(np.array_equal(a, b) for a, b in zip([models[0].table, models[0].out, *models[0].filters], [models[1].table, models[1].out, *models[1].filters], strict=True))
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(7)
     v = rng.normal(size=(900, 16)).astype(np.float32)
