@@ -266,6 +266,87 @@ def facet_semi_join(spark, sf_dir):
     return o.join(c, o.o_custkey == c.c_custkey, "left_semi").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"))
 
 
+MEANS = "(SELECT l_returnflag AS f, l_linestatus AS l, avg(l_extendedprice) AS mean FROM lineitem GROUP BY 1, 2)"
+
+
+def means(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("l")).agg(F.avg("l_extendedprice").alias("mean"))
+
+
+@query(f"SELECT f, l, round(mean / min(mean) OVER (PARTITION BY f), 6) AS relative FROM {MEANS}")
+def row_min_normalised(spark, sf_dir):
+    return means(spark, sf_dir).select("f", "l", F.round(F.col("mean") / F.min("mean").over(Window.partitionBy("f")), 6).alias("relative"))
+
+
+@query(f"SELECT f, round(max(mean) - min(mean), 4) AS span, round(max(mean) / min(mean), 6) AS ratio FROM {MEANS} GROUP BY 1")
+def flatness_span(spark, sf_dir):
+    return means(spark, sf_dir).groupBy("f").agg(F.round(F.max("mean") - F.min("mean"), 4).alias("span"), F.round(F.max("mean") / F.min("mean"), 6).alias("ratio"))
+
+
+@query(f"SELECT f, l FROM {MEANS} WHERE f IN (SELECT f FROM {MEANS} GROUP BY f HAVING count(DISTINCT l) > 1)")
+def varying_axis_groups(spark, sf_dir):
+    """Groups whose other axis takes more than one value."""
+    m = means(spark, sf_dir)
+    varied = m.groupBy("f").agg(F.count_distinct("l").alias("n")).where("n > 1").select("f")
+    return m.join(varied, "f", "left_semi").select("f", "l")
+
+
+@query(f"SELECT method, round(quantile_cont(e, 0.5), 6) AS p50, round(quantile_cont(e, 0.95), 6) AS p95, round(max(e), 6) AS worst FROM (SELECT method, abs(latency - 50) / 50 AS e FROM {COST}) GROUP BY 1")
+def error_quantiles(spark, sf_dir):
+    e = costs(spark, sf_dir).withColumn("e", F.abs(F.col("latency") - 50) / 50)
+    return e.groupBy("method").agg(F.round(F.percentile("e", 0.5), 6).alias("p50"), F.round(F.percentile("e", 0.95), 6).alias("p95"), F.round(F.max("e"), 6).alias("worst"))
+
+
+@query(f"WITH m AS (SELECT method, max(query_ordinal) AS last FROM {COST} GROUP BY 1) SELECT method, count(*) AS n, round(sum(latency), 2) AS total FROM {COST} WHERE query_ordinal <= (SELECT min(last) FROM m) GROUP BY 1")
+def shared_prefix_totals(spark, sf_dir):
+    """Only the ordinals that every method has reached."""
+    c = costs(spark, sf_dir)
+    least = c.groupBy("method").agg(F.max("query_ordinal").alias("last")).agg(F.min("last").alias("least"))
+    return c.join(F.broadcast(least), F.col("query_ordinal") <= F.col("least")).groupBy("method").agg(F.count("*").alias("n"), F.round(F.sum("latency"), 2).alias("total"))  # one row
+
+
+@query("SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE regexp_matches(strftime(o_orderdate, '%Y-%m-%d'), '^199[5-7]') AND o_totalprice BETWEEN 1000 AND 200000")
+def regex_bbox_filter(spark, sf_dir):
+    kept = read(spark, sf_dir, "orders").where(F.date_format("o_orderdate", "yyyy-MM-dd").rlike("^199[5-7]") & F.col("o_totalprice").between(1000, 200000))
+    return kept.agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query(f"SELECT ({rank_sql('row_id')} % 16)::BIGINT AS bucket, count(*) AS n, round(sum(v), 2) AS total FROM {EVENTS} GROUP BY 1")
+def hashed_buckets(spark, sf_dir):
+    return events(spark, sf_dir).groupBy((rank_hash(F.col("row_id")) % 16).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("total"))
+
+
+PLAN_SQL = "SELECT m AS method, e AS error_bound FROM (VALUES ('scan'), ('grid'), ('grid_approx')) a(m), (VALUES (0.0::DOUBLE), (0.01), (0.05)) b(e) WHERE (m LIKE '%approx') = (e > 0)"
+
+
+@query(PLAN_SQL)
+def legal_plan_cells(spark, sf_dir):
+    """Axes of a plan multiplied out on the driver; exact methods take no error bound, sampling ones need one."""
+    cells = [(m, e) for m in ("scan", "grid", "grid_approx") for e in (0.0, 0.01, 0.05) if m.endswith("approx") == (e > 0)]
+    return spark.createDataFrame(cells, "method string, error_bound double")
+
+
+# The market segments.
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@query("SELECT c_nationkey AS nation, c_mktsegment AS segment FROM (SELECT DISTINCT c_nationkey FROM customer), (SELECT DISTINCT c_mktsegment FROM customer) EXCEPT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 9000")
+def missing_cells(spark, sf_dir):
+    """Cells that a plan expects and results lack."""
+    from .sources.results import missing
+
+    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), "c_acctbal")
+    there = c.where("c_acctbal > 9000").select("nation", "segment")
+    expected = c.select("nation").distinct().select("nation", F.explode(F.array(*[F.lit(x) for x in SEGMENTS])).alias("segment"))
+    return missing(expected, there, ["nation", "segment"])
+
+
+@query(f"SELECT u, count(*) AS n FROM {EVENTS} GROUP BY u HAVING max((v > 150)::INT) = 0")
+def never_covered(spark, sf_dir):
+    """Positions that no replicate covers."""
+    return events(spark, sf_dir).groupBy("u").agg(F.count("*").alias("n"), F.bool_or(F.col("v") > 150).alias("any")).where(~F.col("any")).select("u", "n")
+
+
 @query(None)
 def approx_rect_ci(spark, sf_dir):
     """SUM, COUNT and AVG to 5 % at 95 % confidence, by tiles of time and user."""

@@ -83,3 +83,24 @@ def generate(points: DataFrame, dims: Points, domain: Rect, spec: Workload, rese
 def as_table(spark: SparkSession, rects: list[Rect]) -> DataFrame:
     rows = [(i, [float(v) for v in r.lower], [float(v) for v in r.upper]) for i, r in enumerate(rects)]
     return spark.createDataFrame(rows, "query_ordinal long, lower array<double>, upper array<double>")
+
+
+def save(spark: SparkSession, rects: list[Rect], stamp: int, path: str, overwrite: bool = False) -> None:
+    """One text file under ``path``: the fingerprint, a header naming each bound, a row a rectangle."""
+    n = len(rects[0].lower) if rects else 0
+    head = ",".join([f"{end}_{i}" for end in ("lower", "upper") for i in range(n)])
+    lines = [f"fingerprint={stamp}", head, *[",".join(f"{float(v)!r}" for v in (*r.lower, *r.upper)) for r in rects]]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite" if overwrite else "error").text(path)
+
+
+def load(spark: SparkSession, path: str) -> tuple[int, list[Rect]]:
+    """The fingerprint and the rectangles (as many as a workload has, so held by the driver)."""
+    texts = spark.read.text(path, wholetext=True).collect()
+    lines = "".join(r["value"] for r in texts).splitlines()
+    n = sum(c.startswith("lower_") for c in lines[1].split(",")) if len(lines) > 1 else 0
+    if not n or not lines[0].startswith("fingerprint="):
+        raise ValueError(f"{path} needs a fingerprint and a header with lower_ columns")
+    rows = [[float(v) for v in line.split(",")] for line in lines[2:] if line]
+    if any(len(r) != 2 * n for r in rows):
+        raise ValueError(f"{path}: each row needs {2 * n} values")
+    return int(lines[0].removeprefix("fingerprint=")), [Rect(tuple(r[:n]), tuple(r[n:])) for r in rows]

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import catalog
 from tessera.functions.quantiles import chi_squared_quantile, t_quantile
@@ -13,7 +14,7 @@ from tessera.operators.estimate import Stratum, estimate, neyman, pilot
 from tessera.plans import runner, workload
 from tessera.plans.engine import Engine
 from tessera.operators.grid import Grid
-from tessera.sources import prepare
+from tessera.sources import prepare, results, synthetic
 from tessera.spec import Points, Rect, Target
 
 SF = "/root/testdata/sf0.001"
@@ -117,3 +118,45 @@ def test_methods(spark):
     assert reads["akd_agg", 0] > 1000 and reads["akd_agg", 1] < 20 and reads["grid_agg", 1] < reads["grid_agg", 0] and reads["scan", 2] == 0
     assert {r["verdict"] for r in validation.coverage(rows)} <= {"insufficient"}
     assert validation.costs(got).where("method = 'scan'").first()["speedup"] == 1 and validation.reads_fall(got).where("NOT ok").count() == 0
+
+
+def test_workload_files(spark, tmp_path):
+    rects = [Rect((0.1, -2.0), (1 / 3, 5.0)), Rect((0.0, 0.0), (1e-9, 1e300))]
+    workload.save(spark, rects, 12345678901234567890, str(tmp_path / "w"))
+    assert workload.load(spark, str(tmp_path / "w")) == (12345678901234567890, rects)
+    spark.createDataFrame([("fingerprint=1\nlower_0,upper_0\n1,2,3",)], "value string").coalesce(1).write.text(str(tmp_path / "bad"))
+    with pytest.raises(ValueError):
+        workload.load(spark, str(tmp_path / "bad"))
+
+
+def test_result_files(spark, tmp_path):
+    cells = [("SUM", "m", 1 / 3, 0.1, 0.5, 0.6, 9.5, False), ("COUNT_STAR", "", 7.0, 7.0, 7.0, 0.0, 0.0, True)]
+    rows = [("grid_approx", 0, q, [0.0], [9.0], 0.7, 0.95, m, a, *x, "ok", 2, 40, 40, 1.0, 2.5) for q in range(3) for a, m, *x in cells]
+    long = spark.createDataFrame(rows, runner.SCHEMA)
+    wide = results.per_query(long, "points", "random")
+    assert tuple(wide.columns) == results.COLUMNS and len(results.COLUMNS) == 29 and wide.count() == 3
+    assert {(r["target_satisfied"], r["sampled_rows"], r["exactified_rows"], r["substrate"]) for r in wide.collect()} == {(True, 40, 0, "grid")}
+    results.write(wide, str(tmp_path / "r"))
+    back = results.read(spark, str(tmp_path / "r"))
+    same = ["method", "replicate", "query_ordinal", "lower", "upper", *results.PARTS, "status", "measure_reads"]
+    key = lambda r: (r["query_ordinal"], r["aggregate"])
+    got, want = (sorted(x.select(*same).collect(), key=key) for x in (back, long))
+    assert [(r["aggregate"], r["estimate"], r["lower"], r["exact"]) for r in got] == [(r["aggregate"], r["estimate"], r["lower"], r["exact"]) for r in want]
+    with pytest.raises(ValueError):
+        wide.drop("status").write.option("header", True).csv(str(tmp_path / "bad"))
+        results.read(spark, str(tmp_path / "bad"))
+
+
+def test_synthetic(spark, tmp_path):
+    columns = [synthetic.Spread("uniform", 10, 20), synthetic.Spread("normal", 50, 15), synthetic.Spread("lognormal", 2, 0.5)]
+    df = synthetic.generate(spark, 20000, columns, seed=3)
+    again = synthetic.generate(spark, 20000, columns, seed=3).repartition(3)
+    assert df.exceptAll(again).isEmpty()
+    got = df.agg(F.min("col0"), F.max("col0"), F.avg("col1"), F.stddev("col1"), F.avg(F.log("col2")), F.corr("col0", "col1")).first()
+    assert 10 <= got[0] and got[1] < 20 and abs(got[2] - 50) < 0.5 and abs(got[3] - 15) < 0.5 and abs(got[4] - 2) < 0.02 and abs(got[5]) < 0.03
+    synthetic.scatter(df, 4, str(tmp_path / "s"))
+    counts = {r["bucket"]: r["count"] for r in spark.read.parquet(str(tmp_path / "s")).groupBy("bucket").count().collect()}
+    assert sum(counts.values()) == 20000 and all(abs(n - 5000) < 300 for n in counts.values())
+    told = prepare.describe(df, ["col1"])
+    assert synthetic.verify(df, told, ["col1"]).isEmpty()
+    assert [r["statistic"] for r in synthetic.verify(df, told.withColumn("max", F.col("max") + 1), ["col1"]).collect()] == ["max"]
