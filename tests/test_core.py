@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import catalog
 from tessera.functions.quantiles import chi_squared_quantile, t_quantile
-from tessera.operators import kd, validation
+from tessera.operators import figures, kd, validation
 from tessera.operators.estimate import Stratum, estimate, neyman, pilot
 from tessera.plans import runner, workload
 from tessera.plans.engine import Engine
@@ -160,3 +160,18 @@ def test_synthetic(spark, tmp_path):
     told = prepare.describe(df, ["col1"])
     assert synthetic.verify(df, told, ["col1"]).isEmpty()
     assert [r["statistic"] for r in synthetic.verify(df, told.withColumn("max", F.col("max") + 1), ["col1"]).collect()] == ["max"]
+
+
+def test_figures(spark):
+    head = lambda m, rep, q, eb: (m, rep, q, [0.0], [1.0], eb, 0.95, "m", "SUM")
+    rows = [(*head("scan", 0, q, 0.0), 100.0, 100.0, 100.0, 0.0, 0.0, True, "ok", 1, 50, 50, 10.0, 20.0) for q in range(4)]
+    rows += [(*head("grid_approx", rep, q, 0.05), 100.0 + q + rep, 90.0, 110.0, 0.1, 5.0, False, "ok", 1, 5, 5, 4.0, 2.0 + rep) for q in range(4) for rep in range(3)]
+    long = spark.createDataFrame(rows, runner.SCHEMA)
+    grown = {(r["method"], r["query_ordinal"]): r["cumulative_ms"] for r in figures.cumulative_time(long).collect()}
+    assert grown["scan", 3] == 90 and [grown["grid_approx", q] for q in range(4)] == [7, 10, 13, 16]
+    assert {r["method"]: (r["p50"], r["worst"]) for r in figures.latency_tail(long).collect()} == {"scan": (20, 20), "grid_approx": (3, 3)}
+    (e,) = figures.achieved_error(long).collect()
+    assert (round(e["worst"], 9), e["within"]) == (0.05, 1.0) and round(e["p50"], 9) == 0.025
+    (s,) = figures.speedup_and_error(long).collect()
+    assert s["speedup"] == 90 / 16 and s["worst"] == e["worst"]
+    assert {r["relative"] for r in figures.sweep(long, "error_bound").collect()} == {1.0}
