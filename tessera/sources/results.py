@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def missing(expected: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     """Planned runs without a result; null keys are equal to null keys."""
     return expected.join(present, [expected[k].eqNullSafe(present[k]) for k in keys], "left_anti")
+
+
+def write_settings(spark: SparkSession, settings: dict, path: str, overwrite: bool = False) -> None:
+    """A run's settings (method, data, workload, bounds, seeds) as one JSON text beside its results."""
+    text = json.dumps(settings, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite" if overwrite else "error").text(path)
+
+
+def read_settings(spark: SparkSession, path: str) -> dict:
+    return json.loads("".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))

@@ -139,6 +139,9 @@ def test_result_files(spark, tmp_path):
     results.write(wide, str(tmp_path / "r"))
     back = results.read(spark, str(tmp_path / "r"))
     same = ["method", "replicate", "query_ordinal", "lower", "upper", *results.PARTS, "status", "measure_reads"]
+    settings = {"method": "grid_approx", "error_bound": 0.05, "workload_fingerprint": 1 << 63, "cold": False}
+    results.write_settings(spark, settings, str(tmp_path / "meta"))
+    assert results.read_settings(spark, str(tmp_path / "meta")) == settings
     key = lambda r: (r["query_ordinal"], r["aggregate"])
     got, want = (sorted(x.select(*same).collect(), key=key) for x in (back, long))
     assert [(r["aggregate"], r["estimate"], r["lower"], r["exact"]) for r in got] == [(r["aggregate"], r["estimate"], r["lower"], r["exact"]) for r in want]
