@@ -34,6 +34,7 @@ from .textvec import Words, each, mix, stream, text_buffers
 WORDS, MIN_WORDS, SIMILARITY, HASHES = 5, 50, 0.8, 4
 RUN_WORDS = 1 << 20  # words between which a task looks for repeated windows
 SPAN = 0xFFFF
+PLACES = 16
 
 
 def compact_windows(v: np.ndarray, offs: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
@@ -161,9 +162,12 @@ def passages(here: np.ndarray, there: np.ndarray, w: int, min_words: int, simila
         return []
     order = np.argsort(there, kind="stable")
     ordered = there[order]
-    at = np.minimum(np.searchsorted(ordered, here), len(there) - 1)
-    place = np.flatnonzero(ordered[at] == here)
-    away = order[at[place]]
+    at, past = np.searchsorted(ordered, here), np.searchsorted(ordered, here, "right")
+    many = past - at
+    # all places there, but of shingles with very many only the first: texts of one repeated phrase would give the square of their length
+    many = np.where(many > PLACES, 1, many)
+    place = np.repeat(np.arange(len(here)), many)
+    away = order[np.repeat(at - np.cumsum(many) + many, many) + np.arange(len(place))]
     todo, out = [], []
     if len(place):
         cut = np.flatnonzero(np.diff(place) > 3 * w) + 1
@@ -179,12 +183,14 @@ def passages(here: np.ndarray, there: np.ndarray, w: int, min_words: int, simila
         a, b = np.unique(here[lo:hi]), np.unique(there[lo2:hi2])
         shared = len(np.intersect1d(a, b, assume_unique=True))
         alike = shared / (len(a) + len(b) - shared)
+        if not near.all():  # other shifts may be passages too
+            todo.append((p[~near], q[~near]))
         if alike >= similarity and hi - lo + w - 1 >= min_words:
             out.append((int(lo), int(hi + w - 1), int(lo2), int(hi2 + w - 1), shared, alike))
-        elif len(p) > 1:
-            gap = np.diff(p)
-            k = int(np.argmax(gap)) + 1 if gap.max() > 1 else len(p) // 2
-            todo += [(p[:k], q[:k]), (p[k:], q[k:])]
+        elif len(p2) > 1:
+            gap = np.diff(p2)
+            k = int(np.argmax(gap)) + 1 if gap.max() > 1 else len(p2) // 2
+            todo += [(p2[:k], q2[:k]), (p2[k:], q2[k:])]
     return out
 
 

@@ -190,6 +190,16 @@ def test_passages(spark):
     assert left[2].split() == rows[2][1].split()[:70] + rows[2][1].split()[130:]
 
 
+def test_passages_in_another_order():
+    rng = np.random.default_rng(6)
+    p1, p2, lead = (rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (60, 60, 30))
+    found = passages.passages(np.concatenate([p1, p2]), np.concatenate([p2, p1]), 5, 50, 0.8)
+    assert {(r[0], r[2]) for r in found if r[5] == 1.0} >= {(0, 60), (60, 0)}
+    # half of the passage's shingles come in another place first
+    found = passages.passages(np.concatenate([lead, p1[:30]]), np.concatenate([lead[::-1], p2, lead, p1[:30]]), 5, 50, 0.8)
+    assert (0, 64, 90, 154) in {r[:4] for r in found}
+
+
 def test_windows():
     v = passages.mix(np.arange(200, dtype=np.uint64))
     _, left, c, right = passages.compact_windows(v, np.array([0, 80, 80, 200]), 10)
