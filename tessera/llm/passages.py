@@ -8,9 +8,8 @@ least the least passage's length are made, about 2n / that length a function.
 
 Windows with one min-hash form a group; each is linked to the group's first
 document and to the one before it, never to all. Windows that a run of a
-task's input repeats (same min-hash, same shingles beside it) are linked
-there, so that a passage in a third of all documents meets as a few rows a
-task. The windows of a pair of documents, intersected across the hash
+task's input repeats as a whole (all shingles from l to r) are linked there.
+The windows of a pair of documents, intersected across the hash
 functions, are the places to verify: both texts' shingles there are compared,
 and passages of at least ``min_words`` words whose shingle sets have a Jaccard
 similarity of at least ``similarity`` are kept, with exact spans.
@@ -35,6 +34,7 @@ WORDS, MIN_WORDS, SIMILARITY, HASHES = 5, 50, 0.8, 4
 RUN_WORDS = 1 << 20  # words between which a task looks for repeated windows
 SPAN = 0xFFFF
 PLACES = 16
+_WHOLE = stream(1, 8)[0]
 
 
 def compact_windows(v: np.ndarray, offs: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
@@ -74,15 +74,16 @@ def windows(docs: DataFrame, w: int, least: int, hashes: int) -> DataFrame:
                 if not len(sh):
                     continue
                 place = mix(np.arange(len(sh), dtype=np.uint64)) & np.uint64(0xFFFF)
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sh ^ _WHOLE))])
                 rows = []
                 for seed in seeds:
                     h = mix(sh + seed)
                     text, left, c, right = compact_windows(h & ~np.uint64(0xFFFF) | place, soffs, least)
                     keep = ~null[i + text]
                     text, left, c, right = text[keep], left[keep], c[keep], right[keep]
-                    beside = sh[np.maximum(c - w, soffs[text])] ^ mix(sh[np.minimum(c + w, soffs[text + 1] - 1)])
+                    whole = mix(sums[right + 1] - sums[left]) ^ mix((c - left << 32 | right - c).view(np.uint64))
                     pos = (c - soffs[text]) << 32 | np.minimum(c - left, SPAN) << 16 | np.minimum(right - c, SPAN)
-                    rows.append((h[c].view(np.int64), ids[i + text], pos, (h[c] ^ mix(beside)).view(np.int64)))
+                    rows.append((h[c].view(np.int64), ids[i + text], pos, (h[c] ^ mix(whole)).view(np.int64)))
                 token, doc, pos, key = (np.concatenate(r) for r in zip(*rows, strict=True))
                 rep, rep_pos, kind = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int8)
                 for n, (k, d, p) in enumerate(zip(key.tolist(), doc.tolist(), pos.tolist(), strict=True)):

@@ -200,6 +200,17 @@ def test_passages_in_another_order():
     assert (0, 64, 90, 154) in {r[:4] for r in found}
 
 
+def test_passages_fold_whole_windows(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    core, tail = [word() for _ in range(30)], [word() for _ in range(15)]
+    rows = [(i, " ".join([word() for _ in range(40)] + core + (tail if i > 1 else []) + [word() for _ in range(60)]), "x") for i in range(4)]
+    kinds = passages.windows(spark.createDataFrame(rows, DOCS).coalesce(1), 5, 46, 4).where("kind = 1").collect()
+    assert not kinds  # no window is another one as a whole
+    same = [(i, rows[0][1], "x") for i in range(3)]
+    assert passages.windows(spark.createDataFrame(same, DOCS).coalesce(1), 5, 46, 4).where("kind = 1 and rep = 0").count() > 0
+
+
 def test_windows():
     v = passages.mix(np.arange(200, dtype=np.uint64))
     _, left, c, right = passages.compact_windows(v, np.array([0, 80, 80, 200]), 10)
