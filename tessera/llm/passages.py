@@ -7,7 +7,12 @@ passage inside that holds c has c's hash as its min-hash. Only windows of at
 least the least passage's length are made, about 2n / that length a function.
 
 Windows with one min-hash form a group; each is linked to the group's first
-document and to the one before it, never to all. Windows that a run of a
+document and to the one before it, never to all. A group may be drawn together
+by fewer words than a passage has, so each is also linked to the first and to
+the one before it of those that agree with it over nine shingles (45 words)
+around the minimum, wherever the minimum lies in them, and of those that agree
+there but for one changed word. Passages that lie differently to more words
+than that are met only by the first two links and by other hash functions. Windows that a run of a
 task's input repeats as a whole (all shingles from l to r) are linked there.
 The windows of a pair of documents, intersected across the hash
 functions, are the places to verify: both texts' shingles there are compared,
@@ -35,6 +40,10 @@ RUN_WORDS = 1 << 20  # words between which a task looks for repeated windows
 SPAN = 0xFFFF
 PLACES = 16
 _WHOLE = stream(1, 8)[0]
+BESIDE = 8  # fingerprints of shingles w apart on each side of a window's minimum, three bits each
+#: Which of them agree if the texts do over BESIDE + 1 shingles around the minimum; and the same with one left out, for a changed word.
+RUNS = np.array([sum(7 << 3 * (k + i) for i in range(BESIDE)) for k in range(BESIDE + 1)], np.uint64)
+PARTS = np.array(sorted({r & ~(7 << 3 * i) for r in RUNS.tolist() for i in range(2 * BESIDE) if r >> 3 * i & 7}), np.uint64)
 
 
 def compact_windows(v: np.ndarray, offs: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
@@ -83,19 +92,47 @@ def windows(docs: DataFrame, w: int, least: int, hashes: int) -> DataFrame:
                     text, left, c, right = text[keep], left[keep], c[keep], right[keep]
                     whole = mix(sums[right + 1] - sums[left]) ^ mix((c - left << 32 | right - c).view(np.uint64))
                     pos = (c - soffs[text]) << 32 | np.minimum(c - left, SPAN) << 16 | np.minimum(right - c, SPAN)
-                    rows.append((h[c].view(np.int64), ids[i + text], pos, (h[c] ^ mix(whole)).view(np.int64)))
-                token, doc, pos, key = (np.concatenate(r) for r in zip(*rows, strict=True))
+                    near = np.zeros(len(c), np.uint64)
+                    for k, step in enumerate([*range(-BESIDE, 0), *range(1, BESIDE + 1)]):
+                        at = c + step * w
+                        inside = (at >= soffs[text]) & (at < soffs[text + 1])
+                        # beyond an end of the text: a value of the window's own
+                        bits = np.where(inside, sh[np.clip(at, 0, len(sh) - 1)], mix((pos ^ ids[i + text] * 31 + k).view(np.uint64))) >> np.uint64(61)
+                        near |= bits << np.uint64(3 * k)
+                    # 40 bits of a token do, as links are verified; they shuffle smaller
+                    rows.append(((h[c] >> np.uint64(24)).view(np.int64), ids[i + text], pos, near.view(np.int64), (h[c] ^ mix(whole)).view(np.int64)))
+                token, doc, pos, near, key = (np.concatenate(r) for r in zip(*rows, strict=True))
                 rep, rep_pos, kind = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int8)
                 for n, (k, d, p) in enumerate(zip(key.tolist(), doc.tolist(), pos.tolist(), strict=True)):
                     known = seen.setdefault(k, (d, p))
                     if known[0] != d:
                         kind[n], rep[n], rep_pos[n] = 1, known[0], known[1]
-                token = np.where(kind == 1, mix(doc.view(np.uint64) + token.view(np.uint64)).view(np.int64), token)
-                yield batch(kind=kind, token=token, doc=doc, pos=pos, rep=pa.array(rep, mask=kind == 0), rep_pos=pa.array(rep_pos, mask=kind == 0))
+                token = np.where(kind == 1, (mix(doc.view(np.uint64) + token.view(np.uint64)) >> np.uint64(24)).view(np.int64), token)
+                yield batch(kind=kind, token=token, doc=doc, pos=pos, near=pa.array(near, mask=kind == 1), rep=pa.array(rep, mask=kind == 0), rep_pos=pa.array(rep_pos, mask=kind == 0))
                 if (size := size + len(sh)) > RUN_WORDS:
                     seen, size = {}, 0
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind byte, token long, doc long, pos long, rep long, rep_pos long")
+    return docs.select("doc_id", "text").mapInArrow(run, "kind byte, token long, doc long, pos long, near long, rep long, rep_pos long")
+
+
+def alike_beside(group: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (later, earlier) of rows of one group to link: for each pattern, each row with the first and the last before it that agree there."""
+    n = len(near)
+
+    def chains(p):
+        key = mix(mix(near & p) + group)
+        by = np.argsort(key, kind="stable")
+        first, last = runs(key[by])
+        size = last - first - 1
+        at = np.arange(size.sum()) + np.repeat(first + 1 - np.cumsum(size) + size, size)
+        return np.concatenate([by[at] * n + by[np.repeat(first, size)], by[at] * n + by[at - 1]])
+
+    whole = np.unique(np.concatenate([chains(p) for p in RUNS]))
+    part = np.unique(np.concatenate([chains(p) for p in PARTS]))
+    # rows that agree over a whole run are linked by it
+    differ = near[part // n] ^ near[part % n]
+    code = np.concatenate([whole, part[np.all([differ & r != 0 for r in RUNS], axis=0)]])
+    return code // n, code % n
 
 
 def linked(rows: DataFrame) -> DataFrame:
@@ -110,20 +147,26 @@ def linked(rows: DataFrame) -> DataFrame:
                 if kind.any():
                     done.append(x.filter(pa.array(kind == 1)).select(["doc", "pos", "rep", "rep_pos"]))
                 if not kind.all():
-                    yield x.filter(pa.array(kind == 0)).select(["token", "doc", "pos"])
+                    yield x.filter(pa.array(kind == 0)).select(["token", "doc", "pos", "near"])
 
         for cols in groups(split(), "token"):
             yield from done
             done.clear()
             first, last = runs(cols["token"])
-            found = []
+            found, large = [], []
             for i, j in zip(first.tolist(), last.tolist(), strict=True):
                 doc, pos = cols["doc"][i:j], cols["pos"][i:j]
                 by = np.lexsort((pos, doc))
                 doc, pos = doc[by], pos[by]
+                if len(doc) > 3:
+                    large.append((np.full(len(doc), i, np.uint64), doc, pos, cols["near"][i:j][by].view(np.uint64)))
                 found.append((doc[1:], pos[1:], np.full(len(doc) - 1, doc[0]), np.full(len(doc) - 1, pos[0])))
                 if len(doc) > 2:
                     found.append((doc[2:], pos[2:], doc[1:-1], pos[1:-1]))
+            if large:
+                group, doc, pos, near = (np.concatenate(f) for f in zip(*large, strict=True))
+                a, b = alike_beside(group, near)
+                found.append((doc[a], pos[a], doc[b], pos[b]))
             if found:
                 doc, pos, rep, rep_pos = (np.concatenate(f) for f in zip(*found, strict=True))
                 ok = doc != rep
@@ -199,11 +242,12 @@ def shared_passages(docs: DataFrame, w: int = WORDS, min_words: int = MIN_WORDS,
     """doc_id, start_word, end_word and the representative's rep_doc_id, rep_start_word, rep_end_word, n_shared, similarity."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    links = linked(windows(docs, w, min_words - w + 1, hashes)).where("doc <> rep").distinct()
-    per_doc = links.groupBy("doc").agg(F.collect_list(F.struct("rep", "pos", "rep_pos")).alias("links"))
+    links = linked(windows(docs, w, min_words - w + 1, hashes)).where("doc <> rep")
+    per_doc = links.groupBy("doc").agg(F.collect_set(F.struct("rep", "pos", "rep_pos")).alias("links"))
     texts = docs.where(F.col("doc_id").isNotNull())
 
     def cut(batches):
+        zstd = pa.Codec("zstd")
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 x = whole.slice(at, 128)
@@ -215,24 +259,24 @@ def shared_passages(docs: DataFrame, w: int = WORDS, min_words: int = MIN_WORDS,
                     for rep, lo, hi, lo2, hi2 in regions([(r["rep"], r["pos"], r["rep_pos"]) for r in found], w, enough):
                         lo, hi = max(lo, 0), min(hi, len(words.start))
                         if lo < hi:
-                            out.append((doc, lo, b[words.start[lo] : words.end[hi - 1]].tobytes().decode("utf-8", "replace"), rep, lo2, hi2))
+                            part = b[words.start[lo] : words.end[hi - 1]].tobytes()
+                            out.append((doc, lo, zstd.compress(part, asbytes=True), len(part), rep, lo2, hi2))
                 if out:
-                    yield batch(**dict(zip(("doc", "start", "part", "rep", "rep_lo", "rep_hi"), map(list, zip(*out, strict=True)), strict=True)))
+                    yield batch(**dict(zip(("doc", "start", "part", "size", "rep", "rep_lo", "rep_hi"), map(list, zip(*out, strict=True)), strict=True)))
 
-    parts = texts.join(per_doc, F.col("doc_id") == F.col("doc")).select("doc", "text", "links").mapInArrow(cut, "doc long, start long, part string, rep long, rep_lo long, rep_hi long")
+    parts = texts.join(per_doc, F.col("doc_id") == F.col("doc")).select("doc", "text", "links").mapInArrow(cut, "doc long, start long, part binary, size long, rep long, rep_lo long, rep_hi long")
 
     def verify(batches):
-        last, theirs = None, None
+        last, theirs, zstd = None, None, pa.Codec("zstd")
         for x in batches:
             out = []
             data, offs = text_buffers(x.column("text"))
-            parts, poffs = text_buffers(x.column("part"))
-            rows = zip(*(x.column(c).to_pylist() for c in ("doc", "start", "rep", "rep_lo", "rep_hi")), strict=True)
-            for d, (doc, start, rep, lo, hi) in enumerate(rows):
+            rows = zip(*(x.column(c).to_pylist() for c in ("doc", "start", "part", "size", "rep", "rep_lo", "rep_hi")), strict=True)
+            for d, (doc, start, part, size, rep, lo, hi) in enumerate(rows):
                 raw = data[offs[d] : offs[d + 1]]
                 if last is None or last[0] != rep or not np.array_equal(last[1], raw):
                     last, theirs = (rep, raw), Words(raw, np.array([0, len(raw)]), lower=True).shingles(w)[0]
-                own = parts[poffs[d] : poffs[d + 1]]
+                own = np.frombuffer(zstd.decompress(part, size, asbytes=True), np.uint8)
                 here = Words(own, np.array([0, len(own)]), lower=True).shingles(w)[0]
                 lo = max(lo, 0)
                 for a, b, a2, b2, shared, alike in passages(here, theirs[lo : max(hi - w + 1, lo)], w, min_words, similarity):
@@ -241,7 +285,7 @@ def shared_passages(docs: DataFrame, w: int = WORDS, min_words: int = MIN_WORDS,
                 names = ("doc_id", "start_word", "end_word", "rep_doc_id", "rep_start_word", "rep_end_word", "n_shared", "similarity")
                 yield batch(**dict(zip(names, map(list, zip(*out, strict=True)), strict=True)))
 
-    both = parts.join(texts, F.col("rep") == F.col("doc_id")).select("doc", "start", "part", "rep", "rep_lo", "rep_hi", "text")
+    both = parts.join(texts, F.col("rep") == F.col("doc_id")).select("doc", "start", "part", "size", "rep", "rep_lo", "rep_hi", "text")
     found = both.mapInArrow(verify, "doc_id long, start_word long, end_word long, rep_doc_id long, rep_start_word long, rep_end_word long, n_shared long, similarity double")
     return found.groupBy("doc_id", "start_word", "end_word", "rep_doc_id", "rep_start_word", "rep_end_word").agg(F.max("n_shared").alias("n_shared"), F.max("similarity").alias("similarity"))
 

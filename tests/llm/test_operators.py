@@ -200,6 +200,34 @@ def test_passages_in_another_order():
     assert (0, 64, 90, 154) in {r[:4] for r in found}
 
 
+def test_passages_beside_a_template():
+    rng = random.Random(9)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    template, tails = word(30), [word(30) for _ in range(3)]
+    changed = [*tails[2][:15], "changed", *tails[2][16:]]
+    # 0, 3: tail 0; 1, 5: tail 1, neither first nor neighbours; 2, 7: tail 2 with a changed word; 4 and 6: the template alone
+    tail = {0: tails[0], 1: tails[1], 2: tails[2], 3: tails[0], 4: word(30), 5: tails[1], 6: word(30), 7: changed}
+    rows = [word(50) + template + tail[i] + word(50) for i in range(8)]
+    sh, soffs = passages.Words(np.frombuffer(b"".join((" ".join(r) + " ").encode() for r in rows), np.uint8), np.cumsum([0, *[len(" ".join(r)) + 1 for r in rows]]), lower=True).shingles(5)
+    assert len(set(np.diff(soffs))) == 1
+    c = soffs[:-1] + 60  # one shingle of the template
+    near = np.zeros(8, np.uint64)
+    for k, step in enumerate([*range(-passages.BESIDE, 0), *range(1, passages.BESIDE + 1)]):
+        near |= (sh[c + 5 * step] >> np.uint64(61)) << np.uint64(3 * k)
+    later, earlier = passages.alike_beside(np.zeros(8, np.uint64), near)
+    assert {(3, 0), (5, 1), (7, 2)} <= set(zip(later.tolist(), earlier.tolist(), strict=True))
+
+
+def test_passages_of_a_large_group(spark):
+    rng = random.Random(10)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    template, tails = word(45), [word(10) for _ in range(20)]
+    # each tail is in two documents far apart, which are neighbours in no order by id
+    docs = [(i, " ".join(word(60) + template + tails[i % 20] + word(60)), "x") for i in range(40)]
+    found = passages.shared_passages(spark.createDataFrame(docs, DOCS)).collect()
+    assert {(r["doc_id"], r["rep_doc_id"]) for r in found if r["doc_id"] - r["rep_doc_id"] == 20} == {(i + 20, i) for i in range(20)}
+
+
 def test_passages_fold_whole_windows(spark):
     rng = random.Random(8)
     word = lambda: f"w{rng.randrange(10**6)}"
