@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, partitions, small_batches, staged
+from .components import components
 from .jaccard import groups, runs
 from .textvec import Words, each, mix, stream, text_buffers
 
@@ -290,10 +291,46 @@ def shared_passages(docs: DataFrame, w: int = WORDS, min_words: int = MIN_WORDS,
     return found.groupBy("doc_id", "start_word", "end_word", "rep_doc_id", "rep_start_word", "rep_end_word").agg(F.max("n_shared").alias("n_shared"), F.max("similarity").alias("similarity"))
 
 
+def classes(found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc, start, end and first of every end of found's passages: first is the smallest document of its class.
+
+    Passages of one document are one if they overlap by similarity of what they
+    cover together; passages linked directly or by others are a class.
+    """
+    ends = found.select(F.col("doc_id").alias("doc"), F.col("start_word").alias("start"), F.col("end_word").alias("end"))
+    ends = ends.union(found.select("rep_doc_id", "rep_start_word", "rep_end_word"))
+    spans = ends.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+
+    def join(batches):
+        for x in batches:
+            out = []
+            for doc, own in zip(x.column("doc").to_pylist(), x.column("spans").to_pylist(), strict=True):
+                own = [(r["start"], r["end"]) for r in own]
+                lead = own[:1]
+                for s, e in own:  # by start; a name is one of the spans itself, so they don't drift
+                    alike = [n for n in lead if min(e, n[1]) - max(s, n[0]) >= similarity * (max(e, n[1]) - min(s, n[0]))]
+                    name = alike[0] if alike else (s, e)
+                    if not alike:
+                        lead.append(name)
+                    lead = [n for n in lead if n[1] > s]
+                    out.append((doc, s, e, *name))
+            if out:
+                yield batch(**dict(zip(("doc", "start", "end", "lead", "lead_end"), map(list, zip(*out, strict=True)), strict=True)))
+
+    named = staged(spans.mapInArrow(join, "doc long, start long, end long, lead long, lead_end long"), "spans")
+    node = F.struct("doc", "lead", "lead_end")
+    ours = named.select(F.col("doc").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), node.alias("a"))
+    theirs = named.select(F.col("doc").alias("rep_doc_id"), F.col("start").alias("rep_start_word"), F.col("end").alias("rep_end_word"), node.alias("b"))
+    links = found.join(ours, ours.columns[:3]).join(theirs, theirs.columns[:3]).select("a", "b")
+    least = components(links).select(F.col("node.doc").alias("doc"), F.col("node.lead").alias("lead"), F.col("node.lead_end").alias("lead_end"), F.col("component.doc").alias("first"))
+    return named.join(least, ["doc", "lead", "lead_end"]).select("doc", "start", "end", "first")
+
+
 def drop_passages(docs: DataFrame, **options) -> DataFrame:
-    """docs without the passages whose representative is elsewhere; other bytes of the texts stay as they are."""
+    """docs without the passages whose class has a smaller document; other bytes of the texts stay as they are."""
     found = staged(shared_passages(docs, **options), "passages")
-    spans = found.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("__spans"))
+    gone = classes(found, options.get("similarity", SIMILARITY)).where("first < doc")
+    spans = gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(F.struct(F.col("start").alias("start_word"), F.col("end").alias("end_word"))).alias("__spans"))
     joined = docs.join(spans, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
 
     def cut(batches):

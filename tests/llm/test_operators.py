@@ -228,6 +228,24 @@ def test_passages_of_a_large_group(spark):
     assert {(r["doc_id"], r["rep_doc_id"]) for r in found if r["doc_id"] - r["rep_doc_id"] == 20} == {(i + 20, i) for i in range(20)}
 
 
+def test_passages_in_classes(spark):
+    names = "doc_id long, start_word long, end_word long, rep_doc_id long, rep_start_word long, rep_end_word long"
+    found = [(10, 70, 130, 5, 20, 80), (10, 69, 130, 7, 30, 91), (12, 0, 60, 10, 70, 130), (10, 125, 200, 3, 0, 75)]
+    got = {(r["doc"], r["start"]): r["first"] for r in passages.classes(spark.createDataFrame(found, names)).collect()}
+    assert got == {(5, 20): 5, (7, 30): 5, (10, 69): 5, (10, 70): 5, (12, 0): 5, (10, 125): 3, (3, 0): 3}
+
+
+def test_passages_drop_in_any_order(spark):
+    rng = random.Random(11)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = word(60)
+    rows = {i: " ".join(word(70) + shared + word(70)) for i in (10, 5, 7, 12, 3, 8, 20, 6)}
+    parts = [spark.createDataFrame([(i, rows[i], "x") for i in ids], DOCS).coalesce(1) for ids in ((10, 5, 7, 12), (20, 3), (8, 6))]
+    left = passages.drop_passages(parts[0].union(parts[1]).union(parts[2])).collect()
+    held = {r["doc_id"] for r in left if " ".join(shared[10:50]) in r["text"]}
+    assert held == {3}
+
+
 def test_passages_fold_whole_windows(spark):
     rng = random.Random(8)
     word = lambda: f"w{rng.randrange(10**6)}"
