@@ -4,11 +4,16 @@ Host edges come from the absolute links of the pages' HTML, counted per pair
 of hosts (pre-aggregated). Two personalised PageRanks run over them together:
 trust from the hosts that an allow rule fits, along links, and distrust from
 those that a block rule for the whole host (path /) fits, against them. Every seed starts each round with
-1 - DAMPING, so scores mean the same in a small graph and a large one. A host
-is blocked if its distrust is over the threshold and over its trust.
+1 - DAMPING, so scores mean the same in a small graph and a large one. What a
+host is handed shrinks with the number of hosts that share it, so there are
+shares as well: what reached a host from seeds, of what reaches it when every
+host starts with 1 - DAMPING (a seed's share is 1). A host is blocked if its
+distrust is over the threshold and over its trust, as scores or as shares.
 
 A round is one join and one pre-aggregated sum over (host, kind) rows; rounds
-end when no score changes by more than ``tolerance``. A hub's edges meet in
+end when the changes of all hosts add up to at most ``tolerance``, and for the
+rows that start everywhere to that part of what they started with, or after
+``rounds``. A hub's edges meet in
 the join, whose partitions Spark splits. The rounds are tables in the shared
 folder, so lost executors cost no more than the round.
 
@@ -56,22 +61,31 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust from edges (src, dst, n) and seeds (host, kind), where kind is trust or distrust."""
+    """host, trust, distrust and their shares from edges (src, dst, n) and seeds (host, kind), where kind is trust or distrust."""
     edges = staged(edges, "edges")
     start = staged(seeds.select("host", "kind", F.lit(1.0 - damping).alias("score")), "seeds")
     ahead = edges.groupBy("src").agg(F.sum("n").alias("all")).join(edges, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("all")).alias("share"))
     back = edges.groupBy("dst").agg(F.sum("n").alias("all")).join(edges, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), (F.col("n") / F.col("all")).alias("share"))
-    flow = staged(ahead.union(back), "flow")
+    flow = ahead.union(back)
+    flow = staged(flow.union(flow.withColumn("kind", F.concat("kind", F.lit("_all")))), "flow")
+    hosts = flow.select("host", "kind").union(flow.select("to", "kind")).where("kind like '%_all'").distinct()
+    start = staged(start.union(hosts.withColumn("score", F.lit(1.0 - damping))), "starts")
+    mass = {r["kind"]: r["mass"] for r in start.groupBy("kind").agg(F.sum("score").alias("mass")).collect()}
     scores = start
     for _ in range(rounds if not flow.isEmpty() else 0):
         moved = flow.join(scores, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("share") * F.col("score") * damping).alias("score"))
         now = staged(moved.union(start).groupBy("host", "kind").agg(F.sum("score").alias("score")), "scores")
-        change = now.join(scores.withColumnRenamed("score", "old"), ["host", "kind"], "left").agg(F.max(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))).first()[0]
+        change = F.sum(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0)))).alias("change")
+        changes = now.join(scores.withColumnRenamed("score", "old"), ["host", "kind"], "left").groupBy("kind").agg(change).collect()  # at most four rows
         scores = now
-        if change is None or change <= tolerance:
+        if all(r["change"] <= tolerance * (mass[r["kind"]] if r["kind"].endswith("_all") else 1.0) for r in changes):
             break
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
-    return scores.groupBy("host").agg(of("trust"), of("distrust"))
+    own = start.where("kind in ('trust', 'distrust')").groupBy("host").agg(*[F.max(F.col("kind") == k).alias(f"{k}_seed") for k in ("trust", "distrust")])
+    out = scores.groupBy("host").agg(*[of(k) for k in ("trust", "distrust", "trust_all", "distrust_all")]).join(own, "host", "left")
+    reached = lambda kind: F.col(f"{kind}_all") - (1.0 - damping)
+    share = lambda kind: F.when(F.col(f"{kind}_seed"), 1.0).when(reached(kind) > 0, F.least(F.col(kind) / reached(kind), F.lit(1.0))).otherwise(0.0).alias(f"{kind}_share")
+    return out.select("host", "trust", "distrust", share("trust"), share("distrust"))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -82,6 +96,8 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) ->
     fits = judged.where("host <> ''").where((F.col("__v") == "allow") | F.col("rule").isin(whole))
     seeds = fits.select("host", F.when(F.col("__v") == "allow", "trust").otherwise("distrust").alias("kind")).distinct()
     scores = propagate(host_edges(pages), seeds)
-    out = judged.join(scores, "host", "left").select("page_id", "host", "path", "rule", "__v", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")])
-    method = F.when((F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
+    out = judged.join(scores, "host", "left").select("page_id", "host", "path", "rule", "__v", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust", "trust_share", "distrust_share")])
+    by_score = (F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust"))
+    by_share = (F.col("distrust_share") > threshold) & (F.col("distrust_share") > F.col("trust_share") + 1e-9)  # equal shares differ by rounding
+    method = F.when(by_score | by_share, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("__v", method).alias("verdict"), "trust", "distrust")

@@ -104,6 +104,17 @@ def test_urls(spark):
     assert got[7][2:] == ("net/", "block") and got[8][2:] == ("org/fr/", "allow")
 
 
+def test_urls_of_a_hub(spark):
+    rows = [(0, "http://hub.net/", ""), (1, "http://good.org/fr/", ""), (2, "http://fine.com/", "")]
+    rows += [(10 + k, f"http://l{k}.com/", "<a href='http://hub.net/'>") for k in range(3000)]
+    # one host that all of the hub's linkers are linked from: in the second round their parts come together
+    rows += [(5000, "http://feeder.com/", "".join(f"<a href='http://l{k}.com/'>" for k in range(3000)))]
+    got = {r["page_id"]: r for r in url_trust.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[10 + k]["verdict"] for k in range(3000)} == {"block"}
+    assert got[5000]["verdict"] == "block" and got[5000]["distrust"] > 0.1
+    assert got[1]["verdict"] == got[2]["verdict"] == "allow"
+
+
 def test_template():
     rng = random.Random(3)
     bits = ["<", "s", ">", "/", "[", "INST", "]", "[ROLE:", "\\", "\0", " ", "\n", "</s>", "é"]
