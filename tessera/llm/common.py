@@ -6,10 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -20,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master may leave it unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         found = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -38,7 +43,64 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.staged_at = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that no table still to be read is made from."""
+    for t in tables:
+        path = getattr(t, "staged_at", None)
+        if path:
+            jvm = t.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def free(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column in taken has it (Spark's names don't tell case)."""
+    low, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in low:
+            n += "_"
+        low.add(n.lower())
+        out.append(n)
+    return out
+
+
+def schema_of(df: DataFrame, *more: str) -> str:
+    """df's columns as a schema's text, and more columns after them."""
+    return ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields), *more])
+
+
+MARKS = 8388593  # bits of the table of ids
+
+
+def some_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text) whose id is in ids (id), and perhaps others: a sieve ahead of an exact join.
+
+    A bit table of fixed size, at the ids' remainders, spares other texts the
+    way through the join.
+    """
+    at = F.pmod(F.col("id"), F.lit(MARKS))
+    found = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bits = np.zeros((MARKS // 32768 + 2, 4096), np.uint8)
+    for r in found.collect():  # at most MARKS bits
+        bits[r["bucket"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        marked = sent.value
+        for x in batches:
+            at = np.mod(x.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), MARKS)
+            # buckets count from 1, and each holds 32768 bits from its first byte's lowest on
+            bucket, bit = np.where(at > 0, (at - 1) // 32768 + 1, 0), np.where(at > 0, (at - 1) % 32768, 0)
+            some = x.filter(pa.array((marked[bucket, bit >> 3] >> (bit & 7) & 1).astype(bool)))
+            if some.num_rows:
+                yield some
+
+    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, schema_of(docs))
 
 
 def batch(**columns) -> pa.RecordBatch:
@@ -46,6 +108,38 @@ def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
+def chunks(batches, key: str, most: int | None = None, ranged: bool = False) -> Iterator[tuple[dict[str, np.ndarray], bool, bool]]:
+    """A stream sorted by key in parts of at least most rows (None: any), cut between keys unless one key alone has more (None: never within a key).
+
+    Columns, and whether the first key began in an earlier part and the last one
+    goes on in a later one; ranged: tasks hold ranges of rows, so the first and
+    the last key of all may as well.
+    """
+    held, rows, before = [], 0, ranged
+
+    def join():
+        return {c: np.concatenate([h.column(c).to_numpy(zero_copy_only=False) for h in held]) for c in held[0].schema.names}
+
+    for x in batches:
+        if not x.num_rows:
+            continue
+        held.append(x)
+        rows += x.num_rows
+        if rows < most if most else held[0].column(key)[0] == x.column(key)[-1]:
+            continue
+        cols = join()
+        k = cols[key]
+        cut = int(np.searchsorted(k, k[-1], "left"))
+        if cut:
+            yield {c: v[:cut] for c, v in cols.items()}, before, False
+            held, rows, before = [pa.RecordBatch.from_arrays([pa.array(v[cut:]) for v in cols.values()], names=list(cols))], rows - cut, False
+        else:  # one key alone
+            yield cols, before, True
+            held, rows, before = [], 0, True
+    if held:
+        yield join(), before, ranged
+
+
 def small_batches(spark: SparkSession) -> None:
     """Send rows with whole texts to Python in batches of at most BATCH_BYTES, so workers hold little at once.
 
