@@ -2,15 +2,20 @@
 
 A text's suffix array is built over its UTF-8 bytes by prefix doubling, from
 8-byte keys up; only suffixes that still share their prefix are sorted again.
-The ranks of each doubling give the longest common prefix (LCP) of neighbours
-by binary lifting. The deepest LCP interval of at least ``min_repeat`` bytes
+The longest common prefix (LCP) of a suffix and the one sorted before it is at
+least that of the suffix one place earlier less one, and exactly that where the
+bytes before both agree; only the others are compared, which makes n log n
+bytes at most, and memory is a fixed number of arrays. The deepest LCP interval of at least ``min_repeat`` bytes
 around a suffix is a repeated substring that can't be extended; the union of
 their spans is the covered part (spans that can be extended to the left lie
 inside those that can't). A text fails if the covered share or the longest
 repeat's share of the text is over its limit.
 
-Each text is judged by itself, so nothing is shuffled. Null and empty texts
-have no words and fail the base rule. All of a text counts, however long.
+Each text is judged by itself, so nothing is shuffled, and repeated rows and
+ids are judged each. Defined cases: null and empty texts have no words and fail
+the base rule; an empty table gives no rows; all of a text counts, however
+long, in about 100 bytes of memory a byte of the text; limits are met if equal
+(covered or longest just at its limit is kept). Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -30,6 +35,46 @@ SYMBOL[list(b"#*$%&|<>")] = True
 BLANK = b" \t\n\x0b\x0c\r"
 
 
+def neighbour_lcp(b: np.ndarray, key: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each place of the suffix array, the LCP with the suffix before it; below 8 it may be too small. key: the 8 bytes from each place on."""
+    n = len(b)
+    before = np.empty(n, np.int64)
+    before[order[0]], before[order[1:]] = -1, order[:-1]
+    own = before > 0
+    own[1:] &= b[:-1] == b[before[1:] - 1]  # the bytes before both agree: one less than at the place before
+    own[0] = False
+    i = np.flatnonzero(~own & (before >= 0))
+    i = i[key[i] == key[before[i]]]
+    j, size = before[i], np.full(len(i), 8)
+    here = np.arange(len(i))
+    while len(here) > 64:  # many at once, 8 bytes a step
+        a, c = i[here] + size[here], j[here] + size[here]
+        ok = np.maximum(a, c) < n
+        here, a, c = here[ok], a[ok], c[ok]
+        here = here[key[a] == key[c]]
+        size[here] += 8
+    for k in here.tolist():
+        a, c, m = i[k] + size[k], j[k] + size[k], 1024
+        while max(a, c) < n:
+            m = min(m, n - max(a, c))
+            differ = b[a : a + m] != b[c : c + m]
+            if differ.any():
+                m = int(np.argmax(differ))
+                a += m
+                break
+            a, c, m = a + m, c + m, 4 * m
+        size[k] = a - i[k]
+    rest = np.setdiff1d(np.arange(len(i)), here, assume_unique=True)
+    a, c = i[rest] + size[rest], j[rest] + size[rest]
+    differ = key[np.minimum(a, n - 1)] ^ key[np.minimum(c, n - 1)]
+    for byte in range(1, 8):
+        size[rest] += (differ >> np.uint64(64 - 8 * byte)) == 0
+    reach = np.zeros(n, np.int64)
+    reach[i] = i + np.minimum(size, n - np.maximum(i, j))
+    reach = np.maximum(np.maximum.accumulate(reach) - np.arange(n), 0)
+    return reach[order]
+
+
 def suffix_repeats(b: np.ndarray, least: int = MIN_REPEAT) -> tuple[int, int]:
     """Bytes covered by repeated substrings of at least ``least`` (8 or more) bytes, and the longest one's length."""
     n = len(b)
@@ -46,14 +91,13 @@ def suffix_repeats(b: np.ndarray, least: int = MIN_REPEAT) -> tuple[int, int]:
     np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
     rank = np.empty(n, np.int64)
     rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]  # a group's rank is its first place
-    levels, h = [], 8
+    h = 8
     while h < n:
         shared = ~new
         shared[:-1] |= ~new[1:]
         at = np.flatnonzero(shared)
         if not len(at):
             break
-        levels.append((h, rank.copy()))
         pos = order[at]
         then = np.where(pos + h < n, rank[np.minimum(pos + h, n - 1)], -1) + 1
         pair = (rank[pos] << 32) | then
@@ -64,30 +108,14 @@ def suffix_repeats(b: np.ndarray, least: int = MIN_REPEAT) -> tuple[int, int]:
         new[at[0]] = True
         rank[pos] = at[np.flatnonzero(new[at])[np.cumsum(new[at]) - 1]]
         h *= 2
-    i, j = order[1:], order[:-1]
-    alike = np.flatnonzero(ordered[1:] == ordered[:-1])  # others share fewer than 8 bytes
-    i, j = i[alike], j[alike]
-    lcp = np.zeros(len(i), np.int64)
-    for h, ranks in reversed(levels):
-        a, c = i + lcp, j + lcp
-        fits = np.maximum(a, c) < n
-        same = fits & (ranks[np.minimum(a, n - 1)] == ranks[np.minimum(c, n - 1)])
-        lcp += h * same
-    if not len(levels):
-        lcp[:] = 8
-    a, c = np.minimum(i + lcp, n - 1), np.minimum(j + lcp, n - 1)
-    differ = key[a] ^ key[c]
-    for byte in range(1, 8):
-        lcp += (differ >> np.uint64(64 - 8 * byte)) == 0
-    lcp = np.minimum(lcp, n - np.maximum(i, j))
     full = np.zeros(n + 1, np.int64)  # full[p]: LCP of the suffixes at places p - 1 and p
-    full[alike + 1] = lcp
+    full[:n] = neighbour_lcp(b, key, order)
     deepest = np.maximum(full[:-1], full[1:])
     far = np.flatnonzero(deepest >= least)
     if not len(far):
         return 0, 0
     edge = np.bincount(order[far], minlength=n + 1).astype(np.int64) - np.bincount(order[far] + deepest[far], minlength=n + 1)
-    return int(np.count_nonzero(np.cumsum(edge[:n]) > 0)), int(lcp.max())
+    return int(np.count_nonzero(np.cumsum(edge[:n]) > 0)), int(full.max())
 
 
 def repeated_words(hashes: np.ndarray, woffs: np.ndarray, shingles: np.ndarray, soffs: np.ndarray, w: int = 3) -> np.ndarray:
