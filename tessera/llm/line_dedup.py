@@ -9,7 +9,9 @@ the one place where a hot line's rows meet, and Spark splits its partitions.
 
 Defined cases: a null or empty text is one empty line; a document with a null
 id keeps all lines and isn't counted; rows with the same id count as one
-document, and each keeps or loses lines by itself; extra columns pass through.
+document, and each keeps or loses lines by itself; a line twice in a document
+counts once, and a keeper keeps both; an empty table gives no rows; very long
+texts are one row as a whole. Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import free, release, staged
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -32,48 +34,46 @@ def line_key(line: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text_col cut to the lines kept, and __n_lines, __n_dropped.
+    """docs with text_col cut to the lines kept, and __n_lines, __n_dropped (with more underscores after, where docs has such columns).
 
     A key of at least min_chars code points in at least min_docs documents
     loses its lines everywhere but in the largest id that holds it.
     """
+    doc, same, lines, gone, n_lines, n_dropped = free(docs.columns, "doc", "same", "lines", "gone", "__n_lines", "__n_dropped")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = (
+    hashed = (
         docs.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__text"), F.posexplode(F.split(text, "\n", -1)).alias("__pos", "__line"))
-        .select("__id", "__text", "__pos", line_key(F.col("__line")).alias("__key"))
-        .where(F.length("__key") >= min_chars)
-        .select("__id", "__text", "__pos", F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit(1), F.col("__key")).alias("__h2"))
+        .select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+        .select("id", "text", "pos", line_key(F.col("line")).alias("key"))
+        .where(F.length("key") >= min_chars)
+        .select("id", "text", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"))
     )
+    hashed = staged(hashed, "hashes")  # texts are split and hashed once
     common = (
-        lines.groupBy("__h1", "__h2", "__id")
-        .agg(F.lit(1).alias("__one"))
-        .groupBy("__h1", "__h2")
-        .agg(F.count("*").alias("__docs"), F.max("__id").alias("__keeper"))
-        .where(F.col("__docs") >= min_docs)
-        .select("__h1", "__h2", "__keeper")
+        hashed.groupBy("h1", "h2", "id")
+        .agg(F.lit(1).alias("one"))
+        .groupBy("h1", "h2")
+        .agg(F.count("*").alias("docs"), F.max("id").alias("keeper"))
+        .where(F.col("docs") >= min_docs)
+        .select("h1", "h2", "keeper")
     )
     common = staged(common, "common")  # so that the join deals both sides anew, and a hot line's partition can be split
-    gone = (
-        lines.join(common, ["__h1", "__h2"])
-        .where(F.col("__id") != F.col("__keeper"))
-        .groupBy("__id", "__text")
-        .agg(F.collect_set("__pos").alias("__gone"))
-    )
-    left = docs.withColumn("__lines", F.split(text, "\n", -1)).withColumn("__text", F.xxhash64(text))
-    both = left.join(gone.withColumnRenamed("__text", "__same"), (F.col(id_col) == F.col("__id")) & (F.col("__text") == F.col("__same")), "left")
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda p: F.get("__lines", p)), "\n"))
+    dropped = hashed.join(common, ["h1", "h2"]).where("id <> keeper").groupBy(F.col("id").alias(doc), F.col("text").alias(same)).agg(F.collect_set("pos").alias(gone))
+    dropped = staged(dropped, "dropped")
+    release(hashed, common)
+    both = docs.withColumn(lines, F.split(text, "\n", -1)).join(dropped, (F.col(id_col) == F.col(doc)) & (F.xxhash64(text) == F.col(same)), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.transform(stay, lambda p: F.get(lines, p)), "\n"))
     return both.select(
-        *[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.size("__lines").cast("long").alias("__n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_dropped"),
+        *[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+        F.size(lines).cast("long").alias(n_lines),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias(n_dropped),
     )
 
 
 def digest(docs: DataFrame) -> DataFrame:
     return line_dedup(docs.select("doc_id", "text")).select(
-        "doc_id", F.col("__n_lines").alias("n_lines"), F.greatest("__n_dropped", F.lit(0)).alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
     )
 
 
