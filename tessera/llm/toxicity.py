@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, small_batches
+from .common import batch, free, schema_of, small_batches
 from .textvec import PUNCT, each
 
 SAMPLE = 6000
@@ -197,10 +197,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score, threshold (of the row's language) and rejected."""
+    """docs with __score, __limit (the threshold of the row's language) and __rejected; with more underscores after, where docs has such columns."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
+    spoken, own_score, own_limit, rejected = free(names, "spoken", "__score", "__limit", "__rejected")
 
     def run(batches):
         m = sent.value
@@ -209,12 +210,17 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
             for _, _, words in each(x.column("text"), lower=True, apart=PUNCT):
                 scores.append(m.score(word_rows(words.hash), words.woffs))
             score = np.concatenate(scores)
-            limit = np.array([m.thresholds.get(v, THRESHOLD) for v in x.column("__lang").to_pylist()], float)
-            yield batch(**{n: x.column(n) for n in names}, __score=score, __limit=limit, __rejected=score >= limit)
+            limit = np.array([m.thresholds.get(v, THRESHOLD) for v in x.column(spoken).to_pylist()], float)
+            yield batch(**{n: x.column(n) for n in names}, **{own_score: score, own_limit: limit, rejected: score >= limit})
 
     lang = F.col("lang").cast("string") if "lang" in names else F.lit(None).cast("string")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("__lang", lang).mapInArrow(run, schema + ", __score double, __limit double, __rejected boolean")
+    return docs.withColumn(spoken, lang).mapInArrow(run, schema_of(docs, f"`{own_score}` double", f"`{own_limit}` double", f"`{rejected}` boolean"))
+
+
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that aren't rejected."""
+    rejected = free(docs.columns, "__rejected")[0]
+    return toxicity(docs, model).where(~F.col(rejected)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
