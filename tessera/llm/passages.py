@@ -6,22 +6,28 @@ minimum of a segment parts it in two) gives compact windows [l, c, r]: every
 passage inside that holds c has c's hash as its min-hash. Only windows of at
 least the least passage's length are made, about 2n / that length a function.
 
-Windows with one min-hash form a group; each is linked to the group's first
-document and to the one before it, never to all. A group may be drawn together
-by fewer words than a passage has, so each is also linked to the first and to
-the one before it of those that agree with it over nine shingles (45 words)
-around the minimum, wherever the minimum lies in them, and of those that agree
-there but for one changed word. Passages that lie differently to more words
-than that are met only by the first two links and by other hash functions. Windows that a run of a
-task's input repeats as a whole (all shingles from l to r) are linked there.
-The windows of a pair of documents, intersected across the hash
-functions, are the places to verify: both texts' shingles there are compared,
-and passages of at least ``min_words`` words whose shingle sets have a Jaccard
-similarity of at least ``similarity`` are kept, with exact spans.
-
-Defined cases: null, empty and short texts have no passages; rows without an
-id take no part; of rows with equal ids all texts are searched. The smaller
-(id, position) of two passages is the representative.
+Windows with one min-hash form a group, in the order of (id, place). A group
+may be drawn together by fewer words than a passage has, so each window is
+linked to the first of those that agree with it over nine shingles (45 words)
+around the minimum, wherever the minimum lies in them. A window without such a
+link is linked to the group's first and to the one before it, and to the first
+that agrees with it there but for one changed word. Links depend on the keys
+alone, never on tasks or batches. A min-hash that a sample by id shows to be
+hot is split by the hash of the id, and in each part those that nothing before
+them agrees with go on to a second round, grouped by what they agree over.
+
+The windows that link two documents are joined as intervals across the hash
+functions: a place goes on if the windows of at least ``enough`` functions
+cover it. There both texts' shingles are compared, and passages of at least
+``min_words`` words whose shingle sets have a Jaccard similarity of at least
+``similarity`` are kept, with exact spans.
+
+Defined cases: null, empty and short texts have no passages, an empty table
+none; rows without an id take no part; of rows with equal ids all texts are
+searched, but not against each other. Of equal hashes in a text the first by a
+fixed order of places is the minimum. Very long texts are worked on whole. The
+smaller (id, position) of two passages is the representative. Extra columns
+are not read, and pass through ``drop_passages``, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,16 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, partitions, small_batches, staged
+from .common import batch, chunks, free, partitions, release, schema_of, small_batches, some_of, staged
 from .components import components
-from .jaccard import groups, runs
 from .textvec import Words, each, mix, stream, text_buffers
 
-WORDS, MIN_WORDS, SIMILARITY, HASHES = 5, 50, 0.8, 4
-RUN_WORDS = 1 << 20  # words between which a task looks for repeated windows
-SPAN = 0xFFFF
+WORDS, MIN_WORDS, SIMILARITY, HASHES, ENOUGH = 5, 50, 0.8, 4, 2
+HOT, SAMPLED = 1 << 16, 64  # windows of a min-hash from which on it is split, by one id in so many
 PLACES = 16
-_WHOLE = stream(1, 8)[0]
 BESIDE = 8  # fingerprints of shingles w apart on each side of a window's minimum, three bits each
 #: Which of them agree if the texts do over BESIDE + 1 shingles around the minimum; and the same with one left out, for a changed word.
 RUNS = np.array([sum(7 << 3 * (k + i) for i in range(BESIDE)) for k in range(BESIDE + 1)], np.uint64)
@@ -71,134 +74,187 @@ def compact_windows(v: np.ndarray, offs: np.ndarray, least: int) -> tuple[np.nda
 
 
 def windows(docs: DataFrame, w: int, least: int, hashes: int) -> DataFrame:
-    """kind 0: token, doc and packed window; kind 1: also the window (rep, rep_pos) that it repeats."""
+    """token (the min-hash), doc, at (place of the minimum << 8 | function), span (places before << 32 | after it) and near (fingerprints around it)."""
     seeds = stream(hashes, 7)
 
     def run(batches):
-        seen, size = {}, 0
         for x in batches:
             ids = np.array([-1 if d is None else d for d in x.column("doc_id").to_pylist()], np.int64)
-            null = np.array([d is None for d in x.column("doc_id").to_pylist()], bool)
             for i, _, words in each(x.column("text"), lower=True):
                 sh, soffs = words.shingles(w)
                 if not len(sh):
                     continue
-                place = mix(np.arange(len(sh), dtype=np.uint64)) & np.uint64(0xFFFF)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sh ^ _WHOLE))])
+                own = np.arange(len(sh)) - np.repeat(soffs[:-1], np.diff(soffs))
+                place = mix(own.astype(np.uint64)) & np.uint64(0xFFFF)
                 rows = []
-                for seed in seeds:
+                for f, seed in enumerate(seeds):
                     h = mix(sh + seed)
                     text, left, c, right = compact_windows(h & ~np.uint64(0xFFFF) | place, soffs, least)
-                    keep = ~null[i + text]
-                    text, left, c, right = text[keep], left[keep], c[keep], right[keep]
-                    whole = mix(sums[right + 1] - sums[left]) ^ mix((c - left << 32 | right - c).view(np.uint64))
-                    pos = (c - soffs[text]) << 32 | np.minimum(c - left, SPAN) << 16 | np.minimum(right - c, SPAN)
+                    doc, at = ids[i + text], (c - soffs[text]) << 8 | f
                     near = np.zeros(len(c), np.uint64)
                     for k, step in enumerate([*range(-BESIDE, 0), *range(1, BESIDE + 1)]):
-                        at = c + step * w
-                        inside = (at >= soffs[text]) & (at < soffs[text + 1])
+                        there = c + step * w
+                        inside = (there >= soffs[text]) & (there < soffs[text + 1])
                         # beyond an end of the text: a value of the window's own
-                        bits = np.where(inside, sh[np.clip(at, 0, len(sh) - 1)], mix((pos ^ ids[i + text] * 31 + k).view(np.uint64))) >> np.uint64(61)
+                        bits = np.where(inside, sh[np.clip(there, 0, len(sh) - 1)], mix((at ^ doc * 31 + k).view(np.uint64))) >> np.uint64(61)
                         near |= bits << np.uint64(3 * k)
                     # 40 bits of a token do, as links are verified; they shuffle smaller
-                    rows.append(((h[c] >> np.uint64(24)).view(np.int64), ids[i + text], pos, near.view(np.int64), (h[c] ^ mix(whole)).view(np.int64)))
-                token, doc, pos, near, key = (np.concatenate(r) for r in zip(*rows, strict=True))
-                rep, rep_pos, kind = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int8)
-                for n, (k, d, p) in enumerate(zip(key.tolist(), doc.tolist(), pos.tolist(), strict=True)):
-                    known = seen.setdefault(k, (d, p))
-                    if known[0] != d:
-                        kind[n], rep[n], rep_pos[n] = 1, known[0], known[1]
-                token = np.where(kind == 1, (mix(doc.view(np.uint64) + token.view(np.uint64)) >> np.uint64(24)).view(np.int64), token)
-                yield batch(kind=kind, token=token, doc=doc, pos=pos, near=pa.array(near, mask=kind == 1), rep=pa.array(rep, mask=kind == 0), rep_pos=pa.array(rep_pos, mask=kind == 0))
-                if (size := size + len(sh)) > RUN_WORDS:
-                    seen, size = {}, 0
-
-    return docs.select("doc_id", "text").mapInArrow(run, "kind byte, token long, doc long, pos long, near long, rep long, rep_pos long")
-
-
-def alike_beside(group: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (later, earlier) of rows of one group to link: for each pattern, each row with the first and the last before it that agree there."""
-    n = len(near)
-
-    def chains(p):
-        key = mix(mix(near & p) + group)
-        by = np.argsort(key, kind="stable")
-        first, last = runs(key[by])
-        size = last - first - 1
-        at = np.arange(size.sum()) + np.repeat(first + 1 - np.cumsum(size) + size, size)
-        return np.concatenate([by[at] * n + by[np.repeat(first, size)], by[at] * n + by[at - 1]])
-
-    whole = np.unique(np.concatenate([chains(p) for p in RUNS]))
-    part = np.unique(np.concatenate([chains(p) for p in PARTS]))
-    # rows that agree over a whole run are linked by it
-    differ = near[part // n] ^ near[part % n]
-    code = np.concatenate([whole, part[np.all([differ & r != 0 for r in RUNS], axis=0)]])
-    return code // n, code % n
-
-
-def linked(rows: DataFrame) -> DataFrame:
-    """doc, pos, rep, rep_pos of windows with one min-hash; the rep comes first by (id, position)."""
+                    rows.append(((h[c] >> np.uint64(24)).view(np.int64), doc, at, c - left << 32 | right - c, near.view(np.int64)))
+                token, doc, at, span, near = (np.concatenate(r) for r in zip(*rows, strict=True))
+                yield batch(token=token, doc=doc, at=at, span=span, near=near)
+
+    some = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    return some.mapInArrow(run, "token long, doc long, at long, span long, near long")
+
+
+def first_of(keys: np.ndarray) -> np.ndarray:
+    """For each row the first row with its key."""
+    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    return first[back]
+
+
+def run_keys(token: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """A row a pattern: what windows share that agree there."""
+    return np.stack([mix(mix(near & p) + mix(token + np.uint64(k))) for k, p in enumerate(RUNS)])
+
+
+def group_links(token: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows to link (later, earlier) of groups in order, which rows lead (nothing before agrees with them in some pattern), and which agree with none."""
+    n = len(token)
+    here, keys = np.arange(n), run_keys(token, near)
+    firsts = np.stack([first_of(k) for k in keys])
+    lead, lone = (firsts == here).any(0), (firsts == here).all(0)
+    pairs = [here * n + f for f in firsts]
+    head = first_of(token)
+    some = np.flatnonzero(lone & (head != here))
+    pairs += [some * n + head[some], some * n + some - 1]
+    lone_rows = np.flatnonzero(lone)
+    large = lone_rows[np.bincount(head, minlength=n)[head[lone_rows]] > 3]  # in smaller groups these two links meet all
+    if len(large):
+        pairs += [large * n + large[first_of(k)] for k in part_keys(token[large], near[large])]
+    code = np.unique(np.concatenate(pairs))
+    later, earlier = code // n, code % n
+    return later[later != earlier], earlier[later != earlier], lead, lone
+
+
+def part_keys(token: np.ndarray, near: np.ndarray) -> np.ndarray:
+    return np.stack([mix(mix(near & p) + mix(token + np.uint64(len(RUNS) + k))) for k, p in enumerate(PARTS)])
+
+
+LINK = "doc long, at long, span long, rep long, rep_at long, rep_span long"
+
+
+def linked(rows: DataFrame, hot: int = HOT, sampled: int = SAMPLED) -> DataFrame:
+    """doc, at, span and the rep's of windows with one min-hash; the rep comes first by (id, place).
+
+    hot: rows of a min-hash, as a sample of ids has it, from which on it is
+    split; more where that would be very many min-hashes.
+    """
+    hot = max(hot, rows.count() // (16 * partitions(rows)))
+    ids = rows.where(F.pmod(F.xxhash64(F.lit(3), "doc"), F.lit(sampled)) == 0)
+    often = ids.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > hot / sampled)
+    often = F.broadcast(often.select("token", F.ceil(F.col("n") * sampled / hot).cast("int").alias("salts")))  # at most 16 a partition
+    salt = F.when(F.col("salts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("doc"), F.col("salts")))
+    dealt = rows.join(often, "token", "left").withColumn("salt", salt.cast("int")).drop("salts")
+    order = ("token", "salt", "doc", "at", "span")
 
     def run(batches):
-        done = []
-
-        def split():
-            for x in batches:
-                kind = x.column("kind").to_numpy()
-                if kind.any():
-                    done.append(x.filter(pa.array(kind == 1)).select(["doc", "pos", "rep", "rep_pos"]))
-                if not kind.all():
-                    yield x.filter(pa.array(kind == 0)).select(["token", "doc", "pos", "near"])
-
-        for cols in groups(split(), "token"):
-            yield from done
-            done.clear()
-            first, last = runs(cols["token"])
-            found, large = [], []
-            for i, j in zip(first.tolist(), last.tolist(), strict=True):
-                doc, pos = cols["doc"][i:j], cols["pos"][i:j]
-                by = np.lexsort((pos, doc))
-                doc, pos = doc[by], pos[by]
-                if len(doc) > 3:
-                    large.append((np.full(len(doc), i, np.uint64), doc, pos, cols["near"][i:j][by].view(np.uint64)))
-                found.append((doc[1:], pos[1:], np.full(len(doc) - 1, doc[0]), np.full(len(doc) - 1, pos[0])))
-                if len(doc) > 2:
-                    found.append((doc[2:], pos[2:], doc[1:-1], pos[1:-1]))
-            if large:
-                group, doc, pos, near = (np.concatenate(f) for f in zip(*large, strict=True))
-                a, b = alike_beside(group, near)
-                found.append((doc[a], pos[a], doc[b], pos[b]))
-            if found:
-                doc, pos, rep, rep_pos = (np.concatenate(f) for f in zip(*found, strict=True))
-                ok = doc != rep
-                yield batch(doc=doc[ok], pos=pos[ok], rep=rep[ok], rep_pos=rep_pos[ok])
-        yield from done
-
-    dealt = rows.repartition(partitions(rows), "token").sortWithinPartitions("token")
-    out = dealt.mapInArrow(run, "doc long, pos long, rep long, rep_pos long")
-    swap = F.col("rep") > F.col("doc")  # a run's first holder isn't always the smaller one
-    return out.select(*[F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("doc", "rep"), ("pos", "rep_pos"), ("rep", "doc"), ("rep_pos", "pos"))])
-
-
-def regions(links: list[tuple[int, int, int]], w: int, enough: int = 1) -> list[tuple[int, int, int, int, int]]:
-    """(rep, first and past-the-last word here, and there) of where a document's windows meet those of its reps."""
-    spans = []
-    for rep, pos, rep_pos in links:
-        (c, a, b), (c2, a2, b2) = (((p >> 32), (p >> 16) & SPAN, p & SPAN) for p in (pos, rep_pos))
+        for cols, _, _ in chunks(keyed(batches), "group"):
+            token = cols["group"]
+            edge = np.concatenate([[True], token[1:] != token[:-1], [True]])
+            keep = np.flatnonzero(~(edge[:-1] & edge[1:]) | (cols["salt"] > 0))  # not alone
+            if not len(keep):
+                continue
+            doc, at, span = (cols[c][keep] for c in ("doc", "at", "span"))
+            token, near, salt = token[keep].view(np.uint64), cols["near"][keep].view(np.uint64), cols["salt"][keep]
+            later, earlier, lead, lone = group_links(token, near)
+            other = doc[later] != doc[earlier]
+            a, b = later[other], earlier[other]
+            yield out_batch(doc[a], at[a], span[a], doc[b], at[b], span[b], [None] * len(a), None)
+            on = np.flatnonzero((salt > 0) & lead)
+            for i in range(0, len(on), 1000):  # leaders of a split group: with the keys of all of it
+                some = on[i : i + 1000]
+                whole = cols["token"][keep][some].view(np.uint64)
+                keys = np.concatenate([run_keys(whole, near[some]), mix(whole)[None], part_keys(whole, near[some])]).T
+                yield out_batch(doc[some], at[some], span[some], doc[some], at[some], span[some], keys.view(np.int64).tolist(), lone[some])
+
+    def keyed(batches):
+        for x in batches:
+            token, salt = x.column("token").to_numpy(), x.column("salt").to_numpy()
+            # parts of a hot min-hash are groups of their own; they lie beside each other
+            group = np.where(salt > 0, (mix(token.view(np.uint64) + mix(salt.astype(np.uint64))) >> np.uint64(1)).view(np.int64), token)
+            yield batch(group=group, **{c: x.column(c) for c in x.schema.names})
+
+    def out_batch(doc, at, span, rep, rep_at, rep_span, keys, lone):
+        return batch(doc=doc, at=at, span=span, rep=rep, rep_at=rep_at, rep_span=rep_span, keys=pa.array(keys, pa.list_(pa.int64())), lone=np.zeros(len(doc), bool) if lone is None else lone)
+
+    dealt = dealt.repartition(partitions(rows), "token", "salt").sortWithinPartitions(*order)
+    found = staged(dealt.mapInArrow(run, LINK + ", keys array<long>, lone boolean"), "linked")
+    open_ = found.where(F.col("keys").isNotNull()).select("doc", "at", "span", "lone", F.posexplode("keys").alias("kind", "key"))
+    heads = open_.groupBy("key").agg(F.min(F.struct("doc", "at", "span")).alias("h"), F.count("*").alias("n")).where("n > 1").select("key", F.col("h.doc").alias("rep"), F.col("h.at").alias("rep_at"), F.col("h.span").alias("rep_span"))
+    seek = open_.where(F.col("lone") | (F.col("kind") < len(RUNS)))  # the others agree with one of their part
+    late = seek.join(heads, "key").where("doc <> rep").select("doc", "at", "span", "rep", "rep_at", "rep_span").distinct()
+    links = found.where(F.col("keys").isNull()).select("doc", "at", "span", "rep", "rep_at", "rep_span").union(late)
+    links.tables = (found,)
+    return links
+
+
+def covered(spans: list[tuple[int, int, int]], enough: int) -> list[tuple[int, int]]:
+    """Maximal intervals that spans (first, past the last, function) of at least enough functions cover."""
+    steps = sorted([(lo, 1, f) for lo, _, f in spans] + [(hi, -1, f) for _, hi, f in spans])
+    many: dict[int, int] = {}
+    out, since, n, i = [], None, 0, 0
+    while i < len(steps):
+        at = steps[i][0]
+        while i < len(steps) and steps[i][0] == at:
+            _, step, f = steps[i]
+            was = many.get(f, 0)
+            many[f] = was + step
+            n += (was + step > 0) - (was > 0)
+            i += 1
+        if n >= enough and since is None:
+            since = at
+        elif n < enough and since is not None:
+            out.append((since, at))
+            since = None
+    return out
+
+
+def regions(links: list[tuple[int, int, int, int, int]], w: int, enough: int = ENOUGH, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int, int]]:
+    """(rep, first and past-the-last word here, and there) of where windows of enough functions meet those of a rep.
+
+    links: (rep, at, span, rep_at, rep_span). Windows that overlap here and
+    there are one bunch; what enough functions cover of it is a region.
+    """
+    low, spans = (1 << 32) - 1, []
+    for rep, at, span, rep_at, rep_span in links:
+        c, a, b = at >> 8, span >> 32, span & low
+        c2, a2, b2 = rep_at >> 8, rep_span >> 32, rep_span & low
         a, a2 = min(a, a2 + a2 // 4 + w), min(a2, a + a // 4 + w)
         b, b2 = min(b, b2 + b2 // 4 + w), min(b2, b + b // 4 + w)
-        spans.append((rep, c - a, c + b + w, c2 - a2, c2 + b2 + w))
+        spans.append((rep, c - a, c + b + w, c2 - a2, c2 + b2 + w, at & 255, c2 - c))
     spans.sort()
-    out, votes = [], []
-    for rep, lo, hi, lo2, hi2 in spans:
-        if out and out[-1][0] == rep and lo <= out[-1][2] and lo2 <= out[-1][4] and hi2 >= out[-1][3]:
-            r = out[-1]
-            out[-1] = (rep, r[1], max(r[2], hi), min(r[3], lo2), max(r[4], hi2))
-            votes[-1] += 1
+    bunches = []
+    for s in spans:
+        last = bunches[-1] if bunches else None
+        if last and last[0] == s[0] and s[1] <= last[1] and s[3] <= last[3] and s[4] >= last[2]:
+            last[1], last[2], last[3] = max(last[1], s[2]), min(last[2], s[3]), max(last[3], s[4])
+            last[4].append(s)
         else:
+            bunches.append([s[0], s[2], s[3], s[4], [s]])
+    out = []
+    for rep, _, _, _, own in bunches:
+        if len({s[5] for s in own}) < enough:
+            continue
+        for lo, hi in covered([(s[1], s[2], s[5]) for s in own], enough):
+            if hi - lo < min_words:
+                continue
+            over = [s for s in own if s[1] < hi and s[2] > lo]
+            slack = (hi - lo) // 4 + w
+            lo2 = max(min(s[3] for s in over), lo + min(s[6] for s in over) - slack)
+            hi2 = min(max(s[4] for s in over), hi + max(s[6] for s in over) + slack)
             out.append((rep, lo, hi, lo2, hi2))
-            votes.append(1)
-    return [r for r, v in zip(out, votes, strict=True) if v >= enough]
+    return out
 
 
 def passages(here: np.ndarray, there: np.ndarray, w: int, min_words: int, similarity: float) -> list[tuple[int, int, int, int, int, float]]:
@@ -239,13 +295,27 @@ def passages(here: np.ndarray, there: np.ndarray, w: int, min_words: int, simila
     return out
 
 
-def shared_passages(docs: DataFrame, w: int = WORDS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hashes: int = HASHES, enough: int = 1) -> DataFrame:
+def shared_passages(docs: DataFrame, w: int = WORDS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
     """doc_id, start_word, end_word and the representative's rep_doc_id, rep_start_word, rep_end_word, n_shared, similarity."""
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    links = linked(windows(docs, w, min_words - w + 1, hashes)).where("doc <> rep")
-    per_doc = links.groupBy("doc").agg(F.collect_set(F.struct("rep", "pos", "rep_pos")).alias("links"))
-    texts = docs.where(F.col("doc_id").isNotNull())
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    made = staged(windows(texts, w, min_words - w + 1, hashes), "windows")
+    links = linked(made)
+    per_doc = links.groupBy("doc").agg(F.collect_set(F.struct("rep", "at", "span", "rep_at", "rep_span")).alias("links"))
+
+    def join(batches):
+        for x in batches:
+            out = []
+            for doc, found in zip(x.column("doc").to_pylist(), x.column("links").to_pylist(), strict=True):
+                out += [(doc, *r) for r in regions([tuple(r[c] for c in ("rep", "at", "span", "rep_at", "rep_span")) for r in found], w, enough, min_words)]
+            if out:
+                yield batch(**dict(zip(("doc", "lo", "hi", "rep", "rep_lo", "rep_hi"), (list(c) for c in zip(*((d, lo, hi, r, lo2, hi2) for d, r, lo, hi, lo2, hi2 in out), strict=True)), strict=True)))
+
+    found = staged(per_doc.mapInArrow(join, "doc long, lo long, hi long, rep long, rep_lo long, rep_hi long"), "regions")
+    release(made, *links.tables)
+    both_ends = found.select(F.col("doc").alias("id")).union(found.select("rep"))
+    texts = some_of(texts, both_ends.distinct())
+    per_doc = found.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "rep", "rep_lo", "rep_hi")).alias("regions"))
 
     def cut(batches):
         zstd = pa.Codec("zstd")
@@ -254,18 +324,18 @@ def shared_passages(docs: DataFrame, w: int = WORDS, min_words: int = MIN_WORDS,
                 x = whole.slice(at, 128)
                 out = []
                 data, offs = text_buffers(x.column("text"))
-                for d, (doc, found) in enumerate(zip(x.column("doc").to_pylist(), x.column("links").to_pylist(), strict=True)):
+                for d, (doc, found) in enumerate(zip(x.column("doc").to_pylist(), x.column("regions").to_pylist(), strict=True)):
                     b = data[offs[d] : offs[d + 1]]
                     words = Words(b, np.array([0, len(b)]), lower=True)
-                    for rep, lo, hi, lo2, hi2 in regions([(r["rep"], r["pos"], r["rep_pos"]) for r in found], w, enough):
-                        lo, hi = max(lo, 0), min(hi, len(words.start))
+                    for r in found:
+                        lo, hi = max(r["lo"], 0), min(r["hi"], len(words.start))
                         if lo < hi:
                             part = b[words.start[lo] : words.end[hi - 1]].tobytes()
-                            out.append((doc, lo, zstd.compress(part, asbytes=True), len(part), rep, lo2, hi2))
+                            out.append((doc, lo, zstd.compress(part, asbytes=True), len(part), r["rep"], r["rep_lo"], r["rep_hi"]))
                 if out:
                     yield batch(**dict(zip(("doc", "start", "part", "size", "rep", "rep_lo", "rep_hi"), map(list, zip(*out, strict=True)), strict=True)))
 
-    parts = texts.join(per_doc, F.col("doc_id") == F.col("doc")).select("doc", "text", "links").mapInArrow(cut, "doc long, start long, part binary, size long, rep long, rep_lo long, rep_hi long")
+    parts = texts.join(per_doc, F.col("doc_id") == F.col("doc")).select("doc", "text", "regions").mapInArrow(cut, "doc long, start long, part binary, size long, rep long, rep_lo long, rep_hi long")
 
     def verify(batches):
         last, theirs, zstd = None, None, pa.Codec("zstd")
@@ -330,12 +400,13 @@ def drop_passages(docs: DataFrame, **options) -> DataFrame:
     """docs without the passages whose class has a smaller document; other bytes of the texts stay as they are."""
     found = staged(shared_passages(docs, **options), "passages")
     gone = classes(found, options.get("similarity", SIMILARITY)).where("first < doc")
-    spans = gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(F.struct(F.col("start").alias("start_word"), F.col("end").alias("end_word"))).alias("__spans"))
-    joined = docs.join(spans, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    key, cuts = free(docs.columns, "doc", "cuts")
+    spans = gone.groupBy(F.col("doc").alias(key)).agg(F.collect_set(F.struct(F.col("start").alias("start_word"), F.col("end").alias("end_word"))).alias(cuts))
+    joined = docs.join(spans, F.col("doc_id") == F.col(key), "left").drop(key)
 
     def cut(batches):
         for x in batches:
-            hit = [i for i, s in enumerate(x.column("__spans")) if s.is_valid]
+            hit = [i for i, s in enumerate(x.column(cuts)) if s.is_valid]
             col = x.column("text")
             if hit:
                 data, offs = text_buffers(col)
@@ -345,13 +416,12 @@ def drop_passages(docs: DataFrame, **options) -> DataFrame:
                         continue
                     b = data[offs[i] : offs[i + 1]]
                     words, keep = Words(b, np.array([0, len(b)]), lower=True), np.ones(len(b), bool)
-                    for s in x.column("__spans")[i].as_py():
+                    for s in x.column(cuts)[i].as_py():
                         lo, hi = s["start_word"], min(s["end_word"], len(words.start))
                         if lo < hi:
                             keep[words.start[lo] : words.start[hi] if hi < len(words.start) else words.end[hi - 1]] = False
                     texts[i] = b[keep].tobytes().decode("utf-8", "replace")
                 col = pa.array(texts, pa.string())
-            names = [n for n in x.schema.names if n != "__spans"]
-            yield batch(**{n: col if n == "text" else x.column(n) for n in names})
+            yield batch(**{n: col if n == "text" else x.column(n) for n in x.schema.names if n != cuts})
 
-    return joined.mapInArrow(cut, docs.schema)
+    return joined.mapInArrow(cut, schema_of(docs))
