@@ -8,21 +8,24 @@
 3. The documents of a token make a tile. Tiles of up to ``SMALL`` sets give
    their pairs of like size, so at most a constant number a row; a pair goes on
    if it shares enough of its prefixes for the overlap it needs. Larger tiles
-   are joined by their first document (a group of near copies shares most of
-   its tiles) and parted into bands of sizes, a band into blocks; blocks of
-   one band and of neighbouring ones are held against each other.
+   are named by their first document (a group of near copies shares most of
+   its tiles) and parted into bands of sizes, a band into blocks of bounded
+   rows and bytes; blocks of one band and of neighbouring ones are held against
+   each other: first each by itself and against the first block of its own and
+   the next band, which joins most of a group of copies, then those pairs of
+   blocks whose documents aren't all of one component yet.
 4. Sets are compared by bitmaps of at least twice as many bits as the set has
    elements (a bit is the parity of the elements hashed to it): the bits
-   that differ bound the overlap from above. Within a pair of blocks only links
-   that would join two components go on, a spanning forest: copies cost a row
-   each, not a row a pair. First each block by itself, then all pairs of
-   blocks; where a link of a forest fails the exact test, all pairs over the
-   bound that are still of different components are tested.
+   that differ bound the overlap from above.
 5. What passes is intersected exactly, as sorted arrays, from the whole texts.
+   Within a pair of blocks only documents that aren't joined yet are tried, so
+   its links are a spanning forest: copies cost a row each, not a row a pair.
 
 Tokens are 64-bit hashes. Defined cases: a null or empty text has an empty set
-and no links; a row without an id has no component; rows with equal ids are
-one node (a link of one is a link of it), each with its own set's size.
+and no links, an empty table gives no rows; a row without an id has no
+component; rows with equal ids are one node (a link of one is a link of it),
+each with its own set's size. Very long texts count whole, their bitmaps have
+at most ``MOST_BITS`` bits. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -35,14 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, partitions, small_batches, staged
+from .common import batch, chunks, partitions, release, small_batches, some_of, staged
 from .components import components, join_components
 from .textvec import each, mix
 
 WORDS, PERCENT = 4, 85
 CELLS = 1 << 20
-SMALL, BLOCK_BYTES, MOST_BITS = 16, 4 << 20, 1 << 18
-MARKS = 8388593  # bits of the table of ids
+SMALL, MOST_BITS = 16, 1 << 18
+BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20  # a block's sets, and what their elements take
+CHUNK = 1 << 17  # rows of a tile that a task holds at once
 RUN_BYTES = 32 << 20  # texts between which a task looks for equal sets
 _OTHER = np.uint64(0x9FB21C651E98DF25)
 
@@ -83,11 +87,14 @@ def shingle_counts(docs: DataFrame, w: int, cells: int = CELLS) -> np.ndarray:
     return out
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, w: int, percent: int) -> DataFrame:
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Counts on a scale of 256 steps, six for each doubling."""
+    return np.minimum(6 * np.log2(counts + 1), 255).astype(np.uint8)
+
+
+def prefixes(docs: DataFrame, sent, w: int, percent: int) -> DataFrame:
     """kind 0: token, doc, n, print of the prefix tokens; 1: doc and an equal set's doc (in print); 2: doc and n."""
-    shift = np.uint64(64 - (len(counts).bit_length() - 1))
-    level = np.minimum(6 * np.log2(counts + 1), 255).astype(np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(level)
+    shift = np.uint64(64 - (len(sent.value).bit_length() - 1))
 
     def run(batches):
         level, seen, size = sent.value, {}, 0
@@ -119,24 +126,6 @@ def prefixes(docs: DataFrame, counts: np.ndarray, w: int, percent: int) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, "kind byte, doc long, n int, print long, token long")
 
 
-def groups(batches, key: str):
-    """Runs of equal keys of a stream sorted by key, as lists of numpy columns; a batch's groups at once."""
-    rest = None
-    for x in batches:
-        if not x.num_rows:
-            continue
-        cols = {c: x.column(c).to_numpy(zero_copy_only=False) for c in x.schema.names}
-        if rest is not None:
-            cols = {c: np.concatenate([rest[c], v]) for c, v in cols.items()}
-        k = cols[key]
-        cut = int(np.searchsorted(k, k[-1], "left"))
-        rest = {c: v[cut:] for c, v in cols.items()}
-        if cut:
-            yield {c: v[:cut] for c, v in cols.items()}
-    if rest is not None:
-        yield rest
-
-
 def runs(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and past-the-last places of runs of at least two equal values."""
     edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
@@ -144,7 +133,7 @@ def runs(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[:-1][many], edge[1:][many]
 
 
-def tiles(rows: DataFrame, percent: int) -> DataFrame:
+def tiles(rows: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
     """kind 1: doc and the doc (other) of an equal set; 2: doc, n; 3: a pair, its sizes (n, token) and how many tokens it shared here; 4: doc, n and the first doc (other) of a large tile."""
 
     def run(batches):
@@ -160,11 +149,16 @@ def tiles(rows: DataFrame, percent: int) -> DataFrame:
                 if len(own):
                     yield x.take(pa.array(own))
 
-        for cols in groups(split(), "token"):
+        name = 0
+        for cols, before, after in chunks(split(), "token", chunk):
             yield from tiled
             tiled.clear()
             first, last = runs(cols["token"])
-            pairs, large = [], []
+            pairs, large, end = [], [], len(cols["token"])
+            if before and (not len(first) or first[0]):  # one row of a tile that is cut
+                first, last = np.append(0, first), np.append(1, last)
+            if after and (not len(last) or last[-1] < end):
+                first, last = np.append(first, end - 1), np.append(last, end)
             for i, j in zip(first.tolist(), last.tolist(), strict=True):
                 by = np.lexsort((cols["doc"][i:j], cols["print"][i:j], cols["n"][i:j])) + i
                 doc, n, prt = cols["doc"][by], cols["n"][by], cols["print"][by]
@@ -173,8 +167,10 @@ def tiles(rows: DataFrame, percent: int) -> DataFrame:
                 pairs += [(min(a, b), max(a, b), k, k) for a, b, k in zip(lead[~new].tolist(), doc[~new].tolist(), n[~new].tolist(), strict=True) if a != b]
                 doc, n = doc[new], n[new]
                 m = len(doc)
-                if m > SMALL:
-                    large.append((np.full(m, doc.min()), doc, n))
+                cut = before and i == 0, after and j == end
+                if m > SMALL or any(cut):
+                    name = name if cut[0] else int(doc.min())  # a tile that is cut keeps its name
+                    large.append((np.full(m, name), doc, n))
                     continue
                 doc, n = doc.tolist(), n.tolist()
                 for a in range(m - 1):
@@ -215,33 +211,16 @@ def alike(overlap: int, na: int, nb: int, percent: int) -> bool:
 
 
 def signatures(docs: DataFrame, ids: DataFrame, w: int) -> DataFrame:
-    """doc, n, bits and text of the documents in ids (column doc).
-
-    A bit table of fixed size, at the ids' remainders, spares most other texts
-    the way through the join; the join itself is exact.
-    """
-    at = F.pmod(F.col("doc"), F.lit(MARKS))
-    marks = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    table = np.zeros((MARKS // 32768 + 2, 4096), np.uint8)
-    for r in marks.collect():  # at most MARKS bits
-        table[r["bucket"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    """doc, n, bits and text of the documents in ids (column doc)."""
 
     def run(batches):
-        marked = sent.value
-        for whole in batches:
-            doc = whole.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            at = np.mod(doc, MARKS)
-            # buckets count from 1, and each holds 32768 bits from its first byte's lowest on
-            bucket, bit = (at - 1) // 32768 + 1, (at - 1) % 32768
-            bucket, bit = np.where(at > 0, bucket, 0), np.where(at > 0, bit, 0)
-            some = whole.filter(pa.array((marked[bucket, bit >> 3] >> (bit & 7) & 1).astype(bool)))
+        for some in batches:
             for i in range(0, some.num_rows, 512):
                 x = some.slice(i, 512)
                 sets = [(len(s), bitmap(s)) for s in shingle_sets(x.column("text"), w)]
                 yield batch(doc=x.column("doc_id"), n=pa.array([n for n, _ in sets], pa.int32()), bits=pa.array([b for _, b in sets], pa.binary()), text=x.column("text"))
 
-    some = docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc long, n int, bits binary, text string")
+    some = some_of(docs, ids.select(F.col("doc").alias("id"))).mapInArrow(run, "doc long, n int, bits binary, text string")
     return staged(some.join(ids, "doc", "left_semi"), "signatures")
 
 
@@ -284,31 +263,39 @@ def folded(bits: list[bytes], words: int) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, words), axis=0) for b in bits])
 
 
-def forest(a, b, percent: int, spanning: bool, same: bool) -> list[tuple[int, int]]:
-    """Links over the bound between two blocks (doc, n, label, bits), or within one, of different labels: a spanning forest, or all."""
-    (doc_a, n_a, lab_a, bits_a), (doc_b, n_b, lab_b, bits_b) = a, b
-    words = min(min(map(len, bits_a)), min(map(len, bits_b))) // 8
-    x, y = folded(bits_a, words), folded(bits_b, words)
-    lab_b, out = lab_b.copy(), []
-    lab_a = lab_b if same else lab_a.copy()
-    for i in range(len(doc_a)):
-        from_ = i + 1 if same else 0
-        js = from_ + np.flatnonzero((lab_b[from_:] != lab_a[i]) & (doc_b[from_:] != doc_a[i]) & (100 * np.minimum(n_b[from_:], n_a[i]) >= percent * np.maximum(n_b[from_:], n_a[i])))
-        if not len(js):
-            continue
-        both = (n_a[i] + n_b[js] - np.bitwise_count(y[js] ^ x[i]).sum(1, dtype=np.int64)) // 2
-        js = js[100 * both >= percent * (n_a[i] + n_b[js] - both)]
+class Block:
+    """Sets of one tile's block: documents, sizes, components so far, bitmaps and texts."""
+
+    def __init__(self, cols: dict, at: np.ndarray, w: int):
+        self.doc, self.n, self.label = (cols[c][at] for c in ("doc", "n", "label"))
+        self.bits, self.texts = cols["bits"][at].tolist(), cols["text"][at].tolist()
+        self.w, self.known = w, {}
+
+    def elements(self, i: int) -> np.ndarray:
+        if i not in self.known:
+            (self.known[i],) = shingle_sets(pa.array([self.texts[i]], pa.string()), self.w)
+        return self.known[i]
+
+
+def forest(a: Block, b: Block, percent: int) -> list[tuple[int, int]]:
+    """Links between two blocks, or within one, that join documents of different components, until no link does."""
+    words = min(min(map(len, a.bits)), min(map(len, b.bits))) // 8
+    x, y, out = folded(a.bits, words), folded(b.bits, words), []
+    for i in range(len(a.doc)):
+        js = np.arange(i + 1 if a is b else 0, len(b.doc))
+        js = js[(b.label[js] != a.label[i]) & (b.doc[js] != a.doc[i]) & (100 * np.minimum(b.n[js], a.n[i]) >= percent * np.maximum(b.n[js], a.n[i]))]
         if not len(js):
             continue
-        labels, first = np.unique(lab_b[js], return_index=True)
-        if spanning:
-            js = js[first]
-            lab_b[np.isin(lab_b, labels)] = lab_a[i]
-            if same:
-                lab_a = lab_b
-            else:
-                lab_a[np.isin(lab_a, labels)] = lab_a[i]
-        out += [(doc_a[i], d) for d in doc_b[js]]
+        both = (a.n[i] + b.n[js] - np.bitwise_count(y[js] ^ x[i]).sum(1, dtype=np.int64)) // 2
+        for j in js[100 * both >= percent * (a.n[i] + b.n[js] - both)].tolist():
+            if b.label[j] == a.label[i]:
+                continue
+            shared = len(np.intersect1d(a.elements(i), b.elements(j), assume_unique=True))
+            if shared and alike(shared, int(a.n[i]), int(b.n[j]), percent):
+                out.append((a.doc[i], b.doc[j]))
+                gone, to = b.label[j], a.label[i]
+                for block in (a, b):
+                    block.label[block.label == gone] = to
     return out
 
 
@@ -326,58 +313,76 @@ def merged(large: DataFrame) -> DataFrame:
     return large.join(to, "tile").select(F.col("to").alias("tile"), "doc", "n").distinct()
 
 
-def block_pairs(large: DataFrame, sigs: DataFrame, labels: DataFrame, percent: int, full: bool, spanning: bool) -> DataFrame:
-    """Pairs (a, b) of the large tiles (tile, doc, n) to test: of each block by itself, or of all pairs of blocks."""
+def blocks_of(large: DataFrame, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """tile, band, block, doc, n: the large tiles' rows by sizes and blocks."""
     width = -math.log(percent / 100)
     banded = large.withColumn("band", F.floor(F.log("n") / width + 1e-9).cast("int"))
-    sizes = banded.groupBy("tile", "band").agg(F.count("*").alias("rows"), F.least(F.pow(2.0, F.ceil(F.log2(F.max("n"))) + 1) / 8, F.lit(MOST_BITS / 8)).alias("bytes"))
-    sizes = sizes.select("tile", "band", F.ceil(F.col("rows") * F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
-    rows = banded.join(sizes, ["tile", "band"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    rows = rows.join(labels.toDF("doc", "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    own = ("doc", "n", "label")
-    if not full:
-        dealt = rows.select(*own, F.xxhash64("tile", "band", "block").alias("task"), F.lit(0).alias("side"))
-    else:
-        at = lambda other: F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other")
-        name = lambda band, a, b: F.xxhash64(F.col("tile"), band, a, b)
-        band, block, other = F.col("band"), F.col("block"), F.col("other")
-        within = rows.select(*own, "tile", "band", "block", at("blocks"))
-        within = within.select(*own, name(band, F.least(block, other), F.greatest(block, other)).alias("task"), F.when(block == other, 0).when(block < other, 1).otherwise(2).alias("side"))
-        # with the band above: this band's rows on side 1, that one's on side 2
-        near = lambda step: sizes.select("tile", (F.col("band") + step).alias("band"), F.col("blocks").alias("there"))
-        above = rows.join(near(-1), ["tile", "band"]).select(*own, "tile", "band", "block", at("there"))
-        below = rows.join(near(1), ["tile", "band"]).select(*own, "tile", "band", "block", at("there"))
-        across = above.select(*own, F.xxhash64(F.lit("across"), F.col("tile"), band, block, other).alias("task"), F.lit(1).alias("side"))
-        across = across.union(below.select(*own, F.xxhash64(F.lit("across"), F.col("tile"), band - 1, other, block).alias("task"), F.lit(2).alias("side")))
-        dealt = within.union(across)
-        # a task whose rows all have one label has nothing to find
-        busy = dealt.groupBy("task").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("task")
-        dealt = dealt.join(busy, "task", "left_semi")
-    dealt = dealt.join(sigs.select("doc", "bits").dropDuplicates(["doc"]), "doc")
+    sizes = banded.groupBy("tile", "band").agg(F.ceil(F.greatest(F.count("*") / block_rows, 8 * F.sum("n") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    return banded.join(sizes, ["tile", "band"]).select("tile", "band", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), "doc", "n")
+
+
+def first_tasks(blocks: DataFrame) -> DataFrame:
+    """tile, band, block, side and task: each block by itself, and with the first block of its band and of the next one."""
+    own = F.struct(F.col("band").alias("band2"), F.col("block").alias("block2"))
+    lead = blocks.groupBy("tile", "band").agg(F.min("block").alias("block2")).select("tile", F.col("band").alias("band2"), "block2")
+    alone = blocks.select("tile", "band", "block", own.alias("other")).select("tile", "band", "block", "other.*")
+    near = blocks.join(lead, "tile").where("(band2 = band AND block2 < block) OR band2 = band + 1").select("tile", "band", "block", "band2", "block2")
+    return tasks_of(alone.union(near))
+
+
+def later_tasks(rows: DataFrame) -> DataFrame:
+    """The same for all other pairs of blocks of one band and neighbouring ones, but those whose rows (with label) are of one component."""
+    blocks = rows.groupBy("tile", "band", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    blocks = staged(blocks, "blocks")
+    main = blocks.where("lo = hi").groupBy("tile", "lo").agg(F.count("*").alias("n")).groupBy("tile").agg(F.max_by("lo", F.struct("n", "lo")).alias("main"))
+    odd = blocks.join(main, "tile", "left").where("main IS NULL OR lo <> hi OR lo <> main").drop("main")  # the others are all of one component
+    name = lambda df, k: df.select("tile", *[F.col(c).alias(f"{c}{k}") for c in ("band", "block", "lo", "hi")])
+    lead = blocks.groupBy("tile", "band").agg(F.min("block").alias("first"))
+    pairs = name(odd, "").join(name(blocks, "2"), "tile").where("abs(band - band2) <= 1 AND (band <> band2 OR block <> block2) AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)")
+    swap = F.expr("band > band2 OR (band = band2 AND block > block2)")
+    pairs = pairs.select("tile", *[F.when(swap, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("band2", "band", "band"), ("block2", "block", "block"), ("band", "band2", "band2"), ("block", "block2", "block2"))]).distinct()
+    first = lead.select("tile", F.col("band").alias("band2"), F.col("first").alias("first2"))
+    done = "(band2 = band AND least(block, block2) = first2) OR (band2 = band + 1 AND block2 = first2)"
+    return tasks_of(pairs.join(first, ["tile", "band2"]).where(f"NOT ({done})").select("tile", "band", "block", "band2", "block2"))
+
+
+def tasks_of(pairs: DataFrame) -> DataFrame:
+    """tile, band, block, task, side (0: alone) from pairs of blocks (tile, band, block, band2, block2)."""
+    one = (F.col("band") == F.col("band2")) & (F.col("block") == F.col("block2"))
+    named = pairs.withColumn("task", F.xxhash64("tile", "band", "block", "band2", "block2")).withColumn("one", one)
+    here = named.select("tile", "band", "block", "task", F.when(F.col("one"), 0).otherwise(1).alias("side"))
+    return here.union(named.where("NOT one").select("tile", F.col("band2").alias("band"), F.col("block2").alias("block"), "task", F.lit(2).alias("side")))
+
+
+def block_links(rows: DataFrame, tasks: DataFrame, sigs: DataFrame, w: int, percent: int) -> DataFrame:
+    """Links (a, b) that tasks find between rows (tile, band, block, doc, n, label)."""
+    dealt = rows.join(tasks, ["tile", "band", "block"]).select("task", "side", "doc", "n", "label").join(sigs, ["doc", "n"])
 
     def run(batches):
-        for cols in groups(batches, "task"):
+        for cols, _, _ in chunks(batches, "task"):
             edge = np.flatnonzero(np.concatenate([[True], cols["task"][1:] != cols["task"][:-1], [True]]))
             found = []
             for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                side = cols["side"][i:j]
-                part = lambda at, i=i: tuple(cols[c][i:][at] for c in own) + (cols["bits"][i:][at].tolist(),)
-                pick = [np.flatnonzero(side == k) for k in range(3)]
-                for a, b in ((pick[0], pick[0]), (pick[1], pick[2])):
-                    if len(a) and len(b):
-                        found += forest(part(a), part(b), percent, spanning, a is b)
+                block = lambda k, i=i, j=j: Block(cols, i + np.flatnonzero(cols["side"][i:j] == k), w)
+                own, a, b = map(block, range(3))
+                if len(own.doc):
+                    found += forest(own, own, percent)
+                if len(a.doc) and len(b.doc):
+                    found += forest(a, b, percent)
             if found:
                 both = np.unique(np.sort(np.array(found, np.int64), axis=1), axis=0)
                 yield batch(a=both[:, 0], b=both[:, 1])
 
-    return dealt.repartition(partitions(large), "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(partitions(rows), "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
 
 
-def jaccard_join(docs: DataFrame, w: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def jaccard_join(docs: DataFrame, w: int = WORDS, percent: int = PERCENT, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    found = staged(tiles(prefixes(docs, shingle_counts(docs, w), w, percent), percent), "tiles")
+    level = docs.sparkSession.sparkContext.broadcast(levels(shingle_counts(docs, w)))
+    found = staged(tiles(prefixes(docs, level, w, percent), percent), "tiles")
+    level.destroy()
     equal = found.where("kind = 1").select(F.col("doc").alias("a"), F.col("other").alias("b"))
     # tokens shared beyond the prefixes are at most what lies behind one of them; pairs that share a large tile's token are tried there
     size = lambda c: F.col(c) - (F.col(c) - F.ceil(F.lit(percent) * F.col(c) / 100) + 1)
@@ -389,15 +394,17 @@ def jaccard_join(docs: DataFrame, w: int = WORDS, percent: int = PERCENT) -> Dat
     ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(large.select("doc")).distinct()
     sigs = signatures(docs, ids, w)
     links = staged(equal.union(verified(bounded(pairs, sigs, percent), sigs, w, percent)), "verified")
+    rows = staged(blocks_of(large, percent, block_rows), "blocks")
+    labelled = lambda labels: rows.join(labels.toDF("doc", "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     labels = staged(components(links), "labels")
-    for full, spanning in ((False, True), (True, True), (True, False)):
-        if large.isEmpty():
-            break
-        tried = staged(block_pairs(large, sigs, labels, percent, full, spanning), "tried")
-        passed = staged(verified(tried, sigs, w, percent), "verified")
-        labels = staged(join_components(labels, passed), "labels")
-        if full and tried.count() == passed.count():
-            break  # no link of a forest failed, so all pairs over the bound are within components
+    if not rows.isEmpty():
+        blocks = rows.select("tile", "band", "block").distinct()
+        labels = staged(join_components(labels, staged(block_links(labelled(labels), first_tasks(blocks), sigs, w, percent), "links")), "labels")
+        named = staged(labelled(labels), "labelled")
+        more = staged(block_links(named, later_tasks(named), sigs, w, percent), "links")
+        if not more.isEmpty():
+            labels = staged(join_components(labels, more), "labels")
+    release(pairs, large, sigs, links, rows)
     rows = found.where("kind = 2").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"))
     return rows.join(labels.toDF("doc_id", "__c"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("__c", "doc_id").alias("component_id"))
 
