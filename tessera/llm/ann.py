@@ -1,22 +1,31 @@
 """Approximate nearest neighbours: inverted lists scanned dimension block by block.
 
 Vectors are assigned to the nearest of k centres, fitted on a bounded sample.
-A query probes the lists of its nearest centres. Within a list, vectors are
-rotated by a fixed random rotation and held in column blocks; a partial
-distance over the first d of D rotated dimensions, scaled by D / d, estimates
-the whole one, and a candidate is abandoned as soon as a hypothesis test says
-that it is farther than the query's bound. The test starts from
-the fortieth distance (4 k) within a bounded sample of the vectors. Survivors are
-measured exactly, in double precision, on the original vectors.
+A query probes the lists of its nearest centres, as many as hold a share of
+``RECALL`` of the sample's own nearest neighbours and a margin: the share of
+lists is measured on the data, at every size alike. With ``exact`` a list is
+left out only if the triangle inequality says that none of its vectors can be
+near enough, and no candidate is abandoned on a guess, so nothing is missed.
+
+Within a list, vectors are rotated by a fixed random rotation and held in
+column blocks; a partial distance over the first d of D rotated dimensions,
+scaled by D / d, estimates the whole one, and a candidate is abandoned as soon
+as a hypothesis test says that it is farther than the query's bound. The bound
+starts from the k-th nearest of the sample's rows in the lists probed, and
+tightens as a block's rows are scanned, a run at a time. Survivors are measured
+exactly, in double precision, on the original vectors.
 
 Every vector is indexed and every query searched. Long lists are parted into
-blocks of about ``BLOCK`` rows by hash, so a centre that draws a third of all
-rows is many tasks; a query's best of each block are merged.
+blocks of about ``BLOCK`` rows by hash, and the queries of a list into blocks
+of ``ASKED``, so a centre that draws a third of all rows or queries is many
+tasks; a query's best of each block are merged.
 
 Defined cases: vectors that are null, zero, or hold a null or a value that is
-not finite take no part, nor do those of another length than most; ties go to
-the smaller id; repeated rows with one id count each, but never for their own
-query. Fewer candidates than k give all of them.
+not finite take no part, nor do those of another length than most, for a
+distance to them isn't defined; ties go to the smaller id; repeated rows with
+one id count each as candidates, but never for their own query, for which one
+of them (the least by bytes) asks. Fewer candidates than k give all of them. An empty table gives no rows; extra
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -26,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, staged
+from .common import batch, release, staged
 
 FIT, BOUND = 16384, 2048  # rows that centres are fitted on, and that first bounds are taken from
 ROWS_A_LIST, MOST_LISTS = 100, 4096
-PROBED, LEAST_PROBED = 0.6, 12
-BLOCK = 4096
+RECALL, MARGIN, ASK = 0.97, 1.05, 512  # of the sample's neighbours; lists beyond those; sample rows that ask
+BLOCK, ASKED, RUN = 4096, 1024, 512
 COLUMNS = 16
 EPSILON = 2.1
 
@@ -82,8 +91,24 @@ def nearest(v: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, n), np.int64)
 
 
-def scan(query: np.ndarray, blocks: list[np.ndarray], tau: float, k: int) -> np.ndarray:
-    """Places in the blocks of rotated columns that may be among the k nearest: partial distances, then abandonment."""
+def share_probed(sample: np.ndarray, c: np.ndarray, k: int, recall: float, margin: float = MARGIN) -> int:
+    """How many lists hold so many of the k nearest neighbours, by rows of the sample that ask for theirs within it."""
+    ask = np.random.default_rng(17).permutation(len(sample))[:ASK]
+    lists = nearest(sample, c, 1)[:, 0]
+    norm, ranks = (sample * sample).sum(1), []
+    for i in range(0, len(ask), 64):
+        some = ask[i : i + 64]
+        d = norm - 2 * sample[some] @ sample.T
+        d[np.arange(len(some)), some] = np.inf
+        near = np.argpartition(d, min(k, len(sample) - 1) - 1, 1)[:, : min(k, len(sample) - 1)]
+        order = np.argsort(np.argsort((c * c).sum(1) - 2 * sample[some] @ c.T, 1), 1)  # the rank of each list for each row
+        ranks.append(np.take_along_axis(order, lists[near], 1).ravel())
+    ranks = np.sort(np.concatenate(ranks))
+    return min(len(c), int(np.ceil((ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))] + 1) * margin))) if len(ranks) else len(c)
+
+
+def scan(query: np.ndarray, blocks: list[np.ndarray], tau: float, guess: bool = True) -> np.ndarray:
+    """Places in the blocks of rotated columns that may be nearer than the root of tau: partial distances, then abandonment."""
     dim, n = sum(b.shape[1] for b in blocks), blocks[0].shape[0]
     alive, part, seen = np.arange(n), np.zeros(n), 0
     for b in blocks:
@@ -91,17 +116,17 @@ def scan(query: np.ndarray, blocks: list[np.ndarray], tau: float, k: int) -> np.
         diff = own - query[seen : seen + b.shape[1]]
         part = part + np.einsum("ij,ij->i", diff, diff)
         seen += b.shape[1]
-        if seen < dim:
+        if guess and seen < dim:
             stays = part * (dim / seen) <= tau * (1 + EPSILON / np.sqrt(seen)) ** 2
-            alive, part = alive[stays], part[stays]
+        else:
+            stays = part <= tau
+        alive, part = alive[stays], part[stays]
         if not len(alive):
             break
-    if len(alive) > 4 * k:  # all dimensions are in: keep those within rounding of the kth
-        alive = alive[part <= np.partition(part, k - 1)[k - 1] * (1 + 1e-6) + 1e-12]
     return alive
 
 
-def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
+def search(vectors: DataFrame, k: int = 10, every: int = 100, exact: bool = False, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each row whose id is divisible by ``every``."""
     spark, vectors = vectors.sparkSession, vectors.select("vec_id", "embedding")
     sample = pa.Table.from_pandas(vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT).toPandas())  # at most FIT rows
@@ -111,12 +136,15 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     if not sizes:
         return spark.createDataFrame([], out_schema)
     dim = int(np.bincount(sizes).argmax())
-    rows = np.concatenate([usable(x, dim)[1] for x in batches])
+    ids, rows = (np.concatenate(c) for c in zip(*(usable(x, dim) for x in batches), strict=True))
     if not len(rows):
         return spark.createDataFrame([], out_schema)
     lists = int(np.clip(vectors.count() // ROWS_A_LIST, 1, min(MOST_LISTS, len(rows))))
-    probed = min(lists, max(LEAST_PROBED, int(np.ceil(PROBED * lists))))
-    sent = spark.sparkContext.broadcast((centres(rows, lists), rows[:BOUND], rotation(dim)))
+    c = centres(rows, lists)
+    probed = lists if exact else share_probed(rows, c, k, recall)
+    bound, turn = rows[:BOUND], rotation(dim)
+    held, bound_ids = nearest(bound, c, 1)[:, 0], ids[:BOUND]
+    sent = spark.sparkContext.broadcast((c, bound, held, bound_ids, turn))  # at most FIT, BOUND and dim rows
 
     def values(m: np.ndarray) -> pa.Array:
         raw, step = m.astype(np.float64).tobytes(), 8 * dim
@@ -127,46 +155,79 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 ids, m = usable(whole.slice(at, 4096), dim)
-                yield batch(list=nearest(m, c, 1)[:, 0].astype(np.int32), vec_id=ids, v=values(m))
+                list_ = nearest(m, c, 1)[:, 0]
+                yield batch(list=list_.astype(np.int32), vec_id=ids, v=values(m), away=np.sqrt(((m - c[list_]) ** 2).sum(1)))
+
+    indexed = staged(vectors.mapInArrow(assign, "list int, vec_id long, v binary, away double"), "lists")
+    sizes = {r["list"]: (r["n"], r["away"]) for r in indexed.groupBy("list").agg(F.count("*").alias("n"), F.max("away").alias("away")).collect()}  # a row a list
+    radius = spark.sparkContext.broadcast(np.array([sizes.get(i, (0, -np.inf))[1] for i in range(lists)]))
 
     def probe(batches):
-        c, bound, _ = sent.value
+        c, bound, held, bound_ids, _ = sent.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                ids, m = usable(whole.slice(at, 1024), dim)
-                if not len(ids):
-                    continue
-                d = ((bound * bound).sum(1) - 2 * m @ bound.T) + (m * m).sum(1)[:, None]
-                # far more than k of the sample are as near, also where some are in lists not probed
-                tau = np.partition(d, 4 * k, 1)[:, 4 * k] * (1 + 1e-9) if len(bound) > 4 * k else np.full(len(m), np.inf)
+            for at in range(0, whole.num_rows, 256):
+                x = whole.slice(at, 256)
+                ids, m = x.column("vec_id").to_numpy(), np.frombuffer(b"".join(x.column("v").to_pylist()), np.float64).reshape(-1, dim)
                 near = nearest(m, c, probed)
-                yield batch(list=near.ravel().astype(np.int32), query_id=np.repeat(ids, probed), q=values(np.repeat(m, probed, 0)), tau=np.repeat(tau, probed))
-
-    indexed = staged(vectors.mapInArrow(assign, "list int, vec_id long, v binary"), "lists")
-    blocks = indexed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row a list
-    left = indexed.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
-    queries = vectors.where(F.col("vec_id") % every == 0).mapInArrow(probe, "list int, query_id long, q binary, tau double")
-    right = queries.join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+                there = np.zeros((len(m), len(c)), bool)
+                np.put_along_axis(there, near, True, 1)
+                d = np.maximum(((bound * bound).sum(1) - 2 * m @ bound.T) + (m * m).sum(1)[:, None], 0)
+                d[~there[:, held] | (bound_ids == ids[:, None])] = np.inf  # only rows that the query will meet bound it
+                tau = np.partition(d, k - 1, 1)[:, k - 1] * (1 + 1e-9) + 1e-9 if len(bound) >= k else np.full(len(m), np.inf)
+                if exact:
+                    far = np.sqrt(np.maximum(((c * c).sum(1) - 2 * m @ c.T) + (m * m).sum(1)[:, None], 0))
+                    meets = there & (far - radius.value <= np.sqrt(tau)[:, None] * (1 + 1e-6) + 1e-6)
+                else:
+                    meets = there
+                q, list_ = np.nonzero(meets)
+                raw = np.empty(len(m), object)
+                raw[:] = values(m).to_pylist()
+                yield batch(list=list_.astype(np.int32), query_id=ids[q], q=pa.array(raw[q].tolist(), pa.binary()), tau=tau[q])
+
+    queries = indexed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = staged(queries.mapInArrow(probe, "list int, query_id long, q binary, tau double"), "asked")
+    wanted = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row a list
+    parts = [(i, -(-n // BLOCK), -(-wanted.get(i, 0) // ASKED)) for i, (n, _) in sizes.items() if wanted.get(i)]
+    if not parts:
+        return spark.createDataFrame([], out_schema)
+    blocks = F.broadcast(spark.createDataFrame(parts, "list int, blocks int, asks int"))  # a row a list
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    one = lambda key, n, name: F.pmod(F.xxhash64(key), F.col(n)).cast("int").alias(name)
+    left = indexed.join(blocks, "list").select("list", one("vec_id", "blocks", "block"), each("asks", "ask"), "vec_id", "v")
+    right = asked.join(blocks, "list").select("list", each("blocks", "block"), one("query_id", "asks", "ask"), "query_id", "q", "tau")
 
     def within(own: pa.Table, asked: pa.Table) -> pa.Table:
         found = []
         if own.num_rows and asked.num_rows:
-            r = sent.value[2]
+            r = sent.value[4]
             m = np.frombuffer(b"".join(own.column("v").to_pylist()), np.float64).reshape(-1, dim)
             turned = m @ r
             cols = [np.ascontiguousarray(turned[:, i : i + COLUMNS]) for i in range(0, dim, COLUMNS)]
             ids = own.column("vec_id").to_numpy()
             q = np.frombuffer(b"".join(asked.column("q").to_pylist()), np.float64).reshape(-1, dim)
+            q_turned = q @ r
             for i, (query, tau) in enumerate(zip(asked.column("query_id").to_pylist(), asked.column("tau").to_pylist(), strict=True)):
-                near = scan(q[i] @ r, cols, tau * (1 + 1e-9) + 1e-12, k + 1)
-                near = near[ids[near] != query]
-                score = np.sqrt(((m[near] - q[i]) ** 2).sum(1))
-                near, score = near[score**2 <= tau + 1e-9], score[score**2 <= tau + 1e-9]  # no row beyond the bound goes on
-                best = near[np.lexsort((ids[near], score))][:k]
-                found.append((np.full(len(best), query), ids[best], np.sort(score)[:k]))
+                best_id, best = np.zeros(0, np.int64), np.zeros(0)
+                for a in range(0, len(m), RUN):
+                    near = a + scan(q_turned[i], [x[a : a + RUN] for x in cols], tau * (1 + 1e-9) + 1e-9, not exact)
+                    near = near[ids[near] != query]
+                    if not len(near):
+                        continue
+                    best_id, best = np.concatenate([best_id, ids[near]]), np.concatenate([best, np.sqrt(((m[near] - q[i]) ** 2).sum(1))])
+                    if len(best) >= k:
+                        top = np.lexsort((best_id, best))[:k]
+                        best_id, best = best_id[top], best[top]
+                        tau = min(tau, best[-1] ** 2)  # nothing farther than the k-th so far
+                top = np.lexsort((best_id, best))[:k]
+                found.append((np.full(len(top), query), best_id[top], best[top]))
         query, ids, score = (np.concatenate(f) for f in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
         return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(score, pa.float64())})
 
-    best = left.groupBy("list", "block").cogroup(right.groupBy("list", "block")).applyInArrow(within, "query_id long, vec_id long, score double")
+    key = ("list", "block", "ask")
+    best = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(within, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = staged(best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+    release(indexed, asked)
+    sent.destroy()
+    radius.destroy()
+    return out
