@@ -176,15 +176,51 @@ def test_jaccard(docs, texts):
     for i, t in enumerate(texts):
         w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
         sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} if w else set()
+    least = brute_links(sets, 85)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(docs).collect()}
+    assert {i: (len(s), least[i]) for i, s in sets.items()} == {i: v for i, v in got.items() if i is not None}
+
+
+def brute_links(sets, percent):
     least = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     for _ in sets:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
+def test_jaccard_large_tiles(spark):
+    """Tiles of more than SMALL sets, over several bands and blocks, cut by batches, with repeated rows and ids."""
+    rng = random.Random(31)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for k in range(150):
+        own = list(base[: rng.randint(60, 120)])
+        for _ in range(rng.randint(0, 2)):
+            own[rng.randrange(len(own))] = f"c{k}"
+        rows.append((rng.choice([k, 1000 + k]), " ".join(own), "x"))
+    rows += [rows[3], rows[5], (rows[7][0], "another text of the same id that nothing else is like", "x")]
+    sets = {}
+    for n, (i, t, _) in enumerate(rows):
+        w = t.split()
+        sets[i, n] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)}
+    least = {k: k for k in sets}
+    for _ in range(40):
         for a in sets:
             for b in sets:
-                both = len(sets[a] & sets[b])
-                if both and 100 * both >= 85 * len(sets[a] | sets[b]):
-                    least[a] = min(least[a], least[b])
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(docs).collect()}
-    assert {i: (len(s), least[i]) for i, s in sets.items()} == {i: v for i, v in got.items() if i is not None}
+                if a < b and (a[0] == b[0] or 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])):
+                    least[a] = least[b] = min(least[a], least[b])
+    df = spark.createDataFrame(rows, DOCS)
+    found = [r for r in jaccard.jaccard_join(df, block_rows=20).collect()]
+    assert sorted((r["doc_id"], r["n_shingles"]) for r in found) == sorted((i, len(s)) for (i, _), s in sets.items())
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: least[i, n][0] for i, n in sets}
+    sent = spark.sparkContext.broadcast(jaccard.levels(jaccard.shingle_counts(df, 4)))
+    cut = jaccard.tiles(jaccard.prefixes(df, sent, 4, 85), 85, chunk=10)
+    assert cut.where("kind = 4").count() > 150  # large tiles are met
+    one = jaccard.shingle_counts(df, 4)
+    assert one.sum() == sum(max(len(t.split()) - 3, 0) for _, t, _ in rows)
+    assert jaccard.jaccard_join(df.limit(0)).count() == 0
 
 
 def test_passages(spark):
@@ -225,8 +261,69 @@ def test_passages_beside_a_template():
     near = np.zeros(8, np.uint64)
     for k, step in enumerate([*range(-passages.BESIDE, 0), *range(1, passages.BESIDE + 1)]):
         near |= (sh[c + 5 * step] >> np.uint64(61)) << np.uint64(3 * k)
-    later, earlier = passages.alike_beside(np.zeros(8, np.uint64), near)
+    later, earlier, lead, lone = passages.group_links(np.zeros(8, np.uint64), near)
     assert {(3, 0), (5, 1), (7, 2)} <= set(zip(later.tolist(), earlier.tolist(), strict=True))
+    assert lead.all() and not lone[[3, 5]].any() and lone[[0, 1, 2, 4, 6]].all()
+
+
+def common_runs(a, b, least):
+    """(start here, start there, words) of all longest runs of at least least words that two texts share."""
+    out, before = [], {}
+    for i, x in enumerate(a):
+        now = {j: before.get(j - 1, 0) + 1 for j, y in enumerate(b) if x == y}
+        out += [(i - n, j - 1 - n + 1, n) for j, n in ((j + 1, n) for j, n in before.items()) if n >= least and j not in now]
+        before = now
+    return out + [(len(a) - n, j - n + 1, n) for j, n in before.items() if n >= least]
+
+
+def test_passages_brute_force(spark):
+    """Every run of 50 words that two documents share lies in passages found in both, and these are of one class; nothing else is found."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    word = lambda n: [rng.choice(words) for _ in range(n)]
+    shared = [word(n) for n in (50, 55, 70, 120)]
+    texts = {}
+    for i in range(60):
+        t = word(rng.randint(0, 120))
+        for _ in range(rng.randint(0, 2)):
+            t += rng.choice(shared) + word(rng.randint(0, 60))
+        texts[i * 3 % 61] = t
+    texts[70], texts[71], texts[72] = list(texts[5]), list(texts[5]), word(20) + texts[5] + word(20)
+    rows = [(i, " ".join(t), "x") for i, t in texts.items()]
+    one = passages.shared_passages(spark.createDataFrame(rows, DOCS).coalesce(1)).collect()
+    rng.shuffle(rows)
+    assert set(one) == set(passages.shared_passages(spark.createDataFrame(rows, DOCS).repartition(7)).collect())  # whatever the layout
+    first = {(r["doc"], r["start"], r["end"]): r["first"] for r in passages.classes(spark.createDataFrame(one)).collect()}
+    inside = collections.defaultdict(lambda: collections.defaultdict(set))
+    for (doc, start, end), f in first.items():
+        for k in range(start, end):
+            inside[doc][k].add(f)
+    for i in texts:
+        for j in texts:
+            for a, b, n in common_runs(texts[i], texts[j], 50) if i < j else ():
+                assert all(inside[i][a + k] & inside[j][b + k] for k in range(n)), (i, j, a, b, n)
+    shingles = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    for r in one:
+        a, b = shingles(texts[r["doc_id"]][r["start_word"] : r["end_word"]]), shingles(texts[r["rep_doc_id"]][r["rep_start_word"] : r["rep_end_word"]])
+        assert r["end_word"] - r["start_word"] >= 50 and len(a & b) >= 0.8 * len(a | b) and r["n_shared"] == len(a & b) and r["rep_doc_id"] < r["doc_id"]
+    assert passages.shared_passages(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_passages_of_a_split_group(spark):
+    """A min-hash whose group is dealt over tasks and batches."""
+    rng = random.Random(22)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared, footer = word(60), word(20)
+    rows = [(i, " ".join(word(60) + (shared if i % 3 == 0 else footer) + word(60)), "x") for i in range(90)]
+    made = passages.windows(spark.createDataFrame(rows, DOCS), 5, 46, 4)
+    links = passages.linked(made.repartition(5), hot=8, sampled=1).collect()
+    assert set(links) == set(passages.linked(made.repartition(2), hot=8, sampled=1).collect())
+    reach = {i: i for i in range(90)}
+    for _ in range(6):
+        for r in links:
+            if r["doc"] % 3 == r["rep"] % 3 == 0:
+                reach[r["doc"]] = reach[r["rep"]] = min(reach[r["doc"]], reach[r["rep"]])
+    assert all(reach[i] == 0 for i in range(0, 90, 3)) and all(r["rep"] < r["doc"] for r in links)
 
 
 def test_passages_of_a_large_group(spark):
@@ -257,17 +354,6 @@ def test_passages_drop_in_any_order(spark):
     assert held == {3}
 
 
-def test_passages_fold_whole_windows(spark):
-    rng = random.Random(8)
-    word = lambda: f"w{rng.randrange(10**6)}"
-    core, tail = [word() for _ in range(30)], [word() for _ in range(15)]
-    rows = [(i, " ".join([word() for _ in range(40)] + core + (tail if i > 1 else []) + [word() for _ in range(60)]), "x") for i in range(4)]
-    kinds = passages.windows(spark.createDataFrame(rows, DOCS).coalesce(1), 5, 46, 4).where("kind = 1").collect()
-    assert not kinds  # no window is another one as a whole
-    same = [(i, rows[0][1], "x") for i in range(3)]
-    assert passages.windows(spark.createDataFrame(same, DOCS).coalesce(1), 5, 46, 4).where("kind = 1 and rep = 0").count() > 0
-
-
 def test_windows():
     v = passages.mix(np.arange(200, dtype=np.uint64))
     _, left, c, right = passages.compact_windows(v, np.array([0, 80, 80, 200]), 10)
@@ -340,6 +426,45 @@ def test_packing(spark, docs, texts):
     assert len(by) <= sum(r["length"] for r in rows) / 512 + 2
 
 
+def best_fit_decreasing(lengths, capacity):
+    gaps, n = [], 0
+    for length in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= length]
+        if fits:
+            gaps.remove(min(fits))
+        else:
+            n += 1
+        gaps.append((min(fits) if fits else capacity) - length)
+    return n
+
+
+@pytest.mark.parametrize("rows_a_task", [10**6, 40])
+def test_best_fit(spark, rows_a_task):
+    """Each piece once, no gap inside a sequence, and about as few sequences as brute-force best fit makes; with one task to a sweep and with many."""
+    rng = random.Random(41)
+    kinds = [lambda: rng.randint(1, 256), lambda: min(256, int(rng.lognormvariate(3, 1)) + 1), lambda: rng.choice([200, 200, 5])]
+    lengths = [kinds[i % 3]() for i in range(600)]
+    df = spark.createDataFrame([(i // 2, n, "x", i) for i, n in enumerate(lengths)], "`row` long, length long, SEQ string, `se q` long")
+    out = packing.best_fit(df, 256, rows_a_task)
+    assert out.columns == [*df.columns, "sequence_id", "offset"]
+    rows, by = out.collect(), collections.defaultdict(list)
+    assert sorted((r["se q"], r["length"]) for r in rows) == list(enumerate(lengths))
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in by.values():
+        ends = [a + n for a, n in sorted(own)]
+        assert [a for a, _ in sorted(own)] == [0, *ends[:-1]] and ends[-1] <= 256
+    least = best_fit_decreasing(lengths, 256)
+    assert len(by) <= least + (0 if rows_a_task > 600 else 3)
+    assert packing.best_fit(df.limit(0), 256).count() == 0
+
+
+def test_matching():
+    plan = packing.matching({0: 3, 2: 2}, {1: 2, 3: 4, 4: 1})
+    # range 1 takes range 0's lowest places; range 3 the nearest range's first, then what range 0 has left
+    assert plan == [(1, 0, 1, 0, 0), (3, 0, 1, 2, 0), (3, 2, 2, 0, 2)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
