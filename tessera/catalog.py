@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.sampling import rank_hash, rank_prefix, rank_sql
-from .operators import exact, grid, kd, outliers
+from .operators import exact, grid, kd, outliers, running
 from .sources import prepare
 from .spec import Points, Rect
 
@@ -130,7 +130,8 @@ def cast_matrix(spark, sf_dir):
 
 @query(f"SELECT count(*) AS n, min(row_id) AS first, max(row_id) AS last FROM (SELECT row_id FROM {ORDERS} WHERE p > 2000 ORDER BY row_id LIMIT 500)")
 def max_rows_prefix(spark, sf_dir):
-    return orders(spark, sf_dir).where("p > 2000").orderBy("row_id").limit(500).agg(F.count("*").alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"))
+    spec = prepare.Dataset({"c": (float("-inf"), float("inf"))}, ["p"], [("p", "<=", 2000)], max_rows=500)
+    return prepare.prepare(orders(spark, sf_dir), spec).agg(F.count("*").alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"))
 
 
 @query(f"SELECT count(*) AS n, round(sum(v), 2) AS total FROM {EVENTS} WHERE row_id % 7 = 0")
@@ -220,7 +221,7 @@ def selectivity_fraction(spark, sf_dir):
 @query(f"SELECT i.place, e.row_id, e.v FROM (SELECT (n * 37) % 1000 AS row_id, n AS place FROM range(50) t(n)) i JOIN {EVENTS} e USING (row_id)")
 def gather_by_id(spark, sf_dir):
     ids = spark.range(50).select(((F.col("id") * 37) % 1000).alias("row_id"), F.col("id").alias("place"))
-    return events(spark, sf_dir).join(F.broadcast(ids), "row_id").select("place", "row_id", "v")  # 50 rows
+    return prepare.gather(events(spark, sf_dir), ids, ["v"])
 
 
 COST = "(SELECT event_type AS method, event_id AS query_ordinal, value AS latency FROM events)"
@@ -232,20 +233,19 @@ def costs(spark, sf_dir):
 
 @query(f"SELECT method, round(sum(latency), 2) AS total, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.95), 6) AS p95, round(quantile_cont(latency, 0.99), 6) AS p99, round(avg((latency > 50)::INT), 6) AS slow FROM {COST} GROUP BY 1")
 def cost_summary_percentiles(spark, sf_dir):
-    p = lambda q: F.round(F.percentile("latency", q), 6)
-    return costs(spark, sf_dir).groupBy("method").agg(F.round(F.sum("latency"), 2).alias("total"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.round(F.avg((F.col("latency") > 50).cast("int")), 6).alias("slow"))
+    c = costs(spark, sf_dir)
+    sums = c.groupBy("method").agg(F.round(F.sum("latency"), 2).alias("total"), F.round(F.avg((F.col("latency") > 50).cast("int")), 6).alias("slow"))
+    return sums.join(rounded(running.quantiles(c, "method", "latency", {"p50": 0.5, "p95": 0.95, "p99": 0.99}), 6), "method").select("method", "total", "p50", "p95", "p99", "slow")
 
 
 @query(f"SELECT method, query_ordinal, round(sum(latency) OVER (PARTITION BY method ORDER BY query_ordinal), 2) AS cumulative FROM {COST}")
 def cumulative_latency(spark, sf_dir):
-    w = Window.partitionBy("method").orderBy("query_ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    return costs(spark, sf_dir).select("method", "query_ordinal", F.round(F.sum("latency").over(w), 2).alias("cumulative"))
+    return running.running_sum(costs(spark, sf_dir), "method", "query_ordinal", "latency", "cumulative").select("method", "query_ordinal", F.round("cumulative", 2).alias("cumulative"))
 
 
 @query(f"SELECT method, count(*) FILTER (WHERE latency > before) AS rises FROM (SELECT method, latency, lag(latency) OVER (PARTITION BY method ORDER BY query_ordinal) AS before FROM {COST}) GROUP BY 1")
 def monotone_lag_check(spark, sf_dir):
-    w = Window.partitionBy("method").orderBy("query_ordinal")
-    return costs(spark, sf_dir).withColumn("before", F.lag("latency").over(w)).groupBy("method").agg(F.count_if(F.col("latency") > F.col("before")).alias("rises"))
+    return running.lagged(costs(spark, sf_dir), "method", "query_ordinal", "latency").groupBy("method").agg(F.count_if(F.col("latency") > F.col("before")).alias("rises"))
 
 
 @query("SELECT l_returnflag, round(sum(l_extendedprice) FILTER (WHERE l_linestatus = 'F'), 2) AS F, round(sum(l_extendedprice) FILTER (WHERE l_linestatus = 'O'), 2) AS O FROM lineitem GROUP BY 1")
@@ -294,7 +294,8 @@ def varying_axis_groups(spark, sf_dir):
 @query(f"SELECT method, round(quantile_cont(e, 0.5), 6) AS p50, round(quantile_cont(e, 0.95), 6) AS p95, round(max(e), 6) AS worst FROM (SELECT method, abs(latency - 50) / 50 AS e FROM {COST}) GROUP BY 1")
 def error_quantiles(spark, sf_dir):
     e = costs(spark, sf_dir).withColumn("e", F.abs(F.col("latency") - 50) / 50)
-    return e.groupBy("method").agg(F.round(F.percentile("e", 0.5), 6).alias("p50"), F.round(F.percentile("e", 0.95), 6).alias("p95"), F.round(F.max("e"), 6).alias("worst"))
+    worst = e.groupBy("method").agg(F.round(F.max("e"), 6).alias("worst"))
+    return rounded(running.quantiles(e, "method", "e", {"p50": 0.5, "p95": 0.95}), 6).join(worst, "method")
 
 
 @query(f"WITH m AS (SELECT method, max(query_ordinal) AS last FROM {COST} GROUP BY 1) SELECT method, count(*) AS n, round(sum(latency), 2) AS total FROM {COST} WHERE query_ordinal <= (SELECT min(last) FROM m) GROUP BY 1")
@@ -307,7 +308,9 @@ def shared_prefix_totals(spark, sf_dir):
 
 @query("SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE regexp_matches(strftime(o_orderdate, '%Y-%m-%d'), '^199[5-7]') AND o_totalprice BETWEEN 1000 AND 200000")
 def regex_bbox_filter(spark, sf_dir):
-    kept = read(spark, sf_dir, "orders").where(F.date_format("o_orderdate", "yyyy-MM-dd").rlike("^199[5-7]") & F.col("o_totalprice").between(1000, 200000))
+    # the years that the pattern allows, as a range too: the scan skips by it
+    years = (F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp")) & (F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp"))
+    kept = read(spark, sf_dir, "orders").where(years & F.date_format("o_orderdate", "yyyy-MM-dd").rlike("^199[5-7]") & F.col("o_totalprice").between(1000, 200000))
     return kept.agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
@@ -316,18 +319,23 @@ def hashed_buckets(spark, sf_dir):
     return events(spark, sf_dir).groupBy((rank_hash(F.col("row_id")) % 16).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("total"))
 
 
-PLAN_SQL = "SELECT m AS method, e AS error_bound FROM (VALUES ('scan'), ('grid'), ('grid_approx')) a(m), (VALUES (0.0::DOUBLE), (0.01), (0.05)) b(e) WHERE (m LIKE '%approx') = (e > 0)"
+PLAN_SQL = """
+WITH w AS (SELECT * FROM (VALUES ('small', 2, 100), ('wide', 4, 50)) w(workload, there, queries)),
+m AS (SELECT * FROM (VALUES ('scan', 'scan', false), ('grid_agg', 'grid', false), ('akd_agg_approx', 'akd', true)) m(method, substrate, near))
+SELECT workload, method, substrate, measures::INT AS measures, threshold::INT AS threshold, true AS resident, replicate::INT AS replicate, error_bound::DOUBLE AS error_bound,
+  outlier_budget::DOUBLE AS outlier_budget, (CASE WHEN substrate LIKE 'grid%' THEN 8 ELSE 1 END)::INT AS tiles, least(queries, 80)::INT AS queries
+FROM w, m, (VALUES (2), (4)) n(measures), (VALUES (512), (1024)) t(threshold), (VALUES (0), (1)) r(replicate), (VALUES (0.0), (0.01), (0.05)) e(error_bound), (VALUES (0.0), (0.01)) o(outlier_budget)
+WHERE measures <= there AND (substrate <> 'scan' OR threshold = 512) AND (near OR replicate = 0) AND (error_bound > 0) = near AND outlier_budget = CASE WHEN near AND workload = 'wide' THEN 0.01 ELSE 0.0 END
+"""
 
 
 @query(PLAN_SQL)
 def legal_plan_cells(spark, sf_dir):
-    """Axes of a plan multiplied out on the driver; exact methods take no error bound, sampling ones need one."""
-    cells = [(m, e) for m in ("scan", "grid", "grid_approx") for e in (0.0, 0.01, 0.05) if m.endswith("approx") == (e > 0)]
-    return spark.createDataFrame(cells, "method string, error_bound double")
-
+    """Axes of a plan multiplied out, without what makes no sense."""
+    from .plans import experiment
 
-# The market segments.
-SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    plan = experiment.Plan({"small": (2, 100), "wide": (4, 50)}, ["scan", "grid_agg", "akd_agg_approx"], [2, 4], [0.01, 0.05], [512, 1024], replicates=2, budgets={"wide": [0.01]}, tiles=8, max_queries=80)
+    return experiment.as_table(spark, plan)
 
 
 @query("SELECT c_nationkey AS nation, c_mktsegment AS segment FROM (SELECT DISTINCT c_nationkey FROM customer), (SELECT DISTINCT c_mktsegment FROM customer) EXCEPT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 9000")
@@ -337,7 +345,8 @@ def missing_cells(spark, sf_dir):
 
     c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), "c_acctbal")
     there = c.where("c_acctbal > 9000").select("nation", "segment")
-    expected = c.select("nation").distinct().select("nation", F.explode(F.array(*[F.lit(x) for x in SEGMENTS])).alias("segment"))
+    axis = [r[0] for r in c.select("segment").distinct().collect()]  # one axis of a plan
+    expected = c.select("nation").distinct().select("nation", F.explode(F.array(*[F.lit(x) for x in axis])).alias("segment"))
     return missing(expected, there, ["nation", "segment"])
 
 
@@ -347,9 +356,8 @@ def never_covered(spark, sf_dir):
     return events(spark, sf_dir).groupBy("u").agg(F.count("*").alias("n"), F.bool_or(F.col("v") > 150).alias("any")).where(~F.col("any")).select("u", "n")
 
 
-@query(None)
-def approx_rect_ci(spark, sf_dir):
-    """SUM, COUNT and AVG to 5 % at 95 % confidence, by tiles of time and user."""
+def approximate(spark, sf_dir, target: float = 0.05):
+    """The engine over tiles of time and user, a rectangle, and its result to a relative error."""
     from .plans.engine import Engine
     from .spec import Target, lifted
 
@@ -357,26 +365,114 @@ def approx_rect_ci(spark, sf_dir):
     t0, t1, u0, u1 = points.agg(F.min("t"), F.max("t"), F.min("u"), F.max("u")).first()
     box = Rect((t0, u0), (lifted(t1), lifted(u1)))
     engine = Engine(points, Points(("t", "u"), ("v",)), grid.Grid(box, 4))
-    got = engine.execute(Rect((t0, u0 + (u1 - u0) * 0.1), (lifted(t1), u0 + (u1 - u0) * 0.8)), Target(0.05))
+    rect = Rect((t0, u0 + (u1 - u0) * 0.1), (lifted(t1), u0 + (u1 - u0) * 0.8))
+    return engine, rect, engine.execute(rect, Target(target))
+
+
+@query(None)
+def approx_rect_ci(spark, sf_dir):
+    """SUM, COUNT and AVG to 5 % at 95 % confidence, by tiles of time and user."""
+    _, _, got = approximate(spark, sf_dir)
     rows = [(e.aggregate, e.measure, float(e.estimate), float(e.ci_low), float(e.ci_high), e.exact, got.status, got.rows_read) for e in got.estimates]
     return spark.createDataFrame(rows, "aggregate string, measure string, estimate double, ci_low double, ci_high double, exact boolean, status string, rows_read long")
 
 
+@query(f"WITH b AS (SELECT min(u) AS u0, max(u) AS u1 FROM {EVENTS}) SELECT a AS aggregate, true AS covered, true AS within, true AS reads_less, (SELECT count(*) FROM {EVENTS}, b WHERE u >= u0 + (u1 - u0) * 0.1 AND u < u0 + (u1 - u0) * 0.8) AS count_star FROM (VALUES ('SUM'), ('COUNT'), ('AVG')) t(a)")
+def approx_rect_properties(spark, sf_dir):
+    """Of each estimate whether its interval, a little widened, holds the truth and its half-width the bound, of rows read whether they are fewer than a scan's; and COUNT(*), which is exact."""
+    engine, rect, got = approximate(spark, sf_dir)
+    truth = exact.exact_scan(engine.points, engine.spec, rect).first()
+    rows = []
+    for e in got.estimates[:3]:
+        t, half = truth[f"{e.aggregate.lower()}_v"], e.ci_high - e.estimate
+        rows.append((e.aggregate, bool(abs(e.estimate - t) <= 2 * half + 1e-6 * abs(t)), e.exact or e.relative_half_width <= 0.05, got.rows_read <= truth["count_star"], int(got.estimates[-1].estimate)))
+    return spark.createDataFrame(rows, "aggregate string, covered boolean, within boolean, reads_less boolean, count_star long")
+
+
+SAMPLE_BOUND = 1 << 30  # a quarter of all ranks
+STRATA_GRID = grid.Grid(Rect((0.0, 0.0), (64.0, 0.125)), 4)
+LINES = "(SELECT l_orderkey * 8 + l_linenumber AS row_id, l_quantity AS q, l_discount AS d, l_extendedprice AS price, CASE WHEN l_returnflag = 'R' THEN l_extendedprice END AS returned FROM lineitem)"
+STRATA_SQL = f"""
+ranked AS (SELECT floor(q / 16) * 4 + floor(d / 0.03125) AS part, returned AS x, {rank_sql('row_id')} < {SAMPLE_BOUND} AS taken FROM {LINES} WHERE q >= 5 AND q < 45),
+strata AS (SELECT part, count(*)::DOUBLE AS size, count(*) FILTER (taken)::DOUBLE AS m, count(x) FILTER (taken)::DOUBLE AS c, coalesce(sum(x) FILTER (taken), 0.0) AS sx, coalesce(sum(x * x) FILTER (taken), 0.0) AS sxx FROM ranked GROUP BY 1)"""
+
+
+def line_strata(spark, sf_dir):
+    """A Stratum for each tile, from a rank sample."""
+    from .operators.estimate import Stratum
+
+    points = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice")).alias("x"))
+    taken = lambda c: F.when(rank_hash(F.col("row_id")) < SAMPLE_BOUND, c)
+    x = F.col("x")
+    rows = points.where(Rect((5,), (45,)).predicate(["q"])).groupBy(STRATA_GRID.tile(("q", "d")).alias("part")).agg(F.count("*").alias("N"), F.count(taken(F.lit(1))).alias("m"), F.count(taken(x)).alias("n"), F.coalesce(F.sum(taken(x)), F.lit(0.0)).alias("S"), F.coalesce(F.sum(taken(x * x)), F.lit(0.0)).alias("Q"))
+    return {r["part"]: Stratum(r["N"], r["m"], r["n"], r["S"], r["Q"]) for r in rows.collect()}  # a row a tile
+
+
+@query(f"""
+WITH {STRATA_SQL},
+single AS (SELECT *, 1 - m / size AS rest, greatest(0.0, (sxx - sx * sx / m) / (m - 1)) AS spread, CASE WHEN c > 0 AND c < m THEN c / m ELSE (c + 3.841458820694124 / 2) / (m + 3.841458820694124) END AS p FROM strata),
+total AS (SELECT sum(size * sx / m) AS all_x, sum(size * c / m) AS all_c FROM strata),
+parts AS (SELECT *, size * size * spread / m * rest AS vs, size * size * p * (1 - p) / (m - 1) * rest AS vc, size * size * sx * (m - c) / (m * m * (m - 1)) * rest AS cov FROM single, total),
+ratio AS (SELECT *, greatest(0.0, (vs - 2 * all_x / all_c * cov + power(all_x / all_c, 2) * vc) / (all_c * all_c)) AS va FROM parts),
+found AS (SELECT 'SUM' AS aggregate, max(all_x) AS e, sum(vs) AS v, sum(vs * vs / (m - 1)) AS w FROM ratio UNION ALL
+  SELECT 'COUNT', max(all_c), sum(vc), sum(vc * vc / (m - 1)) FROM ratio UNION ALL
+  SELECT 'AVG', max(all_x / all_c), sum(va), sum(va * va / (m - 1)) FROM ratio)
+SELECT aggregate, round(e, 2) AS estimate, round(sqrt(v), 2) AS std_error, round(v * v / w, 2) AS effective_df FROM found
+""")
+def stratified_estimate(spark, sf_dir):
+    """Estimates from a stratified rank sample, their standard errors and degrees of freedom."""
+    from .functions.quantiles import t_quantile
+    from .operators.estimate import estimate
+
+    strata = line_strata(spark, sf_dir)
+    found = estimate({"returned": list(strata.values())}, sum(h.N for h in strata.values()), {}, 1.0, 0.95)[:3]
+    rows = [(e.aggregate, round(e.estimate, 2), round((e.ci_high - e.estimate) / t_quantile(0.975, e.effective_df), 2), round(e.effective_df, 2)) for e in found]
+    return spark.createDataFrame(rows, "aggregate string, estimate double, std_error double, effective_df double")
+
+
+@query(f"""
+WITH {STRATA_SQL},
+spreads AS (SELECT part, size, sqrt(greatest(0.0, (sxx - sx * sx / m) / (m - 1))) AS dev, sum(size * sx / m) OVER () AS total FROM strata),
+sums AS (SELECT *, sum(size * dev) OVER () AS a, sum(size * dev * dev) OVER () AS b FROM spreads)
+SELECT part::BIGINT AS part_id, least(size, ceil(a * a / (power(0.05 * total / 1.959963984540054, 2) + b) * size * dev / a))::BIGINT AS rows FROM sums
+""")
+def neyman_allocation(spark, sf_dir):
+    """Rows of each stratum for a SUM to 5 %, by size and spread."""
+    import math
+
+    from .operators.estimate import neyman
+
+    strata = line_strata(spark, sf_dir)
+    spreads = [math.sqrt(max(0.0, (h.Q - h.S**2 / h.m) / (h.m - 1))) for h in strata.values()]
+    budget = (0.05 * sum(h.N * h.S / h.m for h in strata.values()) / 1.959963984540054) ** 2
+    return spark.createDataFrame(list(zip(strata, neyman([h.N for h in strata.values()], spreads, budget), strict=True)), "part_id long, rows long")
+
+
 TREE_SQL = f"SELECT round(sum(p), 2) AS sum_p, count(p) AS count_p, round(avg(p), 2) AS avg_p, count(*) AS count_star FROM {ORDERS} WHERE c >= 100 AND c < 900 AND t >= 820454400 AND t < 852076800"
 
 
-def by_engine(spark, sf_dir, index: str, held_share: float = 0.0) -> DataFrame:
-    """The second of two equal rectangles, which summaries answer where they can."""
+TREE_RECT = Rect((100.0, 820454400.0), (900.0, 852076800.0))
+
+
+def tree_engine(spark, sf_dir, index: str, held_share: float = 0.0, approximate: bool = False, threshold: int = 4096):
     from .plans.runner import Method, engine
 
-    points, spec, rect = orders(spark, sf_dir), Points(("c", "t"), ("p",)), Rect((100.0, 820454400.0), (900.0, 852076800.0))
-    parts = engine(points, spec, Rect((0.0, 694224000.0), (1e5, 915148800.0)), Method(index, index, True, False), threshold=4096, held_share=held_share)
-    parts.execute(rect)
-    found = {e.aggregate: e.estimate for e in parts.execute(rect).estimates}
+    return engine(orders(spark, sf_dir), Points(("c", "t"), ("p",)), Rect((0.0, 694224000.0), (1e5, 915148800.0)), Method(index, index, True, approximate), threshold=threshold, held_share=held_share)
+
+
+def answers(spark, result) -> DataFrame:
+    found = {e.aggregate: e.estimate for e in result.estimates}
     row = (round(found["SUM"], 2), int(found["COUNT"]), round(found["AVG"], 2), int(found["COUNT_STAR"]))
     return spark.createDataFrame([row], "sum_p double, count_p long, avg_p double, count_star long")
 
 
+def by_engine(spark, sf_dir, index: str, held_share: float = 0.0) -> DataFrame:
+    """The second of two equal rectangles, which summaries answer where they can."""
+    parts = tree_engine(spark, sf_dir, index, held_share)
+    parts.execute(TREE_RECT)
+    return answers(spark, parts.execute(TREE_RECT))
+
+
 @query(TREE_SQL)
 def cracked_tree_rect(spark, sf_dir):
     return by_engine(spark, sf_dir, "akd")
@@ -384,9 +480,62 @@ def cracked_tree_rect(spark, sf_dir):
 
 @query(TREE_SQL)
 def median_tree_rect(spark, sf_dir):
+    """All leaves are read at once, before any query, and added up into their parents."""
     return by_engine(spark, sf_dir, "kd")
 
 
+@query(TREE_SQL)
+def cracked_tiles_rect(spark, sf_dir):
+    """Equal-width tiles, cut inside along the query."""
+    return by_engine(spark, sf_dir, "grid_akd")
+
+
 @query(TREE_SQL)
 def held_out_rect(spark, sf_dir):
     return by_engine(spark, sf_dir, "grid", 0.01)
+
+
+@query(f"SELECT count(*) AS rows, round(sum(p), 2) AS sum_p, count(p) AS count_p FROM {ORDERS}")
+def rolled_up_root(spark, sf_dir):
+    """The root's summary: its leaves', added up through all their parents without reading again."""
+    parts = tree_engine(spark, sf_dir, "kd")
+    root = parts.known[0]
+    return spark.createDataFrame([(root.N, round(root.strata["p"].S, 2), root.strata["p"].n)], "rows long, sum_p double, count_p long")
+
+
+@query("SELECT true AS sampled_first, 0::BIGINT AS rows_read_again, true AS same_estimates, 0::BIGINT AS outliers_read_again")
+def kept_samples(spark, sf_dir):
+    """Samples and outliers of strata inside a rectangle stay known: asked again, nothing is read."""
+    from .spec import Target
+
+    parts = tree_engine(spark, sf_dir, "grid", 0.01, approximate=True)
+    whole = Rect((-1.0, 694224000.0), (1e6, 915148800.0))
+    first, again = (parts.execute(whole, Target(0.2)) for _ in range(2))
+    same = [e.estimate for e in first.estimates] == [e.estimate for e in again.estimates]
+    return spark.createDataFrame([(first.rows_read > 0, again.rows_read, same, again.outlier_rows)], "sampled_first boolean, rows_read_again long, same_estimates boolean, outliers_read_again long")
+
+
+@query(f"SELECT count(*) AS rows, count(*) AS in_one_leaf, 0::BIGINT AS in_others FROM {ORDERS} WHERE c >= 100 AND c < 900 AND t >= 820454400 AND t < 852076800")
+def disjoint_cover(spark, sf_dir):
+    """Each row of a rectangle lies in the box of the one stratum of the cover that its place is told to be in, and in no other."""
+    parts = tree_engine(spark, sf_dir, "grid_akd", threshold=64)
+    parts.execute(TREE_RECT)
+    cover, dims = parts.grid.covering(TREE_RECT), ["c", "t"]
+    boxes = F.broadcast(spark.createDataFrame([(i, *map(float, parts.grid.box(i).lower), *map(float, parts.grid.box(i).upper)) for i in cover], "node long, c0 double, t0 double, c1 double, t1 double"))  # a row a stratum
+    rows = parts.points.where(TREE_RECT.predicate(dims)).withColumn("own", parts.grid.tile(dims, TREE_RECT))
+    inside = rows.join(boxes, (F.col("c") >= F.col("c0")) & (F.col("c") < F.col("c1")) & (F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")), "left")
+    return inside.agg(F.count_distinct("row_id").alias("rows"), F.count_if(F.col("own") == F.col("node")).alias("in_one_leaf"), F.count_if(F.coalesce(F.col("own") != F.col("node"), F.lit(True))).alias("in_others"))
+
+
+@query("SELECT 'akd_agg' AS method, true AS ok, true AS inert UNION ALL SELECT 'grid_akd_agg_approx', true, true UNION ALL SELECT 'scan', true, true")
+def run_identities(spark, sf_dir):
+    """Of each method whether reads and frontiers add up for every query, and no outliers are read where none are held out."""
+    from .operators import validation
+    from .plans import runner
+    from .spec import Target
+
+    methods = [m for m in runner.METHODS if m.name in ("scan", "akd_agg", "grid_akd_agg_approx")]
+    points, spec = orders(spark, sf_dir), Points(("c", "t"), ("p",))
+    got = runner.run(points, spec, Rect((0.0, 694224000.0), (1e5, 915148800.0)), [TREE_RECT, TREE_RECT], methods, Target(0.1), k=4, threshold=4096)
+    ok = validation.status_ok(got, 1).groupBy("method").agg(F.bool_and("ok").alias("ok"))
+    return ok.join(validation.inert(got).withColumnRenamed("ok", "inert"), "method").select("method", "ok", "inert")

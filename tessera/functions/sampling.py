@@ -10,14 +10,16 @@ MULTIPLIER = 73244475
 
 
 def rank_hash(row_id: Column, k: int = STREAM) -> Column:
-    """A bijection of 32-bit ids for each stream constant k; the same expression runs in other SQL engines."""
+    """A bijection of each 2**32 ids for each stream constant k, another one for each such run of ids; the same expression runs in other SQL engines."""
     fold = lambda v: (v.bitwiseXOR(F.shiftright(v, 16)) * MULTIPLIER) % (1 << 32)
-    return fold(fold(row_id.cast("long") % (1 << 32)).bitwiseXOR(F.lit(k)))
+    low, high = row_id.cast("long").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(row_id.cast("long"), 32)
+    return fold(fold(low.bitwiseXOR(fold(high))).bitwiseXOR(F.lit(k)))
 
 
 def rank_sql(row_id: str, k: int = STREAM) -> str:
     fold = lambda v: f"((xor({v}, {v} >> 16) * {MULTIPLIER}) % 4294967296)"
-    return fold(f"xor({fold(f'({row_id} % 4294967296)')}, {k})")
+    low = f"xor({row_id} & 4294967295, {fold(f'({row_id} >> 32)')})"
+    return fold(f"xor({fold(low)}, {k})")
 
 
 def rank_prefix(df: DataFrame, stratum: str, size: Column, row_id: str = "row_id", k: int = STREAM) -> DataFrame:

@@ -77,6 +77,11 @@ def satisfied(found: list[Estimate], target: Target) -> bool:
     return all(e.exact or e.relative_half_width <= target.relative_error for e in found)
 
 
+def worst(found: list[Estimate]) -> float:
+    """The largest relative half-width of what isn't exact."""
+    return max((e.relative_half_width for e in found if not e.exact), default=0.0)
+
+
 def pilot(N: int, read: int = 0) -> int:
     return max(N if N <= 2 * PILOT else PILOT, min(read, N))
 
@@ -97,7 +102,7 @@ def neyman(sizes: list[int], spreads: list[float], budget: float) -> list[int]:
 
 
 def plan(strata: dict[str, list[Stratum]], found: list[Estimate], target: Target, scale: float) -> list[int]:
-    """Rows that each stratum should have read, over all measures and aggregates; never fewer than before."""
+    """Rows that each stratum should have read, over all measures and aggregates; never fewer than before (equal to that everywhere: no increase is asked for)."""
     z, doubt = normal_quantile(0.5 + target.confidence / 2), (1 - target.confidence) / 3
     by = {(e.aggregate, e.measure): e.estimate for e in found}
     first = next(iter(strata.values()))

@@ -21,21 +21,22 @@ PARTS = ("aggregate", "measure", "estimate", "ci_low", "ci_high", "relative_half
 def per_query(results: DataFrame, dataset: str, workload: str) -> DataFrame:
     """A row a query with all of COLUMNS, from rows of single aggregates as ``plans.runner.run`` gives them.
 
-    Rows read count as sampled or exactified by whether all of the query's
-    aggregates are exact. What only an engine with row ids in memory can tell
-    (frontier, strata, paths, bytes) is null.
+    What only an engine that gathers rows by id can tell (scan and gather paths,
+    bytes) is 0 and an empty list.
     """
     one = F.struct(*PARTS)
+    from ..plans.runner import COUNTERS
+
     ok = F.col("exact") | (F.col("relative_half_width") <= F.col("error_bound"))
     rows = results.groupBy("query_ordinal", "method", "replicate").agg(
         F.to_json(F.struct(F.first("lower").alias("lower"), F.first("upper").alias("upper"))).alias("query_rect"),
         F.to_json(F.array_sort(F.collect_list(one))).alias("aggregates"),
-        F.bool_and(F.coalesce(ok, F.lit(False))).alias("target_satisfied"), F.bool_and("exact").alias("__exact"),
-        *[F.first(c).alias(c) for c in ("status", "latency_ms", "measure_reads", "rows_read", "rounds")],
+        F.bool_and(F.coalesce(ok, F.lit(False))).alias("target_satisfied"),
+        *[F.first(c).alias(c) for c in ("status", "latency_ms", "measure_reads", "rounds", *COUNTERS)],
     )
     known = {
-        "substrate": F.split("method", "_")[0], "dataset": F.lit(dataset), "workload": F.lit(workload), "sampling_seed": F.col("replicate"), "adaptive_rounds": F.col("rounds"),
-        "sampled_rows": F.when(F.col("__exact"), F.lit(0)).otherwise(F.col("rows_read")), "exactified_rows": F.when(F.col("__exact"), F.col("rows_read")).otherwise(F.lit(0)),
+        "substrate": F.when(F.col("method").startswith("grid_akd"), "grid_akd").otherwise(F.split("method", "_")[0]), "dataset": F.lit(dataset), "workload": F.lit(workload), "sampling_seed": F.col("replicate"), "adaptive_rounds": F.col("rounds"),
+        **{c: F.lit(0) for c in ("scan_path_rows", "gather_path_rows", "scan_bytes_read", "gather_bytes_read")}, "round_paths": F.lit("[]"),
     }
     given = {c: F.col(c) for c in rows.columns if c in COLUMNS}
     return rows.select(*[(given | known).get(c, F.lit(None).cast("string")).alias(c) for c in COLUMNS])
@@ -71,3 +72,21 @@ def write_settings(spark: SparkSession, settings: dict, path: str, overwrite: bo
 
 def read_settings(spark: SparkSession, path: str) -> dict:
     return json.loads("".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def run_path(root: str, dataset: str, workload: str, method: str, setting: str, replicate: int) -> str:
+    """Where a run's results are written: everything that tells runs apart is a part of the path."""
+    return f"{root}/dataset={dataset}/workload={workload}/method={method}/setting={setting}/replicate={replicate}"
+
+
+def discover(spark: SparkSession, root: str) -> DataFrame:
+    """All results under root, written by run_path: rows as read() gives them, and setting. ValueError if a file's columns aren't COLUMNS."""
+    parts = ("dataset", "workload", "method", "setting", "replicate")
+    raw = spark.read.options(header=True, escape='"', basePath=root, recursiveFileLookup=False, enforceSchema=False).csv(f"{root}/dataset=*/workload=*/method=*/setting=*/replicate=*")
+    if set(raw.columns) - {"setting", "replicate"} != set(COLUMNS):
+        raise ValueError(f"columns {raw.columns}, expected {list(COLUMNS)} and {parts}")
+    corners = F.from_json("query_rect", "lower array<double>, upper array<double>")
+    return raw.withColumn("rect", corners).withColumn("x", F.explode(F.from_json("aggregates", CELL))).select(
+        "dataset", "workload", "method", "setting", F.col("replicate").cast("int").alias("replicate"), F.col("query_ordinal").cast("long").alias("query_ordinal"),
+        "rect.lower", "rect.upper", *[f"x.{p}" for p in PARTS], "status", F.col("latency_ms").cast("double").alias("latency_ms"), F.col("measure_reads").cast("long").alias("measure_reads"),
+    )
