@@ -203,7 +203,7 @@ def test_methods(spark):
     with pytest.raises(ValueError, match="differ in method"):
         validation.shared(got, "method")
     resident = runner.run(df, spec, domain, rects, methods[:1], Target(0.1), resident=True)
-    assert [r["estimate"] for r in resident.collect()] == [r["estimate"] for r in got.where("method = 'scan'").collect()]
+    assert [str(r["estimate"]) for r in resident.collect()] == [str(r["estimate"]) for r in got.where("method = 'scan'").collect()]
     assert {r["verdict"] for r in validation.coverage(rows)} <= {"insufficient"}
     assert validation.costs(got).where("method = 'scan'").first()["speedup"] == 1 and validation.reads_fall(got).where("NOT ok").count() == 0
 
