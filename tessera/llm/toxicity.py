@@ -4,15 +4,19 @@ A word (letters, digits and non-ASCII bytes, A-Z in lower case) is hashed to a
 row of the embedding table; filters of several widths run over each text, the
 largest response of each filter is kept, and a linear layer gives the score,
 scaled on rows kept from training. Scores see the text alone. Thresholds for
-dropping documents are set for each language on the labelled rows.
+dropping documents are set for each language on the same kept rows. The word
+vectors start from how much likelier a toxic text is to have the word; from
+random vectors training gets there less far on so few rows (README).
 
 The fit reads at most ``SAMPLE`` labelled rows (those with the smallest hashes
 of their ids, and of rows with equal ids one text); scoring reads all of every text and shuffles nothing.
 
 Defined cases: null and empty texts get the score of no words; labels that are
 null or lack a document are left out; of an id's labels the largest counts; with labels of one kind only, all texts
-score that kind's smoothed share; a language too rare among the labels uses
-the common threshold.
+score that kind's smoothed share; a language too rare among the labels kept
+uses the common threshold. Repeated rows are scored each, an empty table gives
+no rows, very long texts are scored whole; of equal scores none is broken, as
+all at or over a threshold go. Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -82,8 +86,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * z + self.scale[1], -30, 30).astype(float)))
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, langs: list, seed: int = 0, epochs: int = EPOCHS) -> Model:
-    """Fit on texts given as arrays of table rows; every fifth is kept to scale scores."""
+def train(texts: list[np.ndarray], labels: np.ndarray, langs: list, seed: int = 0, epochs: int = EPOCHS, prior: bool = True) -> Model:
+    """Fit on texts given as arrays of table rows; every fifth is kept to scale scores and to set thresholds.
+
+    prior: the table starts from word counts, else from small random vectors.
+    """
     rng = np.random.default_rng(seed)
     size = 1 << BITS
     total = sum(FILTERS)
@@ -104,16 +111,19 @@ def train(texts: list[np.ndarray], labels: np.ndarray, langs: list, seed: int =
     n0, n1 = max((labels[fit] == 0).sum(), 1), max((labels[fit] == 1).sum(), 1)
     p0, p1 = (seen[0] + 0.5 * n0 / (n0 + n1)) / (n0 + 1), (seen[1] + 0.5 * n1 / (n0 + n1)) / (n1 + 1)
     sure = 1 - np.exp(-seen.sum(0) / 4)
-    m.table[:, 0] = np.clip(np.log(p1 / p0), -1, 4) * sure
-    for f in m.filters:
-        f[:, :2] = 0
-        f[::DIM, :2] = [[1, 0.5]] + [[0, 0.5]] * (len(f) // DIM - 1)
-    col = 0
-    for n in FILTERS:
-        m.out[col : col + 2] = 1.0
-        m.bias[col : col + 2] = -0.5
-        col += n
-    m.out_bias = -2.0
+    if prior:
+        m.table[:, 0] = np.clip(np.log(p1 / p0), -1, 4) * sure
+        for f in m.filters:
+            f[:, :2] = 0
+            f[::DIM, :2] = [[1, 0.5]] + [[0, 0.5]] * (len(f) // DIM - 1)
+        col = 0
+        for n in FILTERS:
+            m.out[col : col + 2] = 1.0
+            m.bias[col : col + 2] = -0.5
+            col += n
+        m.out_bias = -2.0
+    else:
+        m.table, m.out_bias = m.table * np.float32(0.2), -1.0
     m._train = True
     weight = np.where(labels == 1, min(n0 / n1, 5.0), 1.0)
     slow = {"t": np.full(size, 1e-2, np.float32), "f": [np.full_like(f, 1e-2) for f in m.filters], "b": np.full_like(m.bias, 1e-2), "o": np.full_like(m.out, 1e-2), "c": 1e-2}
@@ -160,13 +170,15 @@ def train(texts: list[np.ndarray], labels: np.ndarray, langs: list, seed: int =
         h = np.array([[(v * z * z).sum() + 0.1, (v * z).sum()], [(v * z).sum(), v.sum() + 0.1]])
         a, b = np.array([a, b]) - np.clip(np.linalg.solve(h, g), -1, 1)
     m.scale = (max(float(a), 0.05), float(b))
-    score = np.concatenate([m.score(*pack(ids)) for ids in some(range(len(texts)))])
-    for lang in sorted({x for x in langs if x is not None}):
-        own = np.array([x == lang for x in langs])
-        if own.sum() >= LANG_ROWS and 0 < labels[own].sum() < own.sum():
+    score = np.concatenate([m.score(*pack(ids)) for ids in some(held)])
+    spoken = np.array([langs[i] for i in held], object)
+    for lang in sorted({x for x in spoken if x is not None}):
+        own = spoken == lang
+        if own.sum() >= LANG_ROWS and 0 < y[own].sum() < own.sum():
             tries = np.arange(0.3, 0.96, 0.05)
-            hit = [(labels[own & (score >= t)].sum(), (own & (score >= t)).sum()) for t in tries]
-            quality = [2 * tp / (n + labels[own].sum()) - 1e-3 * abs(t - THRESHOLD) for (tp, n), t in zip(hit, tries, strict=True)]
+            hit = [(y[own & (score >= t)].sum(), (own & (score >= t)).sum()) for t in tries]
+            # the F measure of rows that weren't trained on; a threshold away from the common one must be worth it
+            quality = [2 * tp / (n + y[own].sum()) - 0.1 * abs(t - THRESHOLD) for (tp, n), t in zip(hit, tries, strict=True)]
             m.thresholds[lang] = round(float(tries[int(np.argmax(quality))]), 2)
     return m
 

@@ -19,8 +19,10 @@ folder, so lost executors cost no more than the round.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 which only links and rules could judge, so it is allowed; null HTML has no
-links; repeated pages count their links each. Links to the page's own host
-carry nothing.
+links; repeated pages and ids count their links each and are judged each.
+Links to the page's own host carry nothing. Of rules of one length that fit,
+the later one in the list wins; equal trust and distrust don't block. An empty
+table gives no rows; very long pages are read whole; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import release, staged
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING, THRESHOLD, TOLERANCE, ROUNDS = 0.85, 0.05, 1e-4, 50
@@ -61,7 +63,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust and their shares from edges (src, dst, n) and seeds (host, kind), where kind is trust or distrust."""
+    """host, trust, distrust, their shares and whether rounds ended by the tolerance, from edges (src, dst, n) and seeds (host, kind), where kind is trust or distrust."""
     edges = staged(edges, "edges")
     start = staged(seeds.select("host", "kind", F.lit(1.0 - damping).alias("score")), "seeds")
     ahead = edges.groupBy("src").agg(F.sum("n").alias("all")).join(edges, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("all")).alias("share"))
@@ -71,33 +73,36 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     hosts = flow.select("host", "kind").union(flow.select("to", "kind")).where("kind like '%_all'").distinct()
     start = staged(start.union(hosts.withColumn("score", F.lit(1.0 - damping))), "starts")
     mass = {r["kind"]: r["mass"] for r in start.groupBy("kind").agg(F.sum("score").alias("mass")).collect()}
-    scores = start
-    for _ in range(rounds if not flow.isEmpty() else 0):
+    scores, settled = start, flow.isEmpty()
+    for _ in range(0 if settled else rounds):
         moved = flow.join(scores, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("share") * F.col("score") * damping).alias("score"))
         now = staged(moved.union(start).groupBy("host", "kind").agg(F.sum("score").alias("score")), "scores")
         change = F.sum(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0)))).alias("change")
         changes = now.join(scores.withColumnRenamed("score", "old"), ["host", "kind"], "left").groupBy("kind").agg(change).collect()  # at most four rows
+        if scores is not start:
+            release(scores)
         scores = now
-        if all(r["change"] <= tolerance * (mass[r["kind"]] if r["kind"].endswith("_all") else 1.0) for r in changes):
+        settled = all(r["change"] <= tolerance * (mass[r["kind"]] if r["kind"].endswith("_all") else 1.0) for r in changes)
+        if settled:
             break
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
     own = start.where("kind in ('trust', 'distrust')").groupBy("host").agg(*[F.max(F.col("kind") == k).alias(f"{k}_seed") for k in ("trust", "distrust")])
     out = scores.groupBy("host").agg(*[of(k) for k in ("trust", "distrust", "trust_all", "distrust_all")]).join(own, "host", "left")
     reached = lambda kind: F.col(f"{kind}_all") - (1.0 - damping)
     share = lambda kind: F.when(F.col(f"{kind}_seed"), 1.0).when(reached(kind) > 0, F.least(F.col(kind) / reached(kind), F.lit(1.0))).otherwise(0.0).alias(f"{kind}_share")
-    return out.select("host", "trust", "distrust", share("trust"), share("distrust"))
+    return out.select("host", "trust", "distrust", share("trust"), share("distrust"), F.lit(settled).alias("converged"))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
-    """page_id, host, path, rule, verdict, and the host's trust and distrust."""
+    """page_id, host, path, rule, verdict, the host's trust and distrust, and whether the rounds converged (null: no edge or seed has the host)."""
     text, verdict = best_rule(F.col("host"), F.col("path"), rules)
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).select("page_id", "host", "path", text.alias("rule"), verdict.alias("__v"))
     whole = [h + p for what, h, p in rules if what == "block" and p == "/"]
     fits = judged.where("host <> ''").where((F.col("__v") == "allow") | F.col("rule").isin(whole))
     seeds = fits.select("host", F.when(F.col("__v") == "allow", "trust").otherwise("distrust").alias("kind")).distinct()
     scores = propagate(host_edges(pages), seeds)
-    out = judged.join(scores, "host", "left").select("page_id", "host", "path", "rule", "__v", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust", "trust_share", "distrust_share")])
+    out = judged.join(scores, "host", "left").select("page_id", "host", "path", "rule", "__v", "converged", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust", "trust_share", "distrust_share")])
     by_score = (F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust"))
     by_share = (F.col("distrust_share") > threshold) & (F.col("distrust_share") > F.col("trust_share") + 1e-9)  # equal shares differ by rounding
     method = F.when(by_score | by_share, "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("__v", method).alias("verdict"), "trust", "distrust")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("__v", method).alias("verdict"), "trust", "distrust", "converged")

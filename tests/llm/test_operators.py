@@ -115,6 +115,114 @@ def test_urls_of_a_hub(spark):
     assert got[1]["verdict"] == got[2]["verdict"] == "allow"
 
 
+def test_trust_brute_force(spark):
+    """Scores and shares against matrix powers on a random graph."""
+    rng = np.random.default_rng(12)
+    n = 25
+    links = np.where(rng.random((n, n)) < 0.12, rng.integers(1, 4, (n, n)), 0)
+    np.fill_diagonal(links, 0)
+    seeds = {"trust": [0, 1], "distrust": [2, 3]}
+    edges = [(f"h{i}", f"h{j}", int(links[i, j])) for i in range(n) for j in range(n) if links[i, j]]
+    rows = [(f"h{i}", kind) for kind, own in seeds.items() for i in own]
+    got = {r["host"]: r for r in url_trust.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(rows, "host string, kind string"), tolerance=1e-9, rounds=200).collect()}
+    linked = links.sum(0) + links.sum(1) > 0
+    for kind, m in (("trust", links), ("distrust", links.T)):
+        step = m / np.maximum(m.sum(1, keepdims=True), 1)
+        spread = lambda start, step=step: np.linalg.solve(np.eye(n) - 0.85 * step.T, 0.15 * start)
+        own = np.isin(np.arange(n), seeds[kind])
+        score, every = spread(own.astype(float)), spread(linked.astype(float))
+        for i in range(n):
+            if linked[i]:
+                share = 1.0 if own[i] else min(score[i] / (every[i] - 0.15), 1.0) if every[i] > 0.15 + 1e-12 else 0.0
+                assert got[f"h{i}"][kind] == pytest.approx(score[i], abs=1e-7) and got[f"h{i}"][f"{kind}_share"] == pytest.approx(share, abs=1e-6)
+    assert all(r["converged"] for r in got.values())
+    few = url_trust.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(rows, "host string, kind string"), rounds=1)
+    assert not few.first()["converged"]
+
+
+def test_chats_in_several_parts(spark):
+    """Deep conversations over several partitions: positions and ancestors against the turns themselves, without paths."""
+    rng = random.Random(13)
+    rows = []
+    for c in range(40):
+        depth = rng.randint(1, 12)
+        rows += [(c, t, "user" if t % 2 == 0 else "assistant", f"turn {t} {rng.randint(0, 1) if t < 8 else c}") for t in range(depth)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    turns, tree = chat.format_chats(df)
+    at = {bytes(r["key"]): r for r in tree.collect()}
+    assert len(at) == len({tuple(x[1:] for x in rows if x[0] == c and x[1] <= t) for c, t, _, _ in rows})
+    by = collections.defaultdict(dict)
+    for r in turns.collect():
+        by[r["conv_id"]][r["depth"]] = bytes(r["key"])
+    for own in by.values():
+        before = 0
+        for depth in range(len(own)):
+            node = at[own[depth]]
+            want = {x for d in range(depth) for x in range(at[own[d]]["start"], at[own[d]]["start"] + len(at[own[d]]["tokens"]))}
+            assert node["position"] == before == len(want) and want == {x for a in node["ancestors"] for x in range(a["start"], a["end"])}
+            before += len(node["tokens"])
+
+
+ODD = [(1, None), (1, None), (2, ""), (3, " \n\t "), (4, "a"), (5, "same text of some words that is short " * 3), (5, "same text of some words that is short " * 3), (6, "same text of some words that is short " * 3), (7, "x" * 300_000), (8, "long words " * 40_000), (None, "no id"), (None, None)]
+CLASHING = ("__text", "__gone", "__rank", "__lines", "__score", "__lang", "__limit", "__rejected", "__doc", "__spans", "__n_lines", "row", "seq", "at", "Lang", "id", "cuts")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    more = ", ".join(f"`{c}` string" for c in CLASHING)
+    rows = [(i, t, "en", *["kept"] * len(CLASHING)) for i, t in ODD]
+    return spark.createDataFrame(rows, f"doc_id long, text string, source string, {more}").repartition(3)
+
+
+def counted(rows):
+    return collections.Counter(r["doc_id"] for r in rows)
+
+
+def test_odd_rows(spark, odd):
+    """Nulls, empty and very long texts, repeated rows and ids, and clashing names in each operator on documents: a row in, a row out, and equal rows alike."""
+    want = collections.Counter(i for i, _ in ODD)
+    plain = spark.createDataFrame([(i, t) for i, t in ODD], "doc_id long, text string")
+    for f in (line_dedup.digest, quality.quality_rules, lambda d: bpe.encode_decode(d, with_ids=False), jaccard.jaccard_join):
+        rows = f(odd).collect()
+        assert counted(rows) == want and set(rows) == set(f(plain).collect())
+        assert f(odd.limit(0)).count() == 0
+    pieces = packing.pack(odd, capacity=4096, with_ids=False).collect()
+    assert counted([r for r in pieces if r["piece"] == 0]) == want and packing.pack(odd.limit(0)).count() == 0
+    assert passages.shared_passages(odd).where("doc_id = rep_doc_id").count() == 0
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, toxic int")
+    model = toxicity.fit(odd, labels)
+    scored = toxicity.toxicity(odd, model)
+    assert counted(scored.collect()) == want and scored.columns[: len(odd.columns)] == odd.columns and toxicity.toxicity(odd.limit(0), model).count() == 0
+    with_lang = toxicity.digest(plain.selectExpr("*", "'en' AS lang"), labels.limit(0)).collect()
+    assert counted(with_lang) == want and len({r["score"] for r in with_lang}) == 1
+
+
+def test_odd_rows_in_stages(spark, odd):
+    """What a stage keeps has all columns as they were."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, odd, sf).collect()
+        assert rows and all(r[c] == "kept" for r in rows for c in CLASHING), name
+        assert list(rows[0].asDict()) == odd.columns and {r["doc_id"] for r in rows} >= {1, 2, 3, 4, 7, None}, name
+        assert stage(spark, odd.limit(0), sf).count() == 0, name
+    packed = corpus_pipeline.pack_sequences(spark, odd, sf).collect()
+    assert counted([r for r in packed if r["piece"] == 0]) == collections.Counter(i for i, _ in ODD)
+
+
+def test_long_texts_of_one_letter():
+    """Memory of the suffix array is a fixed number of arrays."""
+    import tracemalloc
+
+    b = np.full(1 << 18, 97, np.uint8)
+    tracemalloc.start()
+    assert quality.suffix_repeats(b) == (len(b), len(b) - 1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200 * len(b)
+
+
 def test_template():
     rng = random.Random(3)
     bits = ["<", "s", ">", "/", "[", "INST", "]", "[ROLE:", "\\", "\0", " ", "\n", "</s>", "é"]
@@ -377,6 +485,20 @@ def test_toxicity(spark):
     assert toxicity.digest(docs, labels.limit(0)).count() == 602
 
 
+def test_toxicity_is_trained():
+    """From random vectors, training alone tells texts apart that were held out, by pairs of words that mean nothing one by one."""
+    rng = np.random.default_rng(14)
+    rows = lambda toxic: np.concatenate([rng.integers(0, 300, 20), [1000, 1001] if toxic else rng.choice([[1000, 5], [7, 1001], [1001, 1000]]), rng.integers(0, 300, 20)]).astype(np.int32)
+    labels = np.array([i % 2 for i in range(900)])
+    texts = [rows(y) for y in labels]
+    right = {}
+    for epochs in (0, 12):
+        m = toxicity.train(texts[:700], labels[:700], [None] * 700, epochs=epochs, prior=False)
+        s = m.score(np.concatenate(texts[700:]), np.concatenate([[0], np.cumsum([len(t) for t in texts[700:]])]))
+        right[epochs] = np.mean([(a > b) + (a == b) / 2 for a in s[labels[700:] == 1] for b in s[labels[700:] == 0]])
+    assert right[12] > 0.9 and right[12] > right[0] + 0.2
+
+
 def test_toxicity_repeated_ids(spark):
     """An id in very many rows is learnt from once, whatever the order of its rows and labels."""
     rows = [(i, f"calm words number {i}" + " vile" * (i % 3 == 0)) for i in range(60)] + [(7, f"text {k}") for k in range(300)] + [(7, None)]
@@ -404,6 +526,32 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_neighbours_where_lists_stay_unprobed(spark, monkeypatch):
+    """Clustered vectors in many lists: few are probed, recall holds, ties go to smaller ids over blocks, and the exact option finds all."""
+    rng = np.random.default_rng(15)
+    middle = rng.normal(size=(60, 12)) * 4
+    v = (middle[rng.integers(60, size=4000)] + rng.normal(size=(4000, 12))).astype(np.float32)
+    v[1:3000:7] = v[1]  # a third as hot copies, ties at every rank
+    monkeypatch.setattr(ann, "BLOCK", 150)
+    monkeypatch.setattr(ann, "ASKED", 3)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(100, v[100].tolist())], "vec_id long, embedding array<float>")
+    m = np.concatenate([v, v[100:101]]).astype(float)
+    ids = np.append(np.arange(4000), 100)
+    c = ann.centres(m[:3000], 40)
+    assert ann.share_probed(m[:3000], c, 10, 0.97) < 30
+    for exact in (False, True):
+        got = collections.defaultdict(list)
+        for r in sorted(ann.search(df, exact=exact).collect(), key=lambda r: (r["query_id"], r["rank"])):
+            got[r["query_id"]].append((r["score"], r["vec_id"]))
+        right = 0
+        for q in range(0, 4000, 100):
+            d = np.sqrt(((m - m[q]) ** 2).sum(1))
+            best = sorted((d[i], ids[i]) for i in range(len(m)) if ids[i] != q)[:10]
+            assert len(got[q]) == 10 and (not exact or got[q] == best)
+            right += len(set(best) & set(got[q]))
+        assert right >= 0.93 * 400
+
+
 def test_packing(spark, docs, texts):
     from tokenizers import Tokenizer
 
