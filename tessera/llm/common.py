@@ -77,26 +77,31 @@ def schema_of(df: DataFrame, *more: str) -> str:
 MARKS = 8388593  # bits of the table of ids
 
 
-def some_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text) whose id is in ids (id), and perhaps others: a sieve ahead of an exact join.
-
-    A bit table of fixed size, at the ids' remainders, spares other texts the
-    way through the join.
-    """
+def marks(ids: DataFrame) -> np.ndarray:
+    """A bit table of fixed size with the remainders of ids (id): a sieve ahead of an exact join, which spares other rows the way through it."""
     at = F.pmod(F.col("id"), F.lit(MARKS))
     found = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     bits = np.zeros((MARKS // 32768 + 2, 4096), np.uint8)
     for r in found.collect():  # at most MARKS bits
         bits[r["bucket"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    return bits
+
+
+def marked(x: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    """The rows of x (doc_id, not null) whose id has a bit."""
+    at = np.mod(x.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), MARKS)
+    # buckets count from 1, and each holds 32768 bits from its first byte's lowest on
+    bucket, bit = np.where(at > 0, (at - 1) // 32768 + 1, 0), np.where(at > 0, (at - 1) % 32768, 0)
+    return x.filter(pa.array((bits[bucket, bit >> 3] >> (bit & 7) & 1).astype(bool)))
+
+
+def some_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text) whose id is in ids (id), and perhaps others."""
+    sent = docs.sparkSession.sparkContext.broadcast(marks(ids))
 
     def run(batches):
-        marked = sent.value
         for x in batches:
-            at = np.mod(x.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), MARKS)
-            # buckets count from 1, and each holds 32768 bits from its first byte's lowest on
-            bucket, bit = np.where(at > 0, (at - 1) // 32768 + 1, 0), np.where(at > 0, (at - 1) % 32768, 0)
-            some = x.filter(pa.array((marked[bucket, bit >> 3] >> (bit & 7) & 1).astype(bool)))
+            some = marked(x, sent.value)
             if some.num_rows:
                 yield some
 

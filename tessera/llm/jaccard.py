@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, chunks, partitions, release, small_batches, some_of, staged
+from .common import batch, chunks, marked, marks, partitions, release, small_batches, staged
 from .components import components, join_components
 from .textvec import each, mix
 
@@ -46,7 +46,7 @@ WORDS, PERCENT = 4, 85
 CELLS = 1 << 20
 SMALL, MOST_BITS = 16, 1 << 18
 BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20  # a block's sets, and what their elements take
-CHUNK = 1 << 17  # rows of a tile that a task holds at once
+CHUNK = 1 << 13  # rows of a tile that a task holds at once
 RUN_BYTES = 32 << 20  # texts between which a task looks for equal sets
 _OTHER = np.uint64(0x9FB21C651E98DF25)
 
@@ -212,16 +212,20 @@ def alike(overlap: int, na: int, nb: int, percent: int) -> bool:
 
 def signatures(docs: DataFrame, ids: DataFrame, w: int) -> DataFrame:
     """doc, n, bits and text of the documents in ids (column doc)."""
+    sent = docs.sparkSession.sparkContext.broadcast(marks(ids.select(F.col("doc").alias("id"))))
 
     def run(batches):
-        for some in batches:
-            for i in range(0, some.num_rows, 512):
-                x = some.slice(i, 512)
+        for whole in batches:
+            some = marked(whole, sent.value)
+            for i in range(0, some.num_rows, 256):
+                x = some.slice(i, 256)
                 sets = [(len(s), bitmap(s)) for s in shingle_sets(x.column("text"), w)]
                 yield batch(doc=x.column("doc_id"), n=pa.array([n for n, _ in sets], pa.int32()), bits=pa.array([b for _, b in sets], pa.binary()), text=x.column("text"))
 
-    some = some_of(docs, ids.select(F.col("doc").alias("id"))).mapInArrow(run, "doc long, n int, bits binary, text string")
-    return staged(some.join(ids, "doc", "left_semi"), "signatures")
+    some = docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc long, n int, bits binary, text string")
+    out = staged(some.join(ids, "doc", "left_semi"), "signatures")
+    sent.destroy()
+    return out
 
 
 def side(sigs: DataFrame, name: str, *cols: str) -> DataFrame:

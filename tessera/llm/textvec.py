@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-LIMIT = 1 << 20
+LIMIT = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: For word models: everything in ASCII but letters and digits parts words.
