@@ -11,8 +11,10 @@ sample is dropped then.
 A row's rank is a fixed hash of its id, and a stratum's sample is its rows
 below a bound, so it grows without being drawn again and, given its size, is a
 simple random sample. A round is one job that filters by rank and sums up
-before anything is shuffled; a row a stratum comes to the driver. Strata new to
-the engine are counted in the first round's job.
+before anything is shuffled; a row a stratum comes to the driver. Strata that
+the rectangle cuts, or whose outliers aren't known, are counted in the first
+round's job. ``clustered`` writes points by tile and rank, so that a scan skips
+what a round doesn't ask for.
 """
 
 from __future__ import annotations
@@ -84,18 +86,21 @@ class Engine:
     held_share: float = 0.0
     run_id: int = 0
     rounds: int = ROUNDS
+    stored: tuple[str, str] | None = None  # columns that hold a row's tile of the grid and its rank, as clustered() writes them
     eager: bool = False  # read all strata at once, before the first query; with persist and an index that is built
     known: dict[int, Known] = field(default_factory=dict)
 
     def __post_init__(self):
         spec = self.spec
+        if self.stored and (isinstance(self.grid, Tree) or self.run_id):
+            raise ValueError("stored tiles and ranks are those of a grid and of run 0")
         self.held = held_out(self.points, list(spec.measures), self.held_share, spec.row_id) if self.held_share > 0 else F.lit(False)
         sums = [f for m in spec.measures for f in (F.sum(m), F.count(m))]
         if isinstance(self.grid, Tree):
             self.sizes = None
             rows = self.points.agg(*sums).collect()
         else:
-            rows = self.points.groupBy(self.grid.tile(spec.dims).alias("__tile")).agg(*sums, F.count("*").alias("__N")).collect()  # a row a tile
+            rows = self.points.groupBy(self._tile().alias("__tile")).agg(*sums, F.count("*").alias("__N")).collect()  # a row a tile
             self.sizes, rows = {r["__tile"]: r["__N"] for r in rows}, [r[1:] for r in rows]
         totals = [sum(r[i] or 0 for r in rows) for i in range(len(sums))]
         #: The largest absolute mean of a measure.
@@ -107,12 +112,15 @@ class Engine:
     def summaries(self) -> set[int]:
         return {t for t, k in self.known.items() if k.whole}
 
+    def _tile(self, rect: Rect | None = None, done=()):
+        return F.col(self.stored[0]) if self.stored else self.grid.tile(self.spec.dims, rect, done)
+
     def population(self, tile: int) -> int:
         return self.grid.nodes[tile].population if self.sizes is None else self.sizes.get(tile, 0)
 
     def materialise(self) -> None:
         """Read every stratum whole in one job, and add those of a tree up into their parents, which read nothing."""
-        rows = self.points.withColumn("__tile", self.grid.tile(self.spec.dims)).withColumn("__held", self.held)
+        rows = self.points.withColumn("__tile", self._tile()).withColumn("__held", self.held)
         tiles = self.grid.leaves() if self.sizes is None else list(self.sizes)
         self.known = self._read(rows, {t: (0, ALL) for t in tiles}, set(tiles), {})
         self.read_values = 0  # counted for queries only
@@ -130,10 +138,13 @@ class Engine:
         done = self.summaries
         state = {t: self.known[t] for t in inside if t in self.known}
         out = Result([], "", 0, 0, frontier_partitions=len(cover), partitions_refined=len(retired))
-        out.exact_contributors = sum(t in state and state[t].whole for t in cover)
+        out.exact_contributors = sum(k.whole for k in state.values())
         out.reusable_sampled_strata = len(state) - out.exact_contributors
         out.reusable_absent_strata, out.query_local_strata = len(inside) - len(state), len(cover) - len(inside)
-        rows = self.points.where(rect.predicate(list(spec.dims))).withColumn("__tile", self.grid.tile(spec.dims, rect, done)).withColumn("__held", self.held)
+        rows = self.points.where(rect.predicate(list(spec.dims))).withColumn("__tile", self._tile(rect, done)).withColumn("__held", self.held)
+        if self.held_share <= 0:  # there is nothing to count in strata inside
+            none = {m: (0.0, 0) for m in spec.measures}
+            state = {t: state.get(t) or Known(n := self.population(t), 0, {m: Stratum(n) for m in spec.measures}, 0, none) for t in inside}
 
         def step(ask: dict[int, tuple[int, int]], fresh: set[int]) -> None:
             """Read so far as asked, and count what was read."""
@@ -156,7 +167,8 @@ class Engine:
         if exact_only:
             ask = {t: (state[t].bound if t in state else 0, ALL) for t in cover if t not in state or not state[t].whole}
         else:
-            ask = {t: (0, bound_for(pilot(n := self.population(t)), max(round(n * self._share(t, rect)), 1))) for t in fresh}
+            start = lambda t: bound_for(pilot(n := self.population(t)), max(round(n * self._share(t, rect)), 1))
+            ask = {t: (0, start(t)) for t in cover if t in fresh or not state[t].bound}
         if ask:
             step(ask, fresh)
         found = estimates()
@@ -201,7 +213,10 @@ class Engine:
             return {}
         spec, todo = self.spec, [(t, a, b, t in fresh) for t, (a, b) in ask.items()]
         asked = F.broadcast(self.points.sparkSession.createDataFrame(todo, "__tile long, __from long, __to long, __fresh boolean"))  # a row a stratum
-        rank = rank_hash(F.col(spec.row_id), STREAM ^ self.run_id)
+        rank = F.col(self.stored[1]) if self.stored else rank_hash(F.col(spec.row_id), STREAM ^ self.run_id)
+        if self.stored:  # plain comparisons, which the scan takes
+            below = rank < max(b for _, b in ask.values())
+            rows = rows.where(F.col(self.stored[0]).isin(list(ask)) & (F.col(self.stored[0]).isin(list(fresh)) | below if fresh else below))
         taken = ~F.col("__held") & (rank >= F.col("__from")) & (rank < F.col("__to"))
         whole = all(a == 0 and b == ALL for a, b in ask.values())
         marked = rows.join(asked, "__tile").withColumn("__taken", ~F.col("__held") if whole else taken)
@@ -232,6 +247,14 @@ class Engine:
         return out
 
 
+def clustered(points: DataFrame, spec: Points, grid: Grid, path: str, stored: tuple[str, str] = ("tile", "rank"), **options) -> None:
+    """points with each row's tile and rank, written in their order."""
+    from ..sources.prepare import write
+
+    rows = points.withColumn(stored[0], grid.tile(spec.dims)).withColumn(stored[1], rank_hash(F.col(spec.row_id), STREAM))
+    write(rows, path, cluster=list(stored), **options)
+
+
 def added(parts: list[Known]) -> Known:
     """What is known of disjoint strata together, all read whole."""
     names = parts[0].strata
