@@ -16,7 +16,8 @@ forged and texts come back unchanged.
 Defined cases: null text and role are empty; rows of a conversation go by
 turn, ties by role and text, null turns first; repeated rows are turns of
 their own; a null conv_id is a conversation. One conversation is worked on as
-a whole.
+a whole, and its paths take 8 bytes for each pair of its turns. An empty table
+gives no rows; very long texts are whole nodes; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, encoder
-from .common import batch, partitions, small_batches, staged
+from .common import Memo, batch, partitions, release, small_batches, staged
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[ROLE:", "[/ROLE]")
 _CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
@@ -114,10 +115,12 @@ def prefix_tree(turns: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def encode(batches):
         coder = encoder(vocabulary, KEEP)
+        marks = Memo(lambda p: coder.encode(p)[1], 1000)  # what the template writes around texts
         for x in batches:
             rows = []
             for role, text in zip(x.column("role").to_pylist(), x.column("text").to_pylist(), strict=True):
-                parts = [coder.encode(p)[1] for p in turn_parts(role, text)]
+                before, own, after = turn_parts(role, text)
+                parts = marks[before], coder.encode(own)[1], marks[after]
                 first = len(parts[0])
                 rows.append((np.concatenate(parts).astype(np.int32), first, first + len(parts[1]) if role == "assistant" else first))
             tokens, lo, hi = zip(*rows, strict=True) if rows else ((), (), ())
@@ -197,7 +200,11 @@ def prefix_tree(turns: DataFrame, vocabulary: str | None = None) -> DataFrame:
             yield batch(key=x.column("key"), start=x.column("start"), position=pa.array(position, pa.int64()), ancestors=pa.array(whole, interval))
 
     where = layout.mapInArrow(complete, "key binary, start long, position long, ancestors array<struct<start:long,end:long>>")
-    return placed.drop("part", "row").join(where, "key")
+    out = staged(placed.drop("part", "row").join(where, "key"), "tree")
+    release(encoded, placed, layout)
+    sent.destroy()
+    known.destroy()
+    return out
 
 
 def read_back(turns: DataFrame, tree: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -234,4 +241,4 @@ def probe(spark: SparkSession) -> DataFrame:
 def format_chats(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The turns (conv_id, depth, key) and the tree they are in."""
     turns = staged(turn_rows(conversations.select("conv_id", "turn", "role", "text")), "turns")
-    return turns, staged(prefix_tree(turns), "tree")
+    return turns, prefix_tree(turns)

@@ -9,7 +9,8 @@ vectors start from how much likelier a toxic text is to have the word; from
 random vectors training gets there less far on so few rows (README).
 
 The fit reads at most ``SAMPLE`` labelled rows (those with the smallest hashes
-of their ids, and of rows with equal ids one text); scoring reads all of every text and shuffles nothing.
+of their ids, of rows with equal ids one text, and no more of them than have
+``SAMPLE_WORDS`` words); scoring reads all of every text and shuffles nothing.
 
 Defined cases: null and empty texts get the score of no words; labels that are
 null or lack a document are left out; of an id's labels the largest counts; with labels of one kind only, all texts
@@ -27,10 +28,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, free, schema_of, small_batches
+from .common import batch, free, release, schema_of, small_batches, staged
 from .textvec import PUNCT, each
 
-SAMPLE = 6000
+SAMPLE, SAMPLE_WORDS = 6000, 8_000_000  # rows that are learnt from, and their words in all
 BITS, DIM, WIDTHS, FILTERS = 18, 8, (1, 2, 3), (12, 6, 6)
 EPOCHS, ROWS = 6, 64
 THRESHOLD = 0.7
@@ -188,8 +189,8 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from at most ``sample`` labelled rows, those with the smallest hashes of their ids."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_words: int = SAMPLE_WORDS) -> Model:
+    """Learn from at most ``sample`` labelled rows, those with the smallest hashes of their ids, of ``sample_words`` words in all."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learnable(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     some = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # at most ``sample`` rows of two numbers
@@ -203,8 +204,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     own = docs.select("doc_id", "text", lang.alias("lang")).join(some, "doc_id")
     # of rows with one id a single text, so that what reaches the driver has at most ``sample`` rows
     one = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text"), "text", "lang")).alias("__x"))
-    got = one.select("doc_id", "toxic", "__x.lang", "__x.text").mapInArrow(run, "doc_id long, toxic int, lang string, rows binary")
-    table = sorted(got.collect(), key=lambda r: (r["doc_id"], bytes(r["rows"])))
+    got = staged(one.select("doc_id", "toxic", "__x.lang", "__x.text").mapInArrow(run, "doc_id long, toxic int, lang string, rows binary"), "labelled")
+    sizes = got.select(F.xxhash64("doc_id").alias("h"), "doc_id", (F.octet_length("rows") / 4).cast("long").alias("n")).collect()  # at most ``sample`` rows of three numbers
+    kept, words = [], 0
+    for r in sorted(sizes):
+        words += r["n"]
+        if words <= sample_words or not kept:
+            kept.append((r["doc_id"],))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(kept, "doc_id long"))
+    table = sorted(got.join(chosen, "doc_id").collect(), key=lambda r: (r["doc_id"], bytes(r["rows"])))  # at most 4 bytes a word of ``sample_words``
+    release(got)
     return train([np.frombuffer(bytes(r["rows"]), np.int32) for r in table], np.array([r["toxic"] for r in table], int), [r["lang"] for r in table])
 
 

@@ -483,6 +483,7 @@ def test_toxicity(spark):
     assert np.mean([got[i]["predicted"] == (i % 3 == 0) for i in held]) > 0.97
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert toxicity.digest(docs, labels.limit(0)).count() == 602
+    assert np.array_equal(toxicity.fit(docs, labels, sample_words=3000).table, toxicity.fit(docs.repartition(5), labels, sample_words=3000).table)
 
 
 def test_toxicity_is_trained():
