@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from .common import Memo, batch, small_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-KEEP = 300_000  # chunks and pieces that a worker remembers, each at most twice as many
+KEEP = 500_000  # chunks and pieces that a worker remembers, each at most twice as many
 STEMS = (8, 6, 4)  # bytes at the beginning of a piece whose prefixes are remembered apart
 #: A space beside other white space; there the pattern may match across it.
 RUN = re.compile(r"\s | \s")
