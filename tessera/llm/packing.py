@@ -135,13 +135,13 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
-def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids) of every piece of every document."""
+def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = True, number: str = "") -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (and ids) of every piece of every document; number: a column with another number for each row."""
     small_batches(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches):
-        tokens = chunk_tokenizer(path)
+        tokens, first = chunk_tokenizer(path), TaskContext.get().partitionId() << 40
         for x in batches:
             data, offs = text_buffers(x.column("text"))
             ids = x.column("doc_id").to_pylist()
@@ -157,9 +157,11 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
                 names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
                 kinds = ("long", "int", "long", "long", "long", "list")
                 types = {"long": pa.int64(), "int": pa.int32(), "list": pa.list_(pa.int32())}
-                yield batch(**{n: pa.array(c, types[k]) for n, k, c in zip(names, kinds, zip(*rows, strict=True), strict=False)})
+                own = {number: np.arange(first, first + len(rows))} if number else {}
+                first += len(rows)
+                yield batch(**{n: pa.array(c, types[k]) for n, k, c in zip(names, kinds, zip(*rows, strict=True), strict=False)}, **own)
 
-    more = ", ids array<int>" if with_ids else ""
+    more = (", ids array<int>" if with_ids else "") + (f", {number} long" if number else "")
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + more)
 
 
@@ -280,18 +282,21 @@ def bands(capacity: int) -> list[tuple[int, int]]:
     return list(zip(ends, ends[1:], strict=False))
 
 
-def best_fit(pieces: DataFrame, capacity: int = CAPACITY, rows_a_task: int = SWEPT) -> DataFrame:
-    """pieces with sequence_id and offset; a column ``length`` from 1 to capacity is needed, others pass through."""
-    columns = pieces.columns
-    row, seq, at = free(columns, "row", "seq", "at")
+def best_fit(pieces: DataFrame, capacity: int = CAPACITY, rows_a_task: int = SWEPT, number: str = "") -> DataFrame:
+    """pieces with sequence_id and offset; a column ``length`` from 1 to capacity is needed, others pass through.
 
-    def number(batches):
+    number: a column that tells rows apart and is left out; without one rows are numbered.
+    """
+    columns = [c for c in pieces.columns if c != number]
+    row, seq, at = free(columns, number or "row", "seq", "at")
+
+    def count(batches):
         first = TaskContext.get().partitionId() << 40
         for x in batches:
             yield batch(**dict(zip(x.schema.names, x.columns, strict=True)), **{row: np.arange(first, first + x.num_rows)})
             first += x.num_rows
 
-    numbered = staged(pieces.mapInArrow(number, schema_of(pieces, f"`{row}` long")), "pieces")
+    numbered = staged(pieces if number else pieces.mapInArrow(count, schema_of(pieces, f"`{row}` long")), "pieces")
     limits = bands(capacity)
     band = F.lit(len(limits) - 1)
     for k, (_, low) in reversed(list(enumerate(limits[:-1]))):
@@ -343,7 +348,7 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, rows_a_task: int = SWE
             if tasks > 1:
                 gaps = keep(gaps, "gaps")
     if not placed:
-        return spark.createDataFrame([], schema_of(pieces, "sequence_id long, offset long"))
+        return numbered.limit(0).select(*[F.col(f"`{c}`") for c in columns], F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     where = placed[0].select("kind", "id", "seq", "at")
     for more in placed[1:]:
         where = where.union(more.select("kind", "id", "seq", "at"))
@@ -353,4 +358,5 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, rows_a_task: int = SWE
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
-    return best_fit(token_pieces(docs, path, capacity, with_ids), capacity)
+    # numbered by the worker that makes them: a second one a task would hold another tokenizer's memory
+    return best_fit(token_pieces(docs, path, capacity, with_ids, "row"), capacity, number="row")
