@@ -35,6 +35,7 @@ from ..spec import Estimate, Points, Rect, Target
 
 ROUNDS = 4
 ALL = 1 << 32  # ranks are below it
+LOOKED_UP = 50_000  # the largest stratum's number up to which bounds are constants of the job
 
 
 @dataclass
@@ -207,19 +208,27 @@ class Engine:
             share *= (min(b, hi) - max(a, lo)) / (b - a) if 0 < b - a < math.inf else 1.0
         return max(share, 0.0)
 
+    def _asked(self, rows: DataFrame, ask: dict[int, tuple[int, int]]) -> DataFrame:
+        """The rows of the strata asked for, with the ranks __from and __to: looked up in arrays, which need no job, or joined if these would be long."""
+        if max(ask) > LOOKED_UP:
+            todo = [(t, a, b) for t, (a, b) in ask.items()]
+            return rows.join(F.broadcast(self.points.sparkSession.createDataFrame(todo, "__tile long, __from long, __to long")), "__tile")  # a row a stratum
+        array = lambda k: F.split(F.lit(",".join(str(ask[t][k]) if t in ask else "-1" for t in range(max(ask) + 1))), ",").cast("array<bigint>")
+        at = F.col("__tile").cast("int")
+        return rows.withColumn("__from", F.get(array(0), at)).where("__from >= 0").withColumn("__to", F.get(array(1), at))
+
     def _read(self, rows: DataFrame, ask: dict[int, tuple[int, int]], fresh: set[int], state: dict[int, Known]) -> dict[int, Known]:
         """Strata after reading the ranks from .. to of each one asked for; those that are fresh are counted as well."""
         if not ask:
             return {}
-        spec, todo = self.spec, [(t, a, b, t in fresh) for t, (a, b) in ask.items()]
-        asked = F.broadcast(self.points.sparkSession.createDataFrame(todo, "__tile long, __from long, __to long, __fresh boolean"))  # a row a stratum
+        spec = self.spec
         rank = F.col(self.stored[1]) if self.stored else rank_hash(F.col(spec.row_id), STREAM ^ self.run_id)
         if self.stored:  # plain comparisons, which the scan takes
             below = rank < max(b for _, b in ask.values())
             rows = rows.where(F.col(self.stored[0]).isin(list(ask)) & (F.col(self.stored[0]).isin(list(fresh)) | below if fresh else below))
         taken = ~F.col("__held") & (rank >= F.col("__from")) & (rank < F.col("__to"))
         whole = all(a == 0 and b == ALL for a, b in ask.values())
-        marked = rows.join(asked, "__tile").withColumn("__taken", ~F.col("__held") if whole else taken)
+        marked = self._asked(rows, ask).withColumn("__taken", ~F.col("__held") if whole else taken)
         if not fresh:
             marked = marked.where("__taken")
         v = lambda m, flag: F.when(F.col(flag), F.col(m))
