@@ -61,7 +61,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     dropped = hashed.join(common, ["h1", "h2"]).where("id <> keeper").groupBy(F.col("id").alias(doc), F.col("text").alias(same)).agg(F.collect_set("pos").alias(gone))
     dropped = staged(dropped, "dropped")
     release(hashed, common)
-    both = docs.withColumn(lines, F.split(text, "\n", -1)).join(dropped, (F.col(id_col) == F.col(doc)) & (F.xxhash64(text) == F.col(same)), "left")
+    # always by merge: positions take many times what their file does, and a plan by the file's size would leave texts where they are on small inputs only
+    both = docs.withColumn(lines, F.split(text, "\n", -1)).join(dropped.hint("merge"), (F.col(id_col) == F.col(doc)) & (F.xxhash64(text) == F.col(same)), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     kept = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.transform(stay, lambda p: F.get(lines, p)), "\n"))
     return both.select(

@@ -56,6 +56,13 @@ def test_lines(spark, docs, texts):
     assert line_dedup.digest(docs.limit(0)).count() == 0
 
 
+def test_lines_are_joined_alike_at_any_size(spark):
+    few = spark.createDataFrame([(i, f"own {i}\n{LINE}") for i in range(4)], "doc_id long, text string")
+    got = line_dedup.line_dedup(few)
+    assert sorted((r["doc_id"], r["text"], r["__n_dropped"]) for r in got.collect()) == [(i, f"own {i}" + f"\n{LINE}" * (i == 3), int(i < 3)) for i in range(4)]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()  # few positions go the way that many go
+
+
 def test_suffix_repeats():
     rng = random.Random(2)
     for _ in range(60):
