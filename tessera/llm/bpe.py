@@ -28,7 +28,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, batch, small_batches
+from .common import CACHES, Memo, batch, small_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 KEEP = 500_000  # chunks and pieces that a worker remembers, each at most twice as many
@@ -207,6 +207,9 @@ def encoder(path: str, keep: int = KEEP) -> Encoder:
     return Encoder(path, keep)
 
 
+CACHES += [vocabulary, encoder]
+
+
 def encode_decode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, the digests of ids and decoded bytes, and with_ids also ids and decoded."""
     small_batches(docs.sparkSession)

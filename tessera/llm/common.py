@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -105,7 +107,7 @@ def some_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             if some.num_rows:
                 yield some
 
-    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, schema_of(docs))
+    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(lean(run), schema_of(docs))
 
 
 def batch(**columns) -> pa.RecordBatch:
@@ -160,6 +162,39 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Functions with what a Python worker remembers for one operator's tasks (lru_cache); other operators' tasks clear them.
+CACHES: list = []
+
+
+def give_back() -> None:
+    """Return to the system what earlier tasks left in this worker: caches, and free memory that Python's and Arrow's allocators keep."""
+    held = [f for f in CACHES if f.cache_info().currsize]
+    for f in held:
+        f.cache_clear()
+    if held:
+        gc.collect()  # caches hold methods of their owners
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """run, for mapInArrow, in a worker that holds nothing of earlier tasks, before and after.
+
+    Spark uses workers again for all queries of a session, so each would come to
+    hold the caches and the largest leftovers of every operator at once, beside an
+    executor's whole heap.
+    """
+
+    def task(batches):
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 class Memo(dict):
     """Remembers f of short keys, at most 2 * keep of them: when full, the older half is let go."""
 

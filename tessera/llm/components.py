@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, release, staged
+from .common import batch, lean, release, staged
 
 HELD = 1 << 20  # links that a task contracts at once
 
@@ -45,7 +45,7 @@ def locally(links: DataFrame) -> DataFrame:
         if n:
             yield stars(held)
 
-    return links.mapInArrow(run, "a long, b long")
+    return links.mapInArrow(lean(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, chunks, marked, marks, partitions, release, small_batches, staged
+from .common import batch, chunks, lean, marked, marks, partitions, release, small_batches, staged
 from .components import components, join_components
 from .textvec import each, mix
 
@@ -80,7 +80,7 @@ def shingle_counts(docs: DataFrame, w: int, cells: int = CELLS) -> np.ndarray:
                 total[cell] = total.get(cell, 0) + np.frombuffer(zlib.decompress(counts.as_py()), "<i8")
         yield batch(cell=pa.array(list(total), pa.int32()), counts=pa.array([t.tobytes() for t in total.values()], pa.binary()))
 
-    parts = docs.mapInArrow(count, "cell int, counts binary").repartition(16, "cell").mapInArrow(add, "cell int, counts binary")
+    parts = docs.mapInArrow(lean(count), "cell int, counts binary").repartition(16, "cell").mapInArrow(lean(add), "cell int, counts binary")
     out = np.zeros(cells, np.int64)
     for r in parts.collect():  # cells * 8 bytes, whatever the input
         out[r["cell"] * block : (r["cell"] + 1) * block] = np.frombuffer(r["counts"], "<i8")
@@ -123,7 +123,7 @@ def prefixes(docs: DataFrame, sent, w: int, percent: int) -> DataFrame:
                     ids = pa.concat_arrays([pa.array(d, pa.int64()) for d in doc])
                     yield batch(kind=np.concatenate(kind), doc=ids, n=np.concatenate(n).astype(np.int32), print=np.concatenate(prt).astype(np.int64), token=np.concatenate(token).astype(np.uint64).view(np.int64))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind byte, doc long, n int, print long, token long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "kind byte, doc long, n int, print long, token long")
 
 
 def runs(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +188,7 @@ def tiles(rows: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
         yield from tiled
 
     dealt = rows.repartition(partitions(rows), "token").sortWithinPartitions("token")
-    return dealt.mapInArrow(run, "kind byte, doc long, other long, n int, token long, shared int")
+    return dealt.mapInArrow(lean(run), "kind byte, doc long, other long, n int, token long, shared int")
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -222,7 +222,7 @@ def signatures(docs: DataFrame, ids: DataFrame, w: int) -> DataFrame:
                 sets = [(len(s), bitmap(s)) for s in shingle_sets(x.column("text"), w)]
                 yield batch(doc=x.column("doc_id"), n=pa.array([n for n, _ in sets], pa.int32()), bits=pa.array([b for _, b in sets], pa.binary()), text=x.column("text"))
 
-    some = docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc long, n int, bits binary, text string")
+    some = docs.where(F.col("doc_id").isNotNull()).mapInArrow(lean(run), "doc long, n int, bits binary, text string")
     out = staged(some.join(ids, "doc", "left_semi"), "signatures")
     sent.destroy()
     return out
@@ -242,7 +242,7 @@ def bounded(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
             yield x.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     both = pairs.join(side(sigs, "a", "n", "bits"), "a").join(side(sigs, "b", "n", "bits"), "b")
-    return staged(both.mapInArrow(run, "a long, b long").distinct(), "near")
+    return staged(both.mapInArrow(lean(run), "a long, b long").distinct(), "near")
 
 
 def verified(pairs: DataFrame, sigs: DataFrame, w: int, percent: int) -> DataFrame:
@@ -259,7 +259,7 @@ def verified(pairs: DataFrame, sigs: DataFrame, w: int, percent: int) -> DataFra
                 yield x.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     both = pairs.join(side(sigs, "a", "text"), "a").join(side(sigs, "b", "text"), "b")
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def folded(bits: list[bytes], words: int) -> np.ndarray:
@@ -377,7 +377,7 @@ def block_links(rows: DataFrame, tasks: DataFrame, sigs: DataFrame, w: int, perc
                 both = np.unique(np.sort(np.array(found, np.int64), axis=1), axis=0)
                 yield batch(a=both[:, 0], b=both[:, 1])
 
-    return dealt.repartition(partitions(rows), "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(partitions(rows), "task").sortWithinPartitions("task").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def jaccard_join(docs: DataFrame, w: int = WORDS, percent: int = PERCENT, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batch, free, partitions, release, schema_of, small_batches, staged
+from .common import CACHES, Memo, batch, free, partitions, release, schema_of, small_batches, staged
 from .textvec import slices, text_buffers
 
 VOCABULARY = "word_bpe_49k.json"
@@ -135,6 +135,9 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
+CACHES.append(chunk_tokenizer)
+
+
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = True, number: str = "") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every piece of every document; number: a column with another number for each row."""
     small_batches(docs.sparkSession)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, chunks, free, partitions, release, schema_of, small_batches, some_of, staged
+from .common import batch, chunks, free, lean, partitions, release, schema_of, small_batches, some_of, staged
 from .components import components
 from .textvec import Words, each, mix, stream, text_buffers
 
@@ -104,7 +104,7 @@ def windows(docs: DataFrame, w: int, least: int, hashes: int) -> DataFrame:
                 yield batch(token=token, doc=doc, at=at, span=span, near=near)
 
     some = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    return some.mapInArrow(run, "token long, doc long, at long, span long, near long")
+    return some.mapInArrow(lean(run), "token long, doc long, at long, span long, near long")
 
 
 def first_of(keys: np.ndarray) -> np.ndarray:
@@ -189,7 +189,7 @@ def linked(rows: DataFrame, hot: int = HOT, sampled: int = SAMPLED) -> DataFrame
         return batch(doc=doc, at=at, span=span, rep=rep, rep_at=rep_at, rep_span=rep_span, keys=pa.array(keys, pa.list_(pa.int64())), lone=np.zeros(len(doc), bool) if lone is None else lone)
 
     dealt = dealt.repartition(partitions(rows), "token", "salt").sortWithinPartitions(*order)
-    found = staged(dealt.mapInArrow(run, LINK + ", keys array<long>, lone boolean"), "linked")
+    found = staged(dealt.mapInArrow(lean(run), LINK + ", keys array<long>, lone boolean"), "linked")
     open_ = found.where(F.col("keys").isNotNull()).select("doc", "at", "span", "lone", F.posexplode("keys").alias("kind", "key"))
     heads = open_.groupBy("key").agg(F.min(F.struct("doc", "at", "span")).alias("h"), F.count("*").alias("n")).where("n > 1").select("key", F.col("h.doc").alias("rep"), F.col("h.at").alias("rep_at"), F.col("h.span").alias("rep_span"))
     seek = open_.where(F.col("lone") | (F.col("kind") < len(RUNS)))  # the others agree with one of their part
@@ -311,7 +311,7 @@ def shared_passages(docs: DataFrame, w: int = WORDS, min_words: int = MIN_WORDS,
             if out:
                 yield batch(**dict(zip(("doc", "lo", "hi", "rep", "rep_lo", "rep_hi"), (list(c) for c in zip(*((d, lo, hi, r, lo2, hi2) for d, r, lo, hi, lo2, hi2 in out), strict=True)), strict=True)))
 
-    found = staged(per_doc.mapInArrow(join, "doc long, lo long, hi long, rep long, rep_lo long, rep_hi long"), "regions")
+    found = staged(per_doc.mapInArrow(lean(join), "doc long, lo long, hi long, rep long, rep_lo long, rep_hi long"), "regions")
     release(made, *links.tables)
     both_ends = found.select(F.col("doc").alias("id")).union(found.select("rep"))
     texts = some_of(texts, both_ends.distinct())
@@ -335,7 +335,7 @@ def shared_passages(docs: DataFrame, w: int = WORDS, min_words: int = MIN_WORDS,
                 if out:
                     yield batch(**dict(zip(("doc", "start", "part", "size", "rep", "rep_lo", "rep_hi"), map(list, zip(*out, strict=True)), strict=True)))
 
-    parts = texts.join(per_doc, F.col("doc_id") == F.col("doc")).select("doc", "text", "regions").mapInArrow(cut, "doc long, start long, part binary, size long, rep long, rep_lo long, rep_hi long")
+    parts = texts.join(per_doc, F.col("doc_id") == F.col("doc")).select("doc", "text", "regions").mapInArrow(lean(cut), "doc long, start long, part binary, size long, rep long, rep_lo long, rep_hi long")
 
     def verify(batches):
         last, theirs, zstd = None, None, pa.Codec("zstd")
@@ -357,7 +357,7 @@ def shared_passages(docs: DataFrame, w: int = WORDS, min_words: int = MIN_WORDS,
                 yield batch(**dict(zip(names, map(list, zip(*out, strict=True)), strict=True)))
 
     both = parts.join(texts, F.col("rep") == F.col("doc_id")).select("doc", "start", "part", "size", "rep", "rep_lo", "rep_hi", "text")
-    found = both.mapInArrow(verify, "doc_id long, start_word long, end_word long, rep_doc_id long, rep_start_word long, rep_end_word long, n_shared long, similarity double")
+    found = both.mapInArrow(lean(verify), "doc_id long, start_word long, end_word long, rep_doc_id long, rep_start_word long, rep_end_word long, n_shared long, similarity double")
     return found.groupBy("doc_id", "start_word", "end_word", "rep_doc_id", "rep_start_word", "rep_end_word").agg(F.max("n_shared").alias("n_shared"), F.max("similarity").alias("similarity"))
 
 
@@ -387,7 +387,7 @@ def classes(found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             if out:
                 yield batch(**dict(zip(("doc", "start", "end", "lead", "lead_end"), map(list, zip(*out, strict=True)), strict=True)))
 
-    named = staged(spans.mapInArrow(join, "doc long, start long, end long, lead long, lead_end long"), "spans")
+    named = staged(spans.mapInArrow(lean(join), "doc long, start long, end long, lead long, lead_end long"), "spans")
     node = F.struct("doc", "lead", "lead_end")
     ours = named.select(F.col("doc").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), node.alias("a"))
     theirs = named.select(F.col("doc").alias("rep_doc_id"), F.col("start").alias("rep_start_word"), F.col("end").alias("rep_end_word"), node.alias("b"))
@@ -424,4 +424,4 @@ def drop_passages(docs: DataFrame, **options) -> DataFrame:
                 col = pa.array(texts, pa.string())
             yield batch(**{n: col if n == "text" else x.column(n) for n in x.schema.names if n != cuts})
 
-    return joined.mapInArrow(cut, schema_of(docs))
+    return joined.mapInArrow(lean(cut), schema_of(docs))

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, free, release, schema_of, small_batches, staged
+from .common import batch, free, lean, release, schema_of, small_batches, staged
 from .textvec import PUNCT, each
 
 SAMPLE, SAMPLE_WORDS = 6000, 8_000_000  # rows that are learnt from, and their words in all
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_words:
     own = docs.select("doc_id", "text", lang.alias("lang")).join(some, "doc_id")
     # of rows with one id a single text, so that what reaches the driver has at most ``sample`` rows
     one = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text"), "text", "lang")).alias("__x"))
-    got = staged(one.select("doc_id", "toxic", "__x.lang", "__x.text").mapInArrow(run, "doc_id long, toxic int, lang string, rows binary"), "labelled")
+    got = staged(one.select("doc_id", "toxic", "__x.lang", "__x.text").mapInArrow(lean(run), "doc_id long, toxic int, lang string, rows binary"), "labelled")
     sizes = got.select(F.xxhash64("doc_id").alias("h"), "doc_id", (F.octet_length("rows") / 4).cast("long").alias("n")).collect()  # at most ``sample`` rows of three numbers
     kept, words = [], 0
     for r in sorted(sizes):
@@ -235,7 +235,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
             yield batch(**{n: x.column(n) for n in names}, **{own_score: score, own_limit: limit, rejected: score >= limit})
 
     lang = F.col("lang").cast("string") if "lang" in names else F.lit(None).cast("string")
-    return docs.withColumn(spoken, lang).mapInArrow(run, schema_of(docs, f"`{own_score}` double", f"`{own_limit}` double", f"`{rejected}` boolean"))
+    return docs.withColumn(spoken, lang).mapInArrow(lean(run), schema_of(docs, f"`{own_score}` double", f"`{own_limit}` double", f"`{rejected}` boolean"))
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:

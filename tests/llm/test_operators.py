@@ -4,13 +4,14 @@ import base64
 import collections
 import hashlib
 import random
+import weakref
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from tessera.llm import ann, bpe, chat, jaccard, line_dedup, packing, passages, quality, toxicity, url_trust
+from tessera.llm import ann, bpe, chat, common, jaccard, line_dedup, packing, passages, quality, toxicity, url_trust
 
 DOCS = "doc_id long, text string, __n string"
 LINE = "a line that more than two documents hold"
@@ -621,6 +622,15 @@ def test_matching():
     assert plan == [(1, 0, 1, 0, 0), (3, 0, 1, 2, 0), (3, 2, 2, 0, 2)]
 
 
+def test_other_operators_clear_caches():
+    path, texts = public_tokenizers.path(packing.VOCABULARY), [b"some words"]
+    packing.chunk_tokenizer(path).encode(texts[0])
+    tokens = weakref.ref(packing.chunk_tokenizer(path))
+    held = common.lean(lambda batches: (tokens() is not None for _ in batches))
+    assert list(held(texts)) == [False]  # a worker's next task of another kind finds nothing of the tokenizer's
+    assert packing.chunk_tokenizer(path).encode(texts[0])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
