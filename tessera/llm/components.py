@@ -55,7 +55,9 @@ def components(links: DataFrame) -> DataFrame:
     neighbourhood, by turns the smallest and the one with the smallest hash
     (another hash each round, so chains shrink by a constant factor whatever
     their ids), and links between what is left go on. Links of numbers are
-    first contracted within tasks. Only minima are grouped by node, and they
+    first contracted within tasks, and once at most HELD are left, all in one
+    task, which ends the rounds: each is a dozen stages, whose tasks the driver
+    keeps a record of. Only minima are grouped by node, and they
     are pre-aggregated; a hub's links meet in joins, whose partitions Spark
     splits. No side is broadcast: the driver holds none of it.
     """
@@ -64,7 +66,10 @@ def components(links: DataFrame) -> DataFrame:
     first = links = staged((locally(links) if numbers else links).distinct(), "links")
     steps, turn = [], 0
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    while not links.isEmpty():
+    while n := links.count():
+        if numbers and n <= HELD:
+            steps.append(staged(locally(links.coalesce(1)).select(F.col("b").alias("node"), F.col("a").alias("next")), "step"))
+            break
         rank = lambda c, turn=turn: F.struct((F.xxhash64(F.lit(turn), F.col(c)) if turn % 2 else F.lit(0).cast("long")).alias("h"), F.col(c).alias("v"))
         ends = links.select("a", rank("b").alias("to")).union(links.select("b", rank("a")))
         to = ends.groupBy(F.col("a").alias("node")).agg(F.min("to").alias("to")).select("node", F.least("to", rank("node")).alias("to")).select("node", F.col("to.v").alias("next"))

@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tessera.llm import ann, bpe, chat, common, jaccard, line_dedup, packing, passages, quality, toxicity, url_trust
+from tessera.llm import ann, bpe, chat, common, components, jaccard, line_dedup, packing, passages, quality, toxicity, url_trust
 
 DOCS = "doc_id long, text string, __n string"
 LINE = "a line that more than two documents hold"
@@ -622,6 +622,22 @@ def test_matching():
     assert plan == [(1, 0, 1, 0, 0), (3, 0, 1, 2, 0), (3, 2, 2, 0, 2)]
 
 
+@pytest.mark.parametrize("held", [components.HELD, 0])
+def test_components(spark, monkeypatch, held):
+    rng, names = random.Random(4), []
+    links = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)]
+    monkeypatch.setattr(components, "HELD", held)
+    monkeypatch.setattr(components, "staged", lambda df, name: names.append(name) or common.staged(df, name))
+    least = {x: x for link in links if link[0] != link[1] for x in link}
+    for _ in least:
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    found = components.components(spark.createDataFrame(links, "a long, b long").repartition(4))
+    assert {r["node"]: r["component"] for r in found.collect()} == least
+    assert (names.count("step") == 1) == bool(held)  # few links take one step
+
+
 def test_other_operators_clear_caches():
     path, texts = public_tokenizers.path(packing.VOCABULARY), [b"some words"]
     packing.chunk_tokenizer(path).encode(texts[0])
