@@ -14,8 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Options of a write that leave out checksum files in local folders; other file systems don't read them.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,11 +44,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df in the shared folder and read it back.
 
     The table survives the loss of executors, and its rows stay as they were
-    written even if a part of the plan above it is run twice.
+    written even if a part of the plan above it is run twice. Local folders get
+    no checksum files: without its native library Hadoop starts a process to set
+    the mode of each file and folder, which holds the JVM's memory too until it runs.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**PLAIN_FILES).option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.staged_at = path
     return back
@@ -60,6 +66,13 @@ def release(*tables: DataFrame) -> None:
             where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows, made without Python workers: Spark would start some apart from those of mapInArrow, and keep them."""
+    fields = StructType.fromDDL(schema)
+    cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(to_arrow_schema(fields).types)]
+    return spark.createDataFrame(pa.Table.from_arrays(cols, names=fields.names), fields)
+
+
 def free(taken: list[str], *names: str) -> list[str]:
     """The names, each with underscores added until no column in taken has it (Spark's names don't tell case)."""
     low, out = {c.lower() for c in taken}, []
@@ -166,9 +179,9 @@ def partitions(df: DataFrame) -> int:
 CACHES: list = []
 
 
-def give_back() -> None:
-    """Return to the system what earlier tasks left in this worker: caches, and free memory that Python's and Arrow's allocators keep."""
-    held = [f for f in CACHES if f.cache_info().currsize]
+def give_back(keep: tuple = ()) -> None:
+    """Return to the system what earlier tasks left in this worker: caches but those in keep, and free memory that Python's and Arrow's allocators hold."""
+    held = [f for f in CACHES if f not in keep and f.cache_info().currsize]
     for f in held:
         f.cache_clear()
     if held:
@@ -179,8 +192,8 @@ def give_back() -> None:
         trim(0)
 
 
-def lean(run: Callable) -> Callable:
-    """run, for mapInArrow, in a worker that holds nothing of earlier tasks, before and after.
+def lean(run: Callable, *keep: Callable) -> Callable:
+    """run, for mapInArrow, in a worker that holds nothing of earlier tasks, before and after, but the caches in keep (of CACHES).
 
     Spark uses workers again for all queries of a session, so each would come to
     hold the caches and the largest leftovers of every operator at once, beside an
@@ -188,10 +201,12 @@ def lean(run: Callable) -> Callable:
     """
 
     def task(batches):
-        give_back()
+        own = tuple(f for f in CACHES if f.__name__ in names)  # a worker's copies, not those sent to it
+        give_back(own)
         yield from run(batches)
-        give_back()
+        give_back(own)
 
+    names = {f.__name__ for f in keep}
     return task
 
 

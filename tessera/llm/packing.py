@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES, Memo, batch, free, partitions, release, schema_of, small_batches, staged
+from .common import CACHES, Memo, batch, free, lean, partitions, release, schema_of, small, small_batches, staged
 from .textvec import slices, text_buffers
 
 VOCABULARY = "word_bpe_49k.json"
@@ -60,13 +60,13 @@ class ChunkTokenizer:
     a piece's last byte, which carries the word's end, gets a byte of its own.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = KEEP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.chunks, self.pieces = Memo(self._chunk, KEEP), Memo(self._piece, KEEP // 2)
+        self.chunks, self.pieces = Memo(self._chunk, keep), Memo(self._piece, keep // 2)
         raw = {}
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             body, end = (token[:-4], True) if len(token) > 4 and token.endswith("</w>") else (token, False)
@@ -131,20 +131,20 @@ def merges(tokens: dict[int, tuple[bytes, bool]], inner: dict[int, int], last: d
 
 
 @lru_cache(maxsize=2)
-def chunk_tokenizer(path: str) -> ChunkTokenizer:
-    return ChunkTokenizer(path)
+def chunk_tokenizer(path: str, keep: int = KEEP) -> ChunkTokenizer:
+    return ChunkTokenizer(path, keep)
 
 
 CACHES.append(chunk_tokenizer)
 
 
-def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = True, number: str = "") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids) of every piece of every document; number: a column with another number for each row."""
+def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = True, number: str = "", keep: int = KEEP) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (and ids) of every piece of every document; number: a column with another number for each row; keep: chunks that a worker remembers."""
     small_batches(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches):
-        tokens, first = chunk_tokenizer(path), TaskContext.get().partitionId() << 40
+        tokens, first = chunk_tokenizer(path, keep), TaskContext.get().partitionId() << 40
         for x in batches:
             data, offs = text_buffers(x.column("text"))
             ids = x.column("doc_id").to_pylist()
@@ -165,7 +165,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
                 yield batch(**{n: pa.array(c, types[k]) for n, k, c in zip(names, kinds, zip(*rows, strict=True), strict=False)}, **own)
 
     more = (", ids array<int>" if with_ids else "") + (f", {number} long" if number else "")
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + more)
+    return docs.select("doc_id", "text").mapInArrow(lean(run, chunk_tokenizer), "doc_id long, piece int, start long, length long, ids_crc32 long" + more)
 
 
 SWEEP = "kind byte, part int, rank long, n long, id long, size long, seq long, at long"
@@ -226,7 +226,7 @@ def swept(rows: DataFrame, capacity: int, high: int, tasks: int, step: int, open
 
     order = [F.desc("size"), F.col("is_piece"), F.col("id")]  # at one size gaps come first
     dealt = rows.coalesce(1) if tasks == 1 else rows.repartitionByRange(tasks, *order)
-    return dealt.sortWithinPartitions(*order).mapInArrow(run, SWEEP)
+    return dealt.sortWithinPartitions(*order).mapInArrow(lean(run), SWEEP)
 
 
 def sweep_rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -256,11 +256,11 @@ def matching(places: dict[int, int], wanting: dict[int, int]) -> list[tuple[int,
 def matched(sweep: DataFrame, plan: list, capacity: int) -> DataFrame:
     """kind PLACED: the pieces that plan gives to gaps of other ranges; LEFT: those gaps after it."""
     spark = sweep.sparkSession
-    runs = F.broadcast(spark.createDataFrame(plan, "part int, first long, last long, source int, place long"))  # at most two rows a task
+    runs = F.broadcast(small(spark, plan, "part int, first long, last long, source int, place long"))  # at most two rows a task
     used = {}
     for _, first, last, source, place in plan:
         used[source] = max(used.get(source, 0), place + last - first + 1)
-    uses = F.broadcast(spark.createDataFrame(list(used.items()), "source int, used long"))  # a row a task
+    uses = F.broadcast(small(spark, list(used.items()), "source int, used long"))  # a row a task
     pieces = sweep.where(F.col("kind") == WITHOUT).join(runs, "part").where("rank BETWEEN first AND last")
     pieces = pieces.select("source", (F.col("place") + F.col("rank") - F.col("first")).alias("place"), F.col("id").alias("piece"), F.col("size").alias("length"))
     gaps = sweep.where(F.col("kind") == AT_HAND).select(F.col("part").alias("source"), "rank", "n", "id", "size").join(uses, "source").where("rank < used")
@@ -299,7 +299,7 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, rows_a_task: int = SWE
             yield batch(**dict(zip(x.schema.names, x.columns, strict=True)), **{row: np.arange(first, first + x.num_rows)})
             first += x.num_rows
 
-    numbered = staged(pieces if number else pieces.mapInArrow(count, schema_of(pieces, f"`{row}` long")), "pieces")
+    numbered = staged(pieces if number else pieces.mapInArrow(lean(count), schema_of(pieces, f"`{row}` long")), "pieces")
     limits = bands(capacity)
     band = F.lit(len(limits) - 1)
     for k, (_, low) in reversed(list(enumerate(limits[:-1]))):
@@ -360,6 +360,6 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, rows_a_task: int = SWE
     return numbered.join(where, row).select(*[F.col(f"`{c}`") for c in columns], F.col(seq).alias("sequence_id"), F.col(at).alias("offset"))
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = True, keep: int = KEEP) -> DataFrame:
     # numbered by the worker that makes them: a second one a task would hold another tokenizer's memory
-    return best_fit(token_pieces(docs, path, capacity, with_ids, "row"), capacity, number="row")
+    return best_fit(token_pieces(docs, path, capacity, with_ids, "row", keep), capacity, number="row")

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, free, lean, release, schema_of, small_batches, staged
+from .common import batch, free, lean, release, schema_of, small, small_batches, staged
 from .textvec import PUNCT, each
 
 SAMPLE, SAMPLE_WORDS = 6000, 8_000_000  # rows that are learnt from, and their words in all
@@ -211,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_words:
         words += r["n"]
         if words <= sample_words or not kept:
             kept.append((r["doc_id"],))
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(kept, "doc_id long"))
+    chosen = F.broadcast(small(docs.sparkSession, kept, "doc_id long"))
     table = sorted(got.join(chosen, "doc_id").collect(), key=lambda r: (r["doc_id"], bytes(r["rows"])))  # at most 4 bytes a word of ``sample_words``
     release(got)
     return train([np.frombuffer(bytes(r["rows"]), np.int32) for r in table], np.array([r["toxic"] for r in table], int), [r["lang"] for r in table])

@@ -647,6 +647,35 @@ def test_other_operators_clear_caches():
     assert packing.chunk_tokenizer(path).encode(texts[0])
 
 
+def test_tokens_stay_between_their_own_tasks():
+    path = public_tokenizers.path(packing.VOCABULARY)
+    packing.chunk_tokenizer(path)
+    bpe.encoder(public_tokenizers.path(bpe.VOCABULARY)).encode("some words")
+    held = common.lean(lambda batches: ((packing.chunk_tokenizer.cache_info().currsize, bpe.encoder.cache_info().currsize) for _ in batches), packing.chunk_tokenizer)
+    assert list(held([0])) == [(1, 0)]
+    assert packing.chunk_tokenizer.cache_info().currsize == 1
+
+
+def test_few_chunks_remembered(spark, docs):
+    cols = ("doc_id", "piece", "start", "length", "ids_crc32")
+    whole, few = (packing.token_pieces(docs, with_ids=False, **more).select(*cols).collect() for more in ({}, {"keep": 4}))
+    assert sorted(map(str, whole)) == sorted(map(str, few)) and whole
+
+
+def test_staged_and_small_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    t = common.staged(spark.range(50).repartition(3), "rows")
+    assert sorted(r["id"] for r in t.collect()) == list(range(50))
+    names = [p.name for p in tmp_path.rglob("*") if p.is_file()]
+    assert len(names) >= 2 and not [n for n in names if n.endswith(".crc")]  # each would cost a process more
+    common.release(t)
+    assert not [p for p in tmp_path.rglob("*.parquet")]
+    few = common.small(spark, [(1, None), (2, 3)], "a int, b long")
+    assert "ExistingRDD" not in few._jdf.queryExecution().toString()  # rows of an RDD start Python workers
+    assert [tuple(r) for r in few.orderBy("a").collect()] == [(1, None), (2, 3)] and few.dtypes == [("a", "int"), ("b", "bigint")]
+    assert common.small(spark, [], "a long").count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
